@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quernstone.llm import host_rules, mixing, sharding
+from quernstone.llm import decontaminate, host_rules, mixing, sharding
 
 QUERIES = {
     "op3_shards": sharding.op3_shards,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_mix": mixing.op9_mix,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
+    "op8_host_rules": host_rules.ORACLE_SQL,
+}

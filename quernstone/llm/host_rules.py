@@ -97,3 +97,38 @@ def judge_stats(stats: DataFrame, host: str = "source", max_rate: float = MAX_RA
     rules = document_rules()
     joined = stats.join(verdicts, stats[host].eqNullSafe(verdicts["_host"]))
     return joined.withColumn("base_failed", rules["short"] | rules["repeats"]).withColumn("kept", ~F.col("base_failed") & F.col("_ok")).drop("_host", "_ok")
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), grams AS (
+  SELECT doc_id, i, row(ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), s AS (
+  SELECT w.doc_id, source, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)
+), fails AS (
+  SELECT source, rule, count(*) AS n, sum(bad::INT) AS f FROM (
+    SELECT source, unnest(['short', 'repeats', 'symbols', 'lines', 'lengths']) AS rule,
+      unnest([n_words < 50, n_repeat_words * 100 > n_words * 50, n_symbols * 10 > n_words * 3, n_dup_lines * 20 > n_words, word_chars < n_words * 2 OR word_chars > n_words * 15]) AS bad FROM s
+  ) GROUP BY source, rule
+), sums AS (
+  SELECT rule, count(*) AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(f * f / n) AS q FROM fails GROUP BY rule
+), prior AS (
+  SELECT rule, m, q / n - m * m - m * (1 - m) * k / n AS spread FROM sums
+), strength AS (
+  SELECT rule, m, greatest(1.0, least(1e6, CASE WHEN spread > 0 THEN m * (1 - m) / spread - 1 ELSE 1e6 END)) AS s FROM prior
+), hosts AS (
+  SELECT source, max((f + m * strength.s) / (n + strength.s)) <= 0.5 AS ok FROM fails JOIN strength USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND ok AS kept
+FROM s JOIN hosts ON s.source IS NOT DISTINCT FROM hosts.source
+"""
