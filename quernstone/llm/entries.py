@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, host_rules, html_text, mixing, pii, sharding
+from quernstone.llm import decontaminate, host_rules, html_text, line_crf, mixing, pii, sharding
 
 QUERIES = {
     "op3_shards": sharding.op3_shards,
     "op10_html_text": html_text.op10_html_text,
     "op4_pii": pii.op4_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_line_quality": line_crf.op7_line_quality,
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_mix": mixing.op9_mix,
 }
