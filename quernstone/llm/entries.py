@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, host_rules, html_text, line_crf, lm_score, mixing, pii, sharding
+from quernstone.llm import decontaminate, host_rules, html_text, line_crf, lm_score, mixing, near_dups, pii, sharding
 
 QUERIES = {
+    "op1_near_dups": near_dups.op1_near_dups,
     "op2_lm_score": lm_score.op2_lm_score,
     "op3_shards": sharding.op3_shards,
     "op10_html_text": html_text.op10_html_text,
