@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, host_rules, html_text, line_crf, lm_score, mixing, near_dups, pii, sharding
+from quernstone.llm import decontaminate, host_rules, html_text, licences, line_crf, lm_score, mixing, near_dups, pii, sharding
 
 QUERIES = {
     "op1_near_dups": near_dups.op1_near_dups,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_shards": sharding.op3_shards,
     "op10_html_text": html_text.op10_html_text,
     "op4_pii": pii.op4_pii,
+    "op5_licences": licences.op5_licences,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_quality": line_crf.op7_line_quality,
     "op8_host_rules": host_rules.op8_host_rules,
