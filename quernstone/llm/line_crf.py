@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import SPACES, arrow_map, crc_rest, read_table, text_or_empty
+from quernstone.llm.common import SPACES, arrow_map, crc_rest, lowest, read_table, text_or_empty
 
 #: So many labels, those with the lowest hash of doc_id, fit the model; of each at most its first FIT_LINES lines.
 FIT_DOCS, FIT_LINES = 3000, 200
@@ -171,7 +171,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> L
 
     Labels other than 0 and 1, and labels without a document, don't count. The driver gets features, never texts.
     """
-    chosen = labels.select("doc_id", "quality").where("quality in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_docs)
+    chosen = lowest(labels.select("doc_id", "quality").where("quality in (0, 1)"), F.xxhash64("doc_id", "quality"), fit_docs)
     some = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_docs rows at most
 
     def features(batch: pa.RecordBatch) -> dict:

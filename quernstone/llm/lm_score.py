@@ -100,7 +100,7 @@ def _word_scores(model: Model):
 
 def _head_sums(model: Model, head: dict[bytes, tuple[bool, float, float]], keep: list[str]):
     """Sums over a document's head words and the end; its other words and how often it has them."""
-    first = (model.ends > 0, float(model.base(model.ends)), math.log10(model.end))
+    first = (int(model.ends > 0), float(model.base(model.ends)), math.log10(model.end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import arrow_map, read_table, text_or_empty
+from quernstone.llm.common import arrow_map, lowest, read_table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: So many documents, those with the lowest hash of doc_id, fit the model.
+#: So many documents, those with the lowest hash, fit the model.
 FIT_DOCS = 3000
 #: Rounds of loopy message passing at most; it stops once no message moves by TOLERANCE.
 ROUNDS, TOLERANCE, DAMPING = 50, 1e-4, 0.5
@@ -211,8 +211,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS) -> SkipChain:
-    """Fits on the tokens of the fit_docs documents with the lowest hash of doc_id, as the patterns label them."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(fit_docs)
+    """Fits on the tokens of the fit_docs documents with the lowest hash, as the patterns label them."""
+    some = lowest(docs.select("doc_id", "text"), F.xxhash64("doc_id", "text"), fit_docs)
 
     def tokens(batch: pa.RecordBatch) -> dict:
         out = []
