@@ -1,0 +1 @@
+"""Column functions for cleanup and profiling."""
