@@ -1,0 +1 @@
+"""Readers of messy exports."""
