@@ -36,6 +36,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once: with documents of some KB, a few MB.
+BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session was told to hand BATCH rows at most to Python at once; a lower setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df
+
+
 def arrow_map(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], dict], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns that make() computes from each batch; columns in drop, or named like a new one, go."""
     new = {f.name for f in fields}
@@ -47,7 +59,7 @@ def arrow_map(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.Rec
             made = make(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made.values()], names=[*names, *made])
 
-    return df.mapInArrow(run, T.StructType([*keep, *fields]))
+    return small_batches(df).mapInArrow(run, T.StructType([*keep, *fields]))
 
 
 def number_within(df: DataFrame, keys: list[str], tie: list[str], out: str, buckets: int = 1024, attach: DataFrame | None = None) -> DataFrame:

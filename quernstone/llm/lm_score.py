@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import crc_rest, materialize, read_table, text_or_empty
+from quernstone.llm.common import crc_rest, materialize, read_table, small_batches, text_or_empty
 from quernstone.llm.lattice import Pieces, expected_pieces, from_sentencepiece, word_logp
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -134,6 +134,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     clean = docs.drop(*made).withColumn("held_out", F.coalesce("held_out", F.lit(True)))
+    small_batches(docs)
     keep = [c for c in clean.columns if c != "text"]
     counts = materialize(word_counts(clean.select("text", "held_out")), "word-counts")
     sums = counts.agg(F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
