@@ -571,9 +571,9 @@ def target_state(spark, sf_dir):
 
 
 @query(f"""WITH {HELD_SQL}, la AS (SELECT key, arg_max(target_id, row(tm, seq)) AS target_id FROM now WHERE outcome IN ('accepted', 'duplicate') AND target_id IS NOT NULL GROUP BY key), top AS (SELECT key, max(generation) AS g, max(seq) AS s FROM log GROUP BY key)
-SELECT key, g + 1 AS generation, 'rolled_back' AS outcome, target_id, CAST('2025-01-01' AS DATE) AS at, s + 1 AS seq FROM la SEMI JOIN held USING (key) JOIN top USING (key)""")
+SELECT key, g + 1 AS generation, 'rolled_back' AS outcome, target_id, '2025-01-01' AS at, s + 1 AS seq FROM la SEMI JOIN held USING (key) JOIN top USING (key)""")
 def rollback_rows(spark, sf_dir):
-    return delivery.roll_back(_log(spark, sf_dir), F.lit("2025-01-01").cast("date"))
+    return delivery.roll_back(_log(spark, sf_dir), F.lit("2025-01-01"))
 
 
 @query("""WITH i AS (SELECT event_id AS seq, 'r|u' || user_id || '|gen1' AS idempotency_key, event_type AS kind, event_id % 3 AS version FROM events WHERE user_id < 60), j AS (SELECT *, first_value(kind) OVER w AS f, row_number() OVER w AS n FROM i WINDOW w AS (PARTITION BY idempotency_key ORDER BY seq))
