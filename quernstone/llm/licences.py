@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,34 +155,55 @@ def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int
     sampled = materialize(split.orderBy(F.xxhash64("p"), "p").limit(fit_paragraphs).withColumn("seg", F.monotonically_increasing_id()), "licence-sample")
     near = template_overlap(sampled, spark).groupBy("seg").agg(F.max("overlap").alias("top"), F.max_by("family", F.struct("overlap", "family")).alias("family"))
     marked = sampled.join(near, "seg", "left").withColumn("label", F.when(F.col("top") >= CONFIRM, F.col("family")).when(F.coalesce("top", F.lit(0.0)) < CONFIRM / 2, F.lit(UNKNOWN)))
-    corpus = marked.where("label is not null").select("p", "words", "label")
-    own = [(t.lower(), f) for f, ts in TEMPLATES.items() for t in ts] + [(t.lower(), UNKNOWN) for t in NOT_LICENCES]
-    shown = spark.createDataFrame(own, "p string, label string").withColumn("words", words_of(F.col("p"))).select("p", "words", "label")
     labels = [UNKNOWN, *sorted(TEMPLATES)]
-    label = F.element_at(F.create_map(*(x for i, n in enumerate(labels) for x in (F.lit(n), F.lit(float(i))))), F.col("label"))
-    grams = F.array_distinct(F.concat(F.col("words"), pairs_of(F.col("words"))))
-    data = materialize(corpus.withColumn("shown", F.lit(False)).union(shown.withColumn("shown", F.lit(True))).select("p", "words", "shown", label.alias("label"), grams.alias("grams")).coalesce(1), "licence-rows")
-    total = data.where("label = 0 and not shown").count()
-    often = {r.w for r in data.where("label = 0 and not shown").select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(2, CUE_SHARE * total)).collect()}
-    seen = [r.g for r in data.where("shown and label > 0").select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]
+    corpus = [(tuple(r.grams), labels.index(r.label), r.third == 0) for r in marked.where("label is not null").select(grams_of(F.col("words")).alias("grams"), "label", F.pmod(F.xxhash64("p"), F.lit(3)).alias("third"), "p").orderBy("p").collect()]
+    own = [(t, labels.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, 0) for t in NOT_LICENCES]
+    shown = [(_grams(t), y) for t, y in own]
+    plain = [set(g) for g, y, _ in corpus if y == 0]
+    often = {w for w, n in Counter(w for g in plain for w in g).items() if n > max(2, CUE_SHARE * len(plain))}
+    seen = sorted({g for gs, y in shown if y for g in gs})
     cues = sorted({w for g in seen for w in g.split() if w not in often and not w.isdigit()})
     vocabulary = [g for g in seen if not set(cues).isdisjoint(g.split())]
-    counted = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
-    train = counted.transform(data.where("shown or label > 0 or pmod(xxhash64(p), 3) <> 0"))
-    # Templates are few: both sides weigh the same in all.
-    positive = max(1, train.where("label > 0").count())
-    weighted = train.withColumn("weight", F.when(F.col("label") > 0, max(1.0, total / positive)).otherwise(1.0))
-    fitted = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, weightCol="weight").fit(weighted)
-    matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
-    full = np.full((len(labels), len(vocabulary)), 0.0)
-    full[:len(matrix)] = matrix
-    offset = np.full(len(labels), -30.0)
-    offset[:len(bias)] = bias
-    kept = np.flatnonzero(np.abs(full).max(0) > 0)
-    weights = {vocabulary[i]: full[:, i].tolist() for i in kept}
-    held = data.where("not shown and label = 0 and pmod(xxhash64(p), 3) = 0").select("grams").collect()
-    temperature, threshold = _calibrate([offset + sum((np.array(weights[g]) for g in r.grams if g in weights), np.zeros(len(labels))) for r in held])
-    return LicenceModel(labels, cues, weights, offset.tolist(), temperature, threshold)
+    rows = shown + [(g, y) for g, y, held in corpus if y or not held]
+    weights, bias = _logistic(rows, vocabulary, len(labels))
+    kept = np.flatnonzero(np.abs(weights).max(1) > 0)
+    table = {vocabulary[i]: weights[i].tolist() for i in kept}
+    held = [bias + sum((np.array(table[g]) for g in gs if g in table), np.zeros(len(labels))) for gs, y, out in corpus if out and not y]
+    temperature, threshold = _calibrate(held)
+    return LicenceModel(labels, cues, table, bias.tolist(), temperature, threshold)
+
+
+def _grams(text: str) -> tuple[str, ...]:
+    """grams_of(words_of()) of a template."""
+    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    return tuple(dict.fromkeys(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+
+
+def _logistic(rows: list[tuple[tuple[str, ...], int]], vocabulary: list[str], labels: int, l1: float = 2e-5, l2: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression with elastic net by accelerated proximal gradient; licences and the rest weigh the same in all."""
+    at = {g: i for i, g in enumerate(vocabulary)}
+    alike = Counter((frozenset(at[g] for g in gs if g in at), y) for gs, y in rows)  # most paragraphs have no feature
+    x = np.zeros((len(alike), len(vocabulary) + 1))
+    x[:, -1] = 1
+    for i, (on, _) in enumerate(alike):
+        x[i, list(on)] = 1
+    y = np.array([label for _, label in alike])
+    n = np.array(list(alike.values()), dtype=float)
+    share = n * np.where(y > 0, 0.5 / max(1.0, n[y > 0].sum()), 0.5 / max(1.0, n[y == 0].sum()))
+    goal = np.eye(labels)[y]
+    step = 1 / (0.5 * float(share @ (x * x).sum(1)) + l2)
+    w = ahead = np.zeros((x.shape[1], labels))
+    t = 1.0
+    for _ in range(steps):
+        z = x @ ahead
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        moved = ahead - step * (x.T @ ((p - goal) * share[:, None]) + l2 * ahead)
+        new = np.sign(moved) * np.maximum(0, np.abs(moved) - step * l1)
+        new[-1] = moved[-1]
+        later = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead, w, t = new + (t - 1) / later * (new - w), new, later
+    return w[:-1], w[-1]
 
 
 def _calibrate(unknown: list[np.ndarray]) -> tuple[float, float]:
@@ -214,12 +235,13 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     found = materialize(found.withColumn("seg", F.monotonically_increasing_id()), "licence-cues")
     grams = found.select("seg", F.explode(grams_of(F.col("words"))).alias("gram"))
     n = len(model.labels)
-    sums = grams.join(F.broadcast(model.weight_table(spark)), "gram").groupBy("seg").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(n)))
-    z = [(F.col(f"z{i}") + model.bias[i]) / model.temperature for i in range(n)]
-    scored = sums.select("seg", *(x.alias(f"z{i}") for i, x in enumerate(z))).withColumn("top", F.greatest(*(f"z{i}" for i in range(n))))
-    scored = scored.withColumn("probability", 1 / sum((F.exp(F.col(f"z{i}") - F.col("top")) for i in range(n)), F.lit(0.0)))
-    family = F.coalesce(*(F.when(F.col(f"z{i}") == F.col("top"), F.lit(x)) for i, x in enumerate(model.labels)))
-    named = scored.select("seg", family.alias("family"), "probability").where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
+    sums = grams.join(F.broadcast(model.weight_table(spark)), "gram").groupBy("seg").agg(F.array(*(F.sum(F.col("w")[i]) for i in range(n))).alias("z"))
+    bias = F.array(*map(F.lit, model.bias))
+    scored = sums.select("seg", F.zip_with("z", bias, lambda z, b: (z + b) / model.temperature).alias("z"))
+    top = F.array_max("z")
+    label = F.element_at(F.array(*map(F.lit, model.labels)), F.array_position("z", top).cast("int"))
+    likely = scored.select("seg", label.alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda sum_, z: sum_ + F.exp(z - top))).alias("probability"))
+    named = materialize(likely, "licence-scores").where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
     overlap = template_overlap(found, spark)
     both = found.join(named, "seg").join(overlap, ["seg", "family"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
     return both.select("doc_id", "_th", "paragraph", "family", "probability", "overlap", (F.col("overlap") >= CONFIRM).alias("confirmed"))
