@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators import cleaning, delivery, matching, profiling, scoring, validation
+from quernstone.operators import cleaning, delivery, matching, profiling, recommend, reports, scoring, validation
 from quernstone.schema import Field, TargetSchema
+from quernstone.sources import words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -607,3 +608,85 @@ def set_checkpoints(spark: SparkSession) -> None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+
+
+# --- reports --------------------------------------------------------------------------------------------------------
+
+@query("""WITH f AS (SELECT p_type AS field, p_brand AS file, 's' || p_size % 2 AS sheet, p_partkey % 7 AS non_null, 7 + p_partkey % 3 AS total FROM part), g AS (SELECT field, file, sheet, sum(non_null) AS filled, max(total) AS rows FROM f GROUP BY ALL)
+SELECT field, least(1.0, sum(filled) / sum(rows)) AS coverage FROM g GROUP BY field""")
+def field_coverage(spark, sf_dir):
+    k = F.col("p_partkey")
+    return reports.field_coverage(table(spark, sf_dir, "part").select(F.col("p_type").alias("field"), F.col("p_brand").alias("file"), F.concat(F.lit("s"), (F.col("p_size") % 2).cast("string")).alias("sheet"), (k % 7).alias("non_null"), (7 + k % 3).alias("total")))
+
+
+@query("""SELECT lower(p_type) AS header, count(*) AS n_columns, arg_max(p_brand, row(p_partkey % 50, p_brand)) AS best, max(p_partkey % 50) AS filled FROM part GROUP BY 1""")
+def header_groups(spark, sf_dir):
+    return reports.header_groups(table(spark, sf_dir, "part").select(F.col("p_type").alias("column"), F.col("p_brand").alias("file"), (F.col("p_partkey") % 50).alias("non_null")))
+
+
+@query(f"""WITH {DECIDED_SQL}, t AS (SELECT file, "column", CASE WHEN length(file) % 2 = 0 THEN field WHEN length("column") % 2 = 0 THEN 'f1' END AS expected FROM ranked)
+SELECT count(*) FILTER (status = 'auto' AND field IS NOT DISTINCT FROM expected) AS n_right, count(*) FILTER (status = 'auto' AND expected IS NOT NULL AND field <> expected) AS n_wrong, count(*) FILTER (status = 'auto' AND expected IS NULL) AS n_noise,
+  count(*) FILTER (status = 'review' AND expected IS NOT NULL) AS n_over, count(*) FILTER (status = 'unmapped' AND expected IS NOT NULL) AS n_under,
+  count(*) FILTER (status = 'auto' AND field IS NOT DISTINCT FROM expected OR expected IS NULL AND status <> 'auto') / count(*) AS agreement FROM t JOIN decided USING (file, "column")""")
+def mapping_metrics(spark, sf_dir):
+    ranked = scoring.rank_gap(_scores(spark, sf_dir))
+    truth = ranked.select("file", "column", F.when(F.length("file") % 2 == 0, F.col("field")).when(F.length("column") % 2 == 0, "f1").alias("expected"))
+    return reports.mapping_metrics(scoring.decide(ranked), truth)
+
+
+@query("""SELECT user_id AS case_key, len(list_distinct(list_concat(list(event_id % 5) FILTER (event_type = 'error'), list(event_id % 7) FILTER (event_type = 'view')))) AS waiting FROM events GROUP BY user_id
+HAVING count(*) FILTER (event_type = 'error') > 0 AND count(*) FILTER (event_type = 'view') > 0""")
+def waiting_counts(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("case_key")).agg(F.collect_list(F.when(F.col("event_type") == "error", F.col("event_id") % 5)).alias("blocked"), F.collect_list(F.when(F.col("event_type") == "view", F.col("event_id") % 7)).alias("children"))
+    return reports.waiting_counts(e.where((F.size("blocked") > 0) & (F.size("children") > 0)))
+
+
+@query("""SELECT name, string_agg(code, ',' ORDER BY code) AS options FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY code) AS r FROM (SELECT DISTINCT c_mktsegment AS name, c_name AS code FROM customer)) WHERE r <= 8 GROUP BY name""")
+def lookup_options(spark, sf_dir):
+    return reports.lookup_options(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_name").alias("code")))
+
+
+@query("""SELECT user_id AS run_id, max(event_id) AS version FROM events WHERE event_type = 'click' GROUP BY user_id""")
+def latest_approved(spark, sf_dir):
+    return reports.latest_version(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("version"), F.col("event_type").alias("state")), "click")
+
+
+@query("SELECT user_id AS run_id, max(event_id) + 1 AS version FROM events GROUP BY user_id")
+def next_version(spark, sf_dir):
+    return reports.next_version(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("version")))
+
+
+@query("SELECT c_nationkey, sha256(string_agg(c_name || ':' || c_custkey, '|' ORDER BY c_name || ':' || c_custkey)) AS fingerprint FROM customer GROUP BY c_nationkey")
+def fingerprints(spark, sf_dir):
+    return reports.fingerprint(table(spark, sf_dir, "customer"), "c_nationkey", F.concat_ws(":", "c_name", F.col("c_custkey").cast("string")))
+
+
+@query("""SELECT v, CAST(n AS BIGINT) AS n FROM (SELECT p_type AS v, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, v LIMIT 20)""")
+def values_in_column(spark, sf_dir):
+    """A look at the commonest values of one column: a report."""
+    return reports.values_in_column(profiling.value_counts(cells(spark, sf_dir, *PARTS)), "part", "p_type")
+
+
+@query("""WITH c AS (SELECT 'customer' AS file, c_custkey AS row, c_custkey AS entity, 'c_name' AS "column", c_name AS value FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_suppkey, 's_name', s_name FROM supplier)
+SELECT entity, file, "column", value FROM c WHERE file <> 'supplier' AND entity IN (SELECT entity FROM c WHERE file = 'supplier')""")
+def what_other_sources_say(spark, sf_dir):
+    both = cells(spark, sf_dir, "customer", "c_custkey", "c_name").unionByName(cells(spark, sf_dir, "supplier", "s_suppkey", "s_name"))
+    return reports.what_other_sources_say(both, both.select("file", "row", F.col("row").alias("entity")), "supplier")
+
+
+@query()
+def proposed_schema(spark, sf_dir):
+    """A schema proposed from the profiles of two tables: a row for each field."""
+    profiles = profiling.profile_columns(cells(spark, sf_dir, *CUSTOMER).unionByName(cells(spark, sf_dir, *PARTS))).collect()
+    proposed = recommend.propose_schema(sorted(profiles, key=lambda p: (p.file, p.col_pos)), {"nation": {str(i) for i in range(25)}})
+    return spark.createDataFrame([(f.name, f.type, f.required, f.unique, f.pattern, f.reference) for f in proposed.fields], "name string, type string, required boolean, is_unique boolean, pattern string, reference string")
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS y0, 10 AS h FROM lineitem WHERE l_orderkey < 3000)
+SELECT l_orderkey AS page, l_linenumber AS word, CAST(sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY y0, l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line
+FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY l_orderkey ORDER BY y0, l_linenumber) > 7 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM w ORDER BY l_orderkey, l_linenumber, y0))""")
+def word_lines(spark, sf_dir):
+    """Lines of positioned words, as a scanned page gives them; a page is an order here."""
+    w = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_partkey") % 1000).cast("double").alias("y0"))
+    placed = w.select(F.lit("scan").alias("file"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("text"), F.col("l_linenumber").cast("double").alias("x0"), "y0", (F.col("l_linenumber") + 1.0).alias("x1"), (F.col("y0") + 10).alias("y1"), F.lit(1.0).alias("confidence"))
+    return words.lines(placed).select("page", F.col("text").alias("word"), "line")
