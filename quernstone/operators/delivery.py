@@ -33,10 +33,16 @@ def _last_of(log: DataFrame, outcomes: tuple[str, ...]) -> DataFrame:
     return log.where(F.col("outcome").isin(*outcomes)).groupBy("key").agg(F.max_by("outcome", F.struct("at", "seq")).alias("last"))
 
 
+def _last_now(log: DataFrame, relevant: Column, *what: str) -> DataFrame:
+    """key and the columns what of the last relevant attempt, where that is of the key's current generation; one aggregate, no join."""
+    row = F.when(relevant, F.struct("generation", *what))
+    last = log.groupBy("key").agg(F.max("generation").alias("_now"), F.max_by(row, F.when(relevant, F.struct("generation", "at", "seq"))).alias("_r"))
+    return last.where(F.col("_r.generation") == F.col("_now")).select("key", *(f"_r.{w}" for w in what))
+
+
 def accepted_keys(log: DataFrame) -> DataFrame:
     """key that the destination holds now: at the current generation the last of accepted, duplicate and rolled_back is no rollback."""
-    now = current_generation(log).where("generation = current_generation")
-    return _last_of(now, (*SUCCESS, "rolled_back")).where(F.col("last") != "rolled_back").select("key")
+    return _last_now(log, F.col("outcome").isin(*SUCCESS, "rolled_back"), "outcome").where("outcome <> 'rolled_back'").select("key")
 
 
 def failed_keys(log: DataFrame) -> DataFrame:
@@ -46,8 +52,7 @@ def failed_keys(log: DataFrame) -> DataFrame:
 
 def latest_accepted(log: DataFrame) -> DataFrame:
     """key, target_id, seq of the last accepted attempt of the current generation that has a target: what one undo takes back."""
-    now = current_generation(log).where("generation = current_generation").where(F.col("outcome").isin(*SUCCESS) & F.col("target_id").isNotNull())
-    return now.groupBy("key").agg(F.max_by(F.struct("target_id", "seq"), F.struct("at", "seq")).alias("r")).select("key", "r.target_id", "r.seq")
+    return _last_now(log, F.col("outcome").isin(*SUCCESS) & F.col("target_id").isNotNull(), "target_id", "seq")
 
 
 def to_send(ready: DataFrame, log: DataFrame) -> DataFrame:
