@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import SPACES, arrow_map, materialize, read_table, text_or_empty
+from quernstone.llm.common import SPACES, arrow_map, materialize, read_table
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -73,30 +73,34 @@ def host_verdicts(stats: DataFrame, host: str = "source", max_rate: float = MAX_
     return rated.withColumn("host_ok", F.greatest(*(F.col(f"rate_{r}") for r in rules)) <= max_rate)
 
 
+def _with_verdicts(stats: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
+    """verdicts is a table already, so Spark knows its size and moves no document if it is small."""
+    own = verdicts.select(F.col(host).alias("_host"), F.col("host_ok").alias("_ok"))
+    rules = document_rules()
+    joined = stats.join(own, stats[host].eqNullSafe(own["_host"]))
+    return joined.withColumn("base_failed", rules["short"] | rules["repeats"]).withColumn("kept", ~F.col("base_failed") & F.col("_ok")).drop("_host", "_ok")
+
+
+FIELDS = [T.StructField(x, T.LongType()) for x in STATS]
+
+
 def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """Each row of docs with STATS, base_failed and kept.
 
     A null text is empty and fails the base (under 50 words). A null host is a host of its own. Repeated rows
     count each. Columns of docs named like a result are replaced; all others pass. An empty table gives none.
+    Statistics are made twice, once for the hosts and once for the rows, so that no text is stored between.
     """
-    fields = [T.StructField(x, T.LongType()) for x in STATS]
-    return judge_stats(arrow_map(docs.drop("base_failed", "kept"), fields, _stats), host, max_rate)
+    narrow = arrow_map(docs.select("text", host), FIELDS, _stats, drop=("text",))
+    verdicts = materialize(host_verdicts(narrow, host, max_rate), "host-verdicts")
+    return _with_verdicts(arrow_map(docs.drop("base_failed", "kept"), FIELDS, _stats), verdicts, host)
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"), "source")
-    fields = [T.StructField(x, T.LongType()) for x in STATS]
-    narrow = arrow_map(docs, fields, _stats, drop=("text",))
-    return judge_stats(narrow).select("doc_id", *STATS, "base_failed", "kept")
-
-
-def judge_stats(stats: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """judge() for rows that carry STATS already."""
-    stats = materialize(stats, "host-stats")
-    verdicts = host_verdicts(stats, host, max_rate).select(F.col(host).alias("_host"), F.col("host_ok").alias("_ok"))
-    rules = document_rules()
-    joined = stats.join(verdicts, stats[host].eqNullSafe(verdicts["_host"]))
-    return joined.withColumn("base_failed", rules["short"] | rules["repeats"]).withColumn("kept", ~F.col("base_failed") & F.col("_ok")).drop("_host", "_ok")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    stats = materialize(arrow_map(docs, FIELDS, _stats, drop=("text",)), "host-stats")
+    verdicts = materialize(host_verdicts(stats), "host-verdicts")
+    return _with_verdicts(stats, verdicts, "source").select("doc_id", *STATS, "base_failed", "kept")
 
 
 ORACLE_SQL = r"""
