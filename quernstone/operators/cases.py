@@ -99,6 +99,32 @@ class Overrides:
     ignored_files: set[str] = field(default_factory=set)
 
 
+class RefusedDecision(ValueError):
+    """An answer that a case cannot take."""
+
+
+def check_decision(case: dict, action: str, value: str | None = None, recommended: str | None = None) -> str | None:
+    """The value to apply: approving takes the recommended option and is refused without one."""
+    if action == "approve":
+        if recommended is None:
+            raise RefusedDecision(f"{case['case_key']}: nothing is recommended, so there is nothing to approve")
+        return recommended
+    return value
+
+
+def recommended_reading(checked: DataFrame) -> DataFrame:
+    """format, rows, agree, recommended: the one reading that agrees with other files, if only one does; checked: of cross_check()."""
+    supported = checked.agg(F.count_if(F.col("agree") > 0).alias("_n"))
+    return checked.crossJoin(F.broadcast(supported)).withColumn("recommended", (F.col("_n") == 1) & (F.col("agree") > 0)).drop("_n")  # one row
+
+
+def enrich(cases: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """cases with suggested values (case_key, value) put after the options they have; nothing measured is displaced."""
+    own = suggestions.groupBy("case_key").agg(F.array_sort(F.collect_set("value")).alias("_more"))
+    joined = cases.join(own, "case_key", "left")
+    return joined.withColumn("options", F.array_distinct(F.concat(F.coalesce("options", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>"))))).drop("_more")
+
+
 def apply_decision(overrides: Overrides, case: dict, action: str, value: str | None = None) -> Overrides:
     """One answer: reject excludes the record (or ignores a whole file); the others go by the class of the case."""
     kind, file, column, name, record = case["class"], case.get("file"), case.get("column"), case.get("field"), case.get("record_key")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.text import prefix_match
+
 SUCCESS, RETRYABLE = ("accepted", "duplicate"), ("transient", "uncertain")
 ATTEMPTS, BACKOFF = 3, (0.5, 1.5)
 
@@ -60,7 +66,70 @@ def to_send(ready: DataFrame, log: DataFrame) -> DataFrame:
     return ready.join(accepted_keys(log), "key", "left_anti")
 
 
-def accept(incoming: DataFrame, stored: DataFrame, known_versions: DataFrame, required: list[str]) -> DataFrame:
+def payload_errors(rules: dict[str, Any]) -> Column:
+    """Names of the fields of a payload map that break a destination's rules (schema.destination_rules()): required, allowed, pattern."""
+    v = lambda name: F.coalesce(F.col("payload")[name], F.lit(""))
+    checks = [F.when(v(n) == "", F.lit(n)) for n in rules.get("required", [])]
+    checks += [F.when((v(n) != "") & ~v(n).isin(*allowed), F.lit(n)) for n, allowed in rules.get("allowed", {}).items()]
+    checks += [F.when((v(n) != "") & ~prefix_match(v(n), pattern), F.lit(n)) for n, pattern in rules.get("patterns", {}).items()]
+    return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
+
+
+def known_rules(registered: DataFrame) -> DataFrame:
+    """run_id, version, rules for each run: its own registration, else the version's by any run (the latest); registered: run_id, version, rules, at."""
+    own = registered.groupBy("run_id", "version").agg(F.max_by("rules", "at").alias("_own"))
+    every = registered.groupBy("version").agg(F.max_by("rules", "at").alias("_any"))
+    runs = registered.select("run_id").distinct().crossJoin(F.broadcast(every.select("version").distinct()))  # runs by versions: metadata
+    return runs.join(own, ["run_id", "version"], "left").join(every, "version", "left").select("run_id", "version", F.coalesce("_own", "_any").alias("rules"))
+
+
+def list_records(target: DataFrame, run_id: str | None = None, natural_key: str | None = None, rolled_back: bool = False) -> DataFrame:
+    """What a destination holds, oldest first; rolled-back records only if asked for."""
+    for name, value in (("run_id", run_id), ("natural_key", natural_key)):
+        if value is not None:
+            target = target.where(F.col(name) == value)
+    return (target if rolled_back else target.where("state = 'accepted'")).orderBy("received_at", "record_id")
+
+
+Send = Callable[[DataFrame, int], DataFrame]
+
+
+def deliver(ready: DataFrame, send: Send, reconcile: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS, backoff: tuple[float, ...] = BACKOFF) -> DataFrame:
+    """The log of up to so many attempts for each ready record (key and payload): attempt and outcome are added.
+
+    send(records, attempt) returns the records with an outcome; it is any sink, a table or foreachPartition over
+    HTTP. Before a retry, uncertain records that reconcile(records) finds at the destination (key) become
+    duplicates. Each attempt is checkpointed, as sending again to know what was sent would not do.
+    """
+    log, pending = None, ready
+    for n in range(1, attempts + 1):
+        sent = send(pending, n).withColumn("attempt", F.lit(n)).checkpoint()
+        unsure = sent.where("outcome = 'uncertain'")
+        found = reconcile(unsure).select("key").distinct().withColumn("_found", F.lit(True))
+        settled = sent.join(found, "key", "left").withColumn("outcome", F.when((F.col("outcome") == "uncertain") & F.col("_found"), "duplicate").otherwise(F.col("outcome"))).drop("_found").checkpoint()
+        log = settled if log is None else log.unionByName(settled)
+        pending = settled.where(F.col("outcome").isin(*RETRYABLE)).drop("outcome", "attempt")
+        if n == attempts or pending.isEmpty():
+            return log
+        time.sleep(backoff[min(n - 1, len(backoff) - 1)] if backoff else 0)
+    return log
+
+
+def rehearse(send: Send, failures: dict[str, tuple[str, int]]) -> Send:
+    """A sender for tests: keys in failures (outcome, number of attempts) fail so often first; uncertain ones are stored all the same."""
+
+    def run(records: DataFrame, attempt: int) -> DataFrame:
+        fails = [(k, o) for k, (o, n) in failures.items() if attempt <= n]
+        planned = records.sparkSession.createDataFrame(fails, "key string, _fails string")
+        marked = records.join(planned, "key", "left")
+        stored = send(marked.where("_fails is null or _fails = 'uncertain'").drop("_fails"), attempt)
+        outcome = F.coalesce(F.col("_fails"), F.col("outcome"))
+        return marked.select("key", "_fails").join(stored, "key", "left").withColumn("outcome", outcome).drop("_fails")
+
+    return run
+
+
+def accept(incoming: DataFrame, stored: DataFrame, known_versions: DataFrame, rules: dict[str, Any] | list[str]) -> DataFrame:
     """incoming (idempotency_key, payload map, version) with outcome: duplicate or conflict for a known key, unknown schema, rejected, else accepted.
 
     Repeats within incoming count in the order of seq: the first is judged, later ones as repeats of it.
@@ -71,9 +140,7 @@ def accept(incoming: DataFrame, stored: DataFrame, known_versions: DataFrame, re
     old = stored.select(F.col("idempotency_key"), F.col("hash").alias("_old"))
     versions = known_versions.select("version").distinct().withColumn("_known", F.lit(True))
     joined = judged.join(old, "idempotency_key", "left").join(versions, "version", "left")
-    missing = F.lit(False)
-    for name in required:
-        missing = missing | (F.coalesce(F.col("payload")[name], F.lit("")) == "")
+    missing = F.size(payload_errors(rules if isinstance(rules, dict) else {"required": rules})) > 0
     before = F.coalesce("_old", F.when(F.col("_n") > 1, F.col("_first")))
     outcome = F.when(before == F.col("hash"), "duplicate").when(before.isNotNull(), "conflict").when(F.col("_known").isNull(), "unknown_schema").when(missing, "rejected").otherwise("accepted")
     return joined.withColumn("outcome", outcome).drop("_old", "_known", "_first", "_n")

@@ -150,3 +150,45 @@ def test_snapshots(spark):
     now = spark.createDataFrame([("r", "f1"), ("q", "f0")], "run_id string, fingerprint string")
     assert [tuple(r) for r in reports.snapshot(saved, now).collect()] == [("r", "old")]
     assert spark.range(1).select(reports.run_name(F.lit("  a \t b ")).alias("n")).first().n == "a b"
+
+
+def test_retries(spark):
+    set_checkpoints(spark)
+    ready = spark.createDataFrame([(k, {"id": k}) for k in ("ok", "slow", "lost", "dead")], "key string, payload map<string,string>")
+    held: set[str] = set()
+
+    def table(records, attempt):
+        held.update(r.key for r in records.select("key").collect())
+        return records.withColumn("outcome", F.lit("accepted"))
+
+    send = delivery.rehearse(table, {"slow": ("transient", 1), "lost": ("uncertain", 1), "dead": ("transient", 9)})
+    log = delivery.deliver(ready, send, lambda records: records.where(F.col("key").isin(*held)), backoff=())
+    got = sorted((r.key, r.attempt, r.outcome) for r in log.collect())
+    assert got == [("dead", 1, "transient"), ("dead", 2, "transient"), ("dead", 3, "transient"), ("lost", 1, "duplicate"), ("ok", 1, "accepted"), ("slow", 1, "transient"), ("slow", 2, "accepted")]
+
+
+def test_destination(spark):
+    rules = PERSON.destination_rules() | {"required": ["id", "first"], "allowed": {"kind": ["a"]}, "patterns": {"id": "E[0-9]"}}
+    rows = [("k1", {"id": "E1", "first": "x"}, 1), ("k1", {"id": "E1", "first": "x"}, 2), ("k1", {"id": "E2", "first": "x"}, 3), ("k2", {"id": "X", "first": "x"}, 4), ("k3", {"id": "E1"}, 5), ("k4", {"id": "E1", "first": "x", "kind": "b"}, 6), ("old", {"id": "E1", "first": "x"}, 7)]
+    incoming = spark.createDataFrame([(k, p, s, 1) for k, p, s in rows], "idempotency_key string, payload map<string,string>, seq int, version int")
+    stored = incoming.where("seq = 7").select("idempotency_key", delivery.payload_hash(F.col("payload")).alias("hash"))
+    versions = spark.createDataFrame([(1,)], "version int")
+    assert {r.seq: r.outcome for r in delivery.accept(incoming, stored, versions, rules).collect()} == {1: "accepted", 2: "duplicate", 3: "conflict", 4: "rejected", 5: "rejected", 6: "rejected", 7: "duplicate"}
+    registered = spark.createDataFrame([("r", 1, "own", 1), ("q", 1, "other", 2), ("q", 2, "two", 3)], "run_id string, version int, rules string, at int")
+    assert {(r.run_id, r.version): r.rules for r in delivery.known_rules(registered).collect()} == {("r", 1): "own", ("r", 2): "two", ("q", 1): "other", ("q", 2): "two"}
+    held = spark.createDataFrame([("1", "r", "k", "accepted", 2), ("2", "r", "k", "rolled_back", 1)], "record_id string, run_id string, natural_key string, state string, received_at int")
+    assert [r.record_id for r in delivery.list_records(held, "r").collect()] == ["1"] and [r.record_id for r in delivery.list_records(held, "r", "k", True).collect()] == ["2", "1"]
+
+
+def test_decisions_and_suggestions(spark):
+    with pytest.raises(cases.RefusedDecision):
+        cases.check_decision({"case_key": "c"}, "approve")
+    assert cases.check_decision({"case_key": "c"}, "approve", None, "x") == "x" and cases.check_decision({"case_key": "c"}, "set", "y") == "y"
+    checked = spark.createDataFrame([("a", 3, 3), ("b", 3, 0)], "format string, rows int, agree int")
+    assert {r.format: r.recommended for r in cases.recommended_reading(checked).collect()} == {"a": True, "b": False}
+    split = spark.createDataFrame([("a", 3, 2), ("b", 3, 1)], "format string, rows int, agree int")
+    assert not any(r.recommended for r in cases.recommended_reading(split).collect())
+    df = spark.createDataFrame([("c", ["m"]), ("d", None)], "case_key string, options array<string>")
+    more = spark.createDataFrame([("c", "m"), ("c", "z"), ("d", "q")], "case_key string, value string")
+    assert {r.case_key: r.options for r in cases.enrich(df, more).collect()} == {"c": ["m", "z"], "d": ["q"]}
+    scoring.assert_votes_cannot_decide([scoring.Candidate("f", {}, [], 1.0)])
