@@ -285,6 +285,18 @@ def test_boilerplate_goes():
     assert main_text(page) == "Title\nLong paragraph text, with many words. And more of it, so that it counts.\nSecond link & para.\nitem one"
 
 
+def test_proximity(spark):
+    from quernstone.llm import decontaminate
+
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta epsilon zeta eta theta iota kappa y"), (2, "alpha beta new gamma delta epsilon zeta eta theta iota kappa"), (3, "alpha " + "pad " * 40 + "beta gamma")], "doc_id long, text string")
+    index = decontaminate.build_index(docs, bench)
+    exact = {(r.doc_id, r.start, r["len"]) for r in decontaminate.exact_matches(index).collect()}
+    assert exact == {(1, 1, 10)}
+    near = {(r.doc_id, abs(r.gap)) for r in decontaminate.proximity_matches(index, slop=3).collect()}
+    assert (1, 0) in near and {d for d, _ in near} == {1, 2}
+
+
 def test_text_stats():
     words = "a b c d a b c e".split()
     assert text_stats(" ".join(words)) == (8, 8, 0, 0, 6)
