@@ -28,14 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, so a lost executor costs one stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes the tables that materialize() wrote in this process and returns how many; for a caller whose results are written, as results read them."""
+    hadoop, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += path.getFileSystem(hadoop).delete(path, True)
+    return gone
+
+
 #: Rows that go to Python at once: with documents of some KB, a few MB.
 BATCH = 1000
 

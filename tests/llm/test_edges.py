@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quernstone.llm import decontaminate, host_rules, html_text, licences, line_crf, lm_score, mixing, near_dups, pii, sharding
-from quernstone.llm.common import lowest, number_within
+from quernstone.llm.common import drop_tables, lowest, materialize, number_within
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = " ".join(f"word{i % 97} other{i % 89}" for i in range(60))
@@ -150,3 +150,9 @@ def test_helpers(spark):
     few = {r.id for r in lowest(spark.range(5000), F.xxhash64("id"), 50).collect()}
     every = sorted(spark.range(5000).select("id", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")).collect(), key=lambda r: r.h)
     assert few == {r.id for r in every[:50]}
+
+
+def test_drop_tables(spark):
+    drop_tables(spark)
+    made = materialize(spark.range(3), "test")
+    assert made.count() == 3 and drop_tables(spark) == 1 and drop_tables(spark) == 0
