@@ -25,6 +25,10 @@ ASIDE_WORDS = set(
     " breadcrumb breadcrumbs footer header masthead comment comments respond disqus replies related recommended share sharing social widget pagination pager login signin signup search toolbar skip alert complementary contentinfo".split()
 )
 MAIN_TAGS = {"article", "main"}
+#: Inside the main element these words mean the article's own heading.
+OWN_HEADER = {"header", "masthead", "banner"}
+#: Classes that say what a layout has or lacks, not what an element is.
+LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][a-z_-]+")
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
 HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -44,8 +48,9 @@ class Block:
 def _aside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in ASIDE_TAGS or tag == "header" and not in_main:
         return True
-    words = {w for m in HINT.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return tag not in ("html", "body") and not words.isdisjoint(ASIDE_WORDS)
+    said = " ".join(m[1] or m[2] or m[3] or "" for m in HINT.finditer(attributes)).lower()
+    words = set(re.split(r"[^a-z]+", LAYOUT.sub("", said)))
+    return tag not in ("html", "body") and not words.isdisjoint(ASIDE_WORDS - OWN_HEADER if in_main else ASIDE_WORDS)
 
 
 def blocks_of(page: str) -> list[Block]:

@@ -285,6 +285,13 @@ def test_boilerplate_goes():
     assert main_text(page) == "Title\nLong paragraph text, with many words. And more of it, so that it counts.\nSecond link & para.\nitem one"
 
 
+def test_layout_words_keep_the_article():
+    page = """<body class="menu"><div class="layout no-sidebar has-comments"><nav><a href=x>Home</a></nav><article><div class="post-header"><h1>Title</h1></div><p>Some text, and more.</p>
+    <aside>Aside.</aside><div class="share-buttons">Share</div><section id="comments"><article class="comment"><p>A reader says a lot, at length.</p></article></section></article></div></body>"""
+    assert main_text(page) == "Title\nSome text, and more."
+    assert main_text("<nav><a>Menu</a></nav><div class='ad'>Buy now.</div><article></article><footer>c</footer>") == ""
+
+
 def test_proximity(spark):
     from quernstone.llm import decontaminate
 
