@@ -28,21 +28,23 @@ class Pieces:
         self.lengths = sorted({len(p) for p in pieces})
         power, _ = _powers(max(self.lengths))
         own = np.array([int((_BYTES[np.frombuffer(p, np.uint8)] * power[:len(p)]).sum(dtype=np.uint64)) for p in pieces], dtype=np.uint64)
-        # Two direct tables: pieces whose slot in the first is taken go to the second, where none collide.
+        # A flag for each slot says whether any piece has it; two direct tables then tell which. Pieces whose slot in
+        # the first is taken go to the second, where none collide.
         for seed in range(1, 1000):
             self.mix = [np.uint64((0xD6E8FEB86659FD93 * (2 * seed + k) | 1) % 2**64) for k in (0, 1)]
+            self.flag = np.zeros(2**_SLOTS, np.uint8)
             self.key = [np.zeros(2**_SLOTS, np.uint64) for _ in (0, 1)]
             self.id = [np.full(2**_SLOTS, NONE, np.int32) for _ in (0, 1)]
-            if self._fill(own):
+            if self._fill((own * self.mix[0]).tolist()):
                 return
         raise ValueError("the pieces can't be hashed apart")
 
-    def _fill(self, own: np.ndarray) -> bool:
+    def _fill(self, own: list[int]) -> bool:
         for i, h in enumerate(own):
-            for k in (0, 1):
-                slot = (int(h) * int(self.mix[k]) % 2**64) >> (64 - _SLOTS)
+            for k, slot in enumerate((h >> (64 - _SLOTS), (h * int(self.mix[1]) % 2**64) >> (64 - _SLOTS))):
                 if self.id[k][slot] == NONE:
                     self.key[k][slot], self.id[k][slot] = h, i
+                    self.flag[h >> (64 - _SLOTS)] = 1
                     break
                 if self.key[k][slot] == h:
                     return False
@@ -50,14 +52,19 @@ class Pieces:
                 return False
         return True
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, or NONE."""
-        out = np.full(h.shape, NONE, np.int32)
-        for k in (0, 1):
-            slot = (h * self.mix[k] >> np.uint64(64 - _SLOTS)).astype(np.int64)
-            hit = self.key[k][slot] == h
-            out[hit] = self.id[k][slot[hit]]
-        return out
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where h, a hash times mix[0], is a piece's; and which piece's."""
+        slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        some = np.flatnonzero(self.flag[slot])
+        h, slot = h[some], slot[some]
+        out = np.where(self.key[0][slot] == h, self.id[0][slot], NONE)
+        if len(rest := np.flatnonzero(out == NONE)):
+            other = h[rest]
+            slot = (other * self.mix[1] >> np.uint64(64 - _SLOTS)).astype(np.int32)
+            out[rest] = np.where(self.key[1][slot] == other, self.id[1][slot], NONE)
+            keep = np.flatnonzero(out >= 0)
+            some, out = some[keep], out[keep]
+        return some, out
 
     def with_logp(self, logp: np.ndarray) -> Pieces:
         other = object.__new__(Pieces)
@@ -85,31 +92,35 @@ def from_sentencepiece(path: str) -> Pieces:
 
 
 def _chunks(words: list[bytes]):
-    """Indices of words of about one length, and their bytes padded to one."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    at = 0
+    """Indices of words of about one length, and their bytes after a space, padded to one length."""
+    flat = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    ranked, at = sizes[order], 0
     while at < len(order):
-        shortest, end = len(words[order[at]]), at
-        while end < len(order) and len(words[order[end]]) <= max(8, shortest * 5 // 4) and (end == at or (end - at) * (len(words[order[end]]) + 1) < 200_000):
-            end += 1
+        limit = max(8, int(ranked[at]) * 5 // 4)
+        end = min(int(np.searchsorted(ranked, limit, "right")), at + max(1, 200_000 // (limit + 1)))
         some = order[at:end]
-        width = max(len(words[i]) for i in some) + 1
-        text = b"".join((b" " + words[i]).ljust(width, b"\0") for i in some)
-        yield np.array(some), np.frombuffer(text, np.uint8).reshape(len(some), width), np.array([len(words[i]) + 1 for i in some])
+        column = np.arange(int(ranked[end - 1]))
+        grid = np.full((len(some), len(column) + 1), 32, np.uint8)
+        grid[:, 1:] = np.where(column < sizes[some, None], flat[np.minimum(starts[some, None] + column, len(flat) - 1)], 0)
+        yield some, grid, sizes[some] + 1
         at = end
 
 
 def _edges(pieces: Pieces, grid: np.ndarray):
-    """(end, length, piece of every word there) for every span of a piece's length; bounded by the grid."""
+    """(end, length, words that have a piece there, their pieces) for every span of a piece's length."""
     n, width = grid.shape
     power, inverse = _powers(width)
+    inverse = inverse * pieces.mix[0]
     prefix = np.zeros((width + 1, n), np.uint64)
     np.cumsum((_BYTES[grid] * power).T, axis=0, dtype=np.uint64, out=prefix[1:])
     for end in range(1, width + 1):
         for length in pieces.lengths:
             if length > end:
                 break
-            yield end, length, pieces.find((prefix[end] - prefix[end - length]) * inverse[end - length])
+            yield end, length, *pieces.find((prefix[end] - prefix[end - length]) * inverse[end - length])
 
 
 def _forward(pieces: Pieces, grid: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -117,10 +128,8 @@ def _forward(pieces: Pieces, grid: np.ndarray, keep: list | None = None) -> np.n
     n, width = grid.shape
     alpha = np.full((width + 1, n), -np.inf)
     alpha[0] = 0.0
-    for end, length, found in _edges(pieces, grid):
-        some = np.flatnonzero(found >= 0)
+    for end, length, some, ids in _edges(pieces, grid):
         if len(some):
-            ids = found[some]
             alpha[end, some] = np.logaddexp(alpha[end, some], alpha[end - length, some] + pieces.logp[ids])
             if keep is not None:
                 keep.append((end, length, some, ids))

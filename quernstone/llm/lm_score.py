@@ -54,10 +54,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+#: Words that the lattice takes at once; fewer cost more in calls than in sums.
+TOGETHER = 50_000
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many or a little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _uses(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pieces.pieces))
-        for batch in batches:
+        for batch in gathered(batches):
             words = [w.encode() for w in batch.column("word").to_pylist()]
             total += expected_pieces(words, batch.column("c").to_numpy().astype(float), pieces)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["piece", "uses"])
@@ -91,7 +107,7 @@ class Model:
 
 def _word_scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             scores = model.score_words([w.encode() for w in batch.column("word").to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.base(batch.column("c").to_numpy())), pa.array(scores)], names=["word", "c", "n", "base", "lattice"])
 
