@@ -81,20 +81,24 @@ def self_references(records: DataFrame, f: str, identity: str, record_id: str =
 def hold_dependents(records: DataFrame, parent: str, identity: str, state: str = "state") -> DataFrame:
     """identity, root of every ready record that reaches a blocked one by its parents; root is the blocked one.
 
-    Rounds follow the chains of parents, one join each, until none is added; every round is checkpointed.
+    Each round doubles how far every record looks up its chain, so a chain of n takes log2(n) joins; a record leaves
+    once it meets a blocked one (held) or one that is neither blocked nor ready. Rounds end when none is left, or when
+    the longest chain that the ready records could form is passed, as only circles are left then. Rounds are checkpointed.
     """
-    blocked = records.where(F.col(state) == "blocked").select(F.col(identity).alias("_at"), F.col(identity).alias("root")).checkpoint()
-    ready = records.where(F.col(state) == "ready").select(F.col(identity).alias("id"), F.col(parent).alias("_parent"))
-    held = None
+    blocked = records.where(F.col(state) == "blocked").select(F.col(identity).alias("_at")).distinct().withColumn("_blocked", F.lit(True)).checkpoint()
+    ready = records.where(F.col(state) == "ready").where(F.col(identity).isNotNull() & F.col(parent).isNotNull()).select(F.col(identity).alias("id"), F.col(parent).alias("at")).distinct().checkpoint()
+    held, ways, reach, longest = None, ready, 1, ready.count()
     while True:
-        new = ready.join(blocked, ready["_parent"] == blocked["_at"]).select("id", "root").distinct()
-        if held is not None:
-            new = new.join(held, ["id", "root"], "left_anti")
-        new = new.checkpoint()
-        if new.isEmpty():
-            return held if held is not None else new
+        marked = ways.join(blocked, ways["at"] == blocked["_at"], "left").drop("_at").checkpoint()
+        new = marked.where("_blocked").select("id", F.col("at").alias("root"))
         held = new if held is None else held.union(new)
-        blocked = new.select(F.col("id").alias("_at"), "root")
+        open_ways = marked.where("_blocked is null").select("id", "at")
+        if reach > longest or open_ways.isEmpty():
+            return held.distinct()
+        # a way that meets a settled one ends where that ends
+        onward = open_ways.select(F.col("id").alias("_from"), F.col("at").alias("_to")).union(held.select(F.col("id").alias("_from"), F.col("root").alias("_to")))
+        ways = open_ways.join(onward, open_ways["at"] == onward["_from"]).select("id", F.col("_to").alias("at")).distinct().checkpoint()
+        reach *= 2
 
 
 def final_states(records: DataFrame) -> DataFrame:

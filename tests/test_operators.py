@@ -99,6 +99,25 @@ def test_dependents(spark):
     assert {(r.id, r.root) for r in validation.hold_dependents(df, "parent", "id").collect()} == {("b", "a"), ("c", "a")}
 
 
+def test_long_chains_of_dependents(spark):
+    import random
+
+    set_checkpoints(spark)
+    rng = random.Random(6)
+    parents = {i: i - 1 if i < 60 else rng.randrange(400) for i in range(1, 300)}
+    states = {i: "ready" if i < 59 else rng.choices(["ready", "blocked", "excluded"], [12, 1, 1])[0] for i in range(1, 300)} | {0: "blocked"}
+    want = set()
+    for i in range(300):
+        at, seen = i, set()
+        while states.get(at) == "ready" and at not in seen:
+            seen.add(at)
+            at = parents[at]
+        if states[i] == "ready" and states.get(at) == "blocked":
+            want.add((i, at))
+    df = spark.createDataFrame([(i, parents.get(i), states[i]) for i in range(300)], "id int, parent int, state string")
+    assert {(r.id, r.root) for r in validation.hold_dependents(df, "parent", "id").collect()} == want and (58, 0) in want
+
+
 def test_uniqueness(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(["A", "a", "b", "", None, "A", "a", "a"])], "record_id int, v string")
     got = {r.record_id: r.others for r in validation.uniqueness_issues(df, Field("v")).collect()}
