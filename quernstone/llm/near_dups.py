@@ -151,6 +151,78 @@ def _stars(bucket: DataFrame) -> DataFrame:
     return joined.select(F.explode(F.array("_lo", "_hi")).alias("_end"), "node").where("_end <> node").select(F.least("_end", "node").alias("a"), F.greatest("_end", "node").alias("b")).distinct()
 
 
+#: Nodes of a block; a band is compared block against block, so that no task gets a whole band.
+BLOCK = 200
+
+
+def _block_pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, comp, key, band, side, pair: the nodes of every two blocks of a band that hold a pair not tested yet, side being 0, 1, or 2 if a block meets itself.
+
+    A class above BLOCK nodes has blocks of its own, which need not meet each other; smaller classes share blocks.
+    Bands of two nodes are tested whole by _stars, and bands of one class need no test.
+    """
+    placed = shared.withColumn("comp", F.col("node")) if labels is None else shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = sizes.groupBy("key").agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_classes"), F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("_small")).where("_all > 2 and _classes > 1")
+    sizes = sizes.join(open_keys.select("key", "_small"), "key").withColumn("own", F.when(F.col("n") > BLOCK, F.col("comp")).otherwise(F.lit(-1)))
+    dealt = placed.join(sizes, ["key", "comp"]).withColumn("_by", F.when(F.col("own") < 0, F.xxhash64("comp")).otherwise(F.xxhash64("node")))
+    dealt = dealt.withColumn("block", F.pmod("_by", F.ceil(F.when(F.col("own") < 0, F.col("_small")).otherwise(F.col("n")) / BLOCK)))
+    dealt = materialize(dealt.select("key", "band", "node", "comp", "own", "block"), "near-dealt")
+    blocks = dealt.select("key", "own", "block").distinct()
+    other = blocks.select("key", F.col("own").alias("_own"), F.col("block").alias("_block"))
+    met = blocks.join(other, "key").where("own < _own or (own = -1 and _own = -1 and block <= _block)")
+    met = materialize(met.withColumn("pair", F.monotonically_increasing_id()), "near-blocks")
+    same = (F.col("own") == F.col("_own")) & (F.col("block") == F.col("_block"))
+    ends = met.select("key", "own", "block", "pair", F.when(same, 2).otherwise(0).alias("side")).union(met.where(~same).select("key", F.col("_own").alias("own"), F.col("_block").alias("block"), "pair", F.lit(1).alias("side")))
+    return dealt.join(ends, ["key", "own", "block"]).select("node", "comp", "band", "side", "pair")
+
+
+def _compare(side: np.ndarray, comp: np.ndarray, bands: np.ndarray, band: int, own: list[tuple[np.ndarray, np.ndarray]], least: float) -> list[tuple[int, int]]:
+    """Links between nodes of two blocks, enough to join every two that reach the similarity and are not joined yet. Pairs that share an earlier band are tested there."""
+    sizes = np.array([len(x[0]) for x in own])
+    at = np.r_[0, np.cumsum(sizes)]
+    vocabulary, ids = np.unique(np.concatenate([x[0] for x in own]), return_inverse=True)
+    w = np.concatenate([x[1] for x in own]).astype(float)
+    total = np.add.reduceat(w, at[:-1])
+    comp, links = comp.copy(), []
+    right = np.flatnonzero(side > 0)
+    look = np.zeros(len(vocabulary))
+    for x in np.flatnonzero(side != 1):
+        ys = right[right > x] if side[x] == 2 else right
+        ys = ys[(comp[ys] != comp[x]) & (np.minimum(total[ys], total[x]) >= least * (1 - 1e-6) * np.maximum(total[ys], total[x]))]
+        if band and len(ys):
+            ys = ys[~(bands[ys, :band] == bands[x, :band]).any(1)]
+        if not len(ys):
+            continue
+        mine = slice(at[x], at[x + 1])
+        look[ids[mine]] = w[mine]
+        n = sizes[ys]
+        first = np.cumsum(n) - n
+        places = np.arange(n.sum()) + np.repeat(at[ys] - first, n)
+        common = np.add.reduceat(np.minimum(look[ids[places]], w[places]), first)
+        look[ids[mine]] = 0
+        for y in ys[common >= least * (total[x] + total[ys] - common)]:
+            if comp[y] != comp[x]:
+                links.append((int(x), int(y)))
+                comp[comp == comp[y]] = comp[x]
+    return links
+
+
+def _rest(shared: DataFrame, labels: DataFrame | None, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links (a, b) that join all pairs of different classes that share a band and reach the similarity. Texts (node, text, _bands) meet each two blocks once, not each pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        own = [weights(x, idf) for x in shingles([normal(x) for x in table.column("text").to_pylist()])]
+        bands = np.array(table.column("_bands").to_pylist(), np.int64)
+        found = _compare(table.column("side").to_numpy(), table.column("comp").to_numpy(), bands, table.column("band")[0].as_py(), own, least)
+        a, b = (np.array([node[x[i]] for x in found], np.int64) for i in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    met = _block_pairs(shared, labels).join(texts.hint("merge"), "node")
+    return met.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
 def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """docs with _row, a stable number, and _digest of the normal text; and _digest, class_id, _comp of every digest."""
     clean = docs.drop("class_id", "_row", "_comp")
@@ -169,7 +241,7 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     shared = banded.join(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
     shared = materialize(shared, "near-bands")
     involved = shared.select(F.col("node").alias("_row")).distinct()
-    texts = materialize(rows.select("_row", "text").join(involved.hint("merge"), "_row", "left_semi").withColumnRenamed("_row", "node"), "near-texts")
+    texts = materialize(rows.select("_row", "text", "_bands").join(involved.hint("merge"), "_row", "left_semi").withColumnRenamed("_row", "node"), "near-texts")
     tested = links = labels = None
     first = True
     while True:
@@ -189,6 +261,12 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         elif not first:
             break
         first = False
+    # what shares a band and is still apart: early bands first, so that a linked node is not tested again in the others
+    for bucket in (shared.where("band < 2"), shared.where("band >= 2")):
+        found = materialize(_rest(bucket, labels, texts, idf, least), "near-links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
     if labels is None:
         placed = nodes.withColumn("comp", F.col("node"))
     else:
@@ -203,8 +281,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     Texts equal up to white space and the case of A-Z are one node. Nodes that share a band are tested against the
     band's least and greatest node; then, as long as a test links anything, what is still apart in a band is
-    tested again, a node for each class in it. So a band costs tests in proportion to its nodes, and neither copies
-    nor large groups are paired with each other. Null and empty texts are copies of each other; a null doc_id
+    tested again, a node for each class in it. At last every pair of different classes that shares a band is tested,
+    block against block, so no pair that shares a band is left out; neither copies nor what is linked by then are
+    paired with each other. Null and empty texts are copies of each other; a null doc_id
     names no class unless its class has no other. Repeated rows are copies. Columns named like a result are
     replaced. An empty table gives none.
     """

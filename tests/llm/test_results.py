@@ -95,6 +95,33 @@ def test_large_groups_link(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
+def test_near_dups_of_a_middle_original(spark):
+    """Copies that are like their original only; it is neither first nor last of its bands."""
+    rng = random.Random(5)
+    original = [f"w{i}" for i in range(300)]
+    copies = []
+    for _ in range(60):
+        own = list(original)
+        for i in rng.sample(range(10, 290, 10), 3):
+            own[i] = f"x{rng.random()}"
+        copies.append(" ".join(own))
+    others = [" ".join(f"v{rng.random()}" for _ in range(300)) for _ in range(40)]
+    docs = list(enumerate([*copies[:30], " ".join(original), *copies[30:], *others]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    idf = near_dups.inverse_frequencies(frame)
+    own = [near_dups.weights(h, idf) for h in shingles([normal(t) for _, t in docs])]
+    bands = near_dups.bands_of([normal(t) for _, t in docs], idf)
+    parent = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if any(x == y for x, y in zip(bands[a], bands[b])) and near_dups.similarity(own[a], own[b]) >= 0.8 and parent[a] != parent[b]:
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if p == high else p for p in parent]
+    got = {r.doc_id: r.class_id for r in near_dups.classes(frame).collect()}
+    assert len({parent[i] for i in range(61)}) < 10
+    assert got == dict(enumerate(parent))
+
+
 def test_lattice_sums_all_segmentations():
     pieces = lattice.Pieces([b" ", b"a", b"b", b"ab", b" a", b"\xc3", b"\xa9", b"\xc3\xa9"], np.log([0.1, 0.2, 0.1, 0.15, 0.1, 0.1, 0.1, 0.15]))
     table = dict(zip(pieces.pieces, pieces.logp))
