@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from quernstone.llm.common import arrow_map, read_table
 
 # Element names and the words in class, id and role that mark what is not an article.
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "select", "textarea", "button", "object", "audio", "video", "canvas", "math"}
+SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "select", "textarea", "button", "object", "audio", "video", "canvas", "math"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link meta base col area embed source track param hr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "div", "blockquote", "aside", "nav", "footer", "header", "form"}
@@ -84,6 +84,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if not tag:
             continue
+        if tag == "head":  # shows nothing itself; its end tag may be left out, and its elements are silent or empty
+            continue
         if tag in SILENT:
             if not closing and not (m[3] or m[6] or "").endswith("/"):
                 silent = tag
@@ -123,7 +125,7 @@ REACH = 40
 
 
 def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Path to its ratio of unlinked text and punctuation to tags, smoothed over near paths, then lowered outside the main element and 0 in asides."""
+    """Path to its ratio of unlinked text and punctuation to tags, smoothed over near paths, then lowered outside the main element, 0 in asides, and the best one for all paths of one article or main element."""
     chars: dict = {}
     for b in blocks:
         own = "".join(b.parts)
@@ -144,7 +146,12 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
             w = math.exp(-((max(len(p), len(q)) - common) ** 2) / 2) * m[2]
             top, below = top + w * fused[q] * (not m[3]), below + w * (not m[3])
         out[p] = top / below * (0.1 if has_main and not n[4] else 1.0)
-    return out
+    # lists, tables and headings of an article stand or fall with its best path
+    own = {p: p[:next(i for i, x in enumerate(p) if x in MAIN_TAGS) + 1] for p, n in order if n[4] and not n[3]}
+    best: dict[tuple[str, ...], float] = {}
+    for p, element in own.items():
+        best[element] = max(best.get(element, 0.0), out[p])
+    return out | {p: best[element] for p, element in own.items()}
 
 
 #: A path is content from this share of the page's best score on.

@@ -319,6 +319,21 @@ def test_layout_words_keep_the_article():
     assert main_text("<nav><a>Menu</a></nav><div class='ad'>Buy now.</div><article></article><footer>c</footer>") == ""
 
 
+def test_short_parts_stay_in_the_article():
+    para = "x" * 293 + ", a, b. c."
+    items, cells = [f"item number {i:08}" for i in range(10)], [str(i) for i in range(12)]
+    shown = "".join(f"<li>{x}</li>" for x in items), "".join(f"<tr><td>{x}</td></tr>" for x in cells)
+    page = f"<body><nav><a href=x>Home</a></nav><article>{f'<p>{para}</p>' * 10}<ul>{shown[0]}</ul><table>{shown[1]}</table><aside>Aside.</aside></article><footer>c</footer></body>"
+    assert main_text(page) == "\n".join([para] * 10 + items + cells)
+
+
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_head_without_end_tag(body):
+    page = f"<html><head><meta charset=utf-8><title>No <b>title</b></title><script>var x = '<p>no</p>';</script><style>p {{}}</style>{body}<article><p>Some text, and more.</p></article></html>"
+    assert main_text(page) == "Some text, and more."
+    assert main_text(page.replace("</style>", "</style></head>")) == "Some text, and more."
+
+
 def test_proximity(spark):
     from quernstone.llm import decontaminate
 
