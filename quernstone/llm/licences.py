@@ -88,7 +88,7 @@ NOT_LICENCES = [
 ]
 #: At most so many paragraphs, of the FIT_DOCS documents with the lowest hash, join the templates in fitting and calibration.
 FIT_DOCS, FIT_PARAGRAPHS = 400, 4000
-#: A word of the templates is a cue if at most this share of the sampled paragraphs has it; every feature holds a cue.
+#: A word of the templates is a cue if at most this share of the sampled paragraphs has it, and so is a pair of other words; every feature holds a cue, and every template one at least.
 CUE_SHARE = 0.002
 #: Share of a template's or paragraph's word pairs, whichever are fewer, that confirms a prediction; and that labels a sampled paragraph.
 CONFIRM = 0.5
@@ -100,6 +100,11 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.lower(text), r"\n+|(?<=[.!?]) +")
 
 
+def units(text: Column) -> Column:
+    """Sentences of a text, lower case, and what empty lines part; a unit's lines are paragraphs."""
+    return F.split(F.lower(text), r"\n(?: *\n)+|(?<=[.!?])[ \n]+")
+
+
 def words_of(paragraph: Column) -> Column:
     return F.filter(F.split(paragraph, "[^a-z0-9]+"), lambda w: w != "")
 
@@ -115,10 +120,11 @@ def grams_of(words: Column) -> Column:
 
 @dataclass
 class LicenceModel:
-    """cues; table of (gram, one weight for each label); bias; temperature and threshold of the calibration."""
+    """cues, and pair_cues of words that are none; table of (gram, one weight for each label); bias; temperature and threshold of the calibration."""
 
     labels: list[str]
     cues: list[str]
+    pair_cues: list[str]
     weights: dict[str, list[float]]
     bias: list[float]
     temperature: float
@@ -135,12 +141,15 @@ def _template_table(spark: SparkSession) -> DataFrame:
     return made.select("family", "template", F.size("_p").alias("size"), F.explode("_p").alias("pair"))
 
 
-def template_overlap(found: DataFrame, spark: SparkSession) -> DataFrame:
-    """seg, family, overlap: for rows of found (seg, words), the best share of common word pairs with a template of each family it touches."""
+def template_overlap(found: DataFrame, spark: SparkSession, lone: bool = False) -> DataFrame:
+    """seg, family, overlap: for rows of found (seg, words), the best share of common word pairs with a template of each family it touches.
+
+    One common pair says nothing, but with lone it does for a paragraph that has no other.
+    """
     pairs = found.select("seg", F.array_distinct(pairs_of(F.col("words"))).alias("_p")).select("seg", F.size("_p").alias("own"), F.explode("_p").alias("pair"))
     both = pairs.join(F.broadcast(_template_table(spark)), "pair")  # a constant table
     shares = both.groupBy("seg", "own", "family", "template", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.least("own", "size"))
-    return shares.where("n > 1").groupBy("seg", "family").agg(F.max("share").alias("overlap"))
+    return shares.where("n > 1 or own = 1" if lone else "n > 1").groupBy("seg", "family").agg(F.max("share").alias("overlap"))
 
 
 def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int = FIT_PARAGRAPHS) -> LicenceModel:
@@ -160,17 +169,22 @@ def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int
     own = [(t, labels.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, 0) for t in NOT_LICENCES]
     shown = [(_grams(t), y) for t, y in own]
     plain = [set(g) for g, y, _ in corpus if y == 0]
-    often = {w for w, n in Counter(w for g in plain for w in g).items() if n > max(2, CUE_SHARE * len(plain))}
+    counts = Counter(w for g in plain for w in g)
+    often = {w for w, n in counts.items() if n > max(2, CUE_SHARE * len(plain))}
     seen = sorted({g for gs, y in shown if y for g in gs})
     cues = sorted({w for g in seen for w in g.split() if w not in often and not w.isdigit()})
-    vocabulary = [g for g in seen if not set(cues).isdisjoint(g.split())]
+    pair_cues = {g for g in seen if " " in g and g not in often and set(cues).isdisjoint(g.split()) and not g.replace(" ", "").isdigit()}
+    for gs, y in shown:
+        if y and pair_cues.isdisjoint(gs) and set(cues).isdisjoint(gs):
+            pair_cues.add(min((g for g in gs if " " in g), key=lambda g: (counts[g], g)))
+    vocabulary = [g for g in seen if g in pair_cues or not set(cues).isdisjoint(g.split())]
     rows = shown + [(g, y) for g, y, held in corpus if y or not held]
     weights, bias = _logistic(rows, vocabulary, len(labels))
     kept = np.flatnonzero(np.abs(weights).max(1) > 0)
     table = {vocabulary[i]: weights[i].tolist() for i in kept}
     held = [bias + sum((np.array(table[g]) for g in gs if g in table), np.zeros(len(labels))) for gs, y, out in corpus if out and not y]
     temperature, threshold = _calibrate(held)
-    return LicenceModel(labels, cues, table, bias.tolist(), temperature, threshold)
+    return LicenceModel(labels, cues, sorted(pair_cues), table, bias.tolist(), temperature, threshold)
 
 
 def _grams(text: str) -> tuple[str, ...]:
@@ -226,12 +240,19 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, _th, paragraph (lower case), family, probability, overlap, confirmed: for every paragraph that the model gives a family.
 
     A paragraph without a cue has no feature, so the bias alone makes it unknown; the others are scored by a join
-    with the weights, which the templates bound.
+    with the weights, which the templates bound. A sentence over several lines is a paragraph too, in place of its
+    lines where it is confirmed and none of them is.
     """
     spark = docs.sparkSession
-    cues = F.array(*map(F.lit, model.cues))
-    split = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("_th"), F.explode(paragraphs(text_or_empty())).alias("paragraph")).withColumn("words", F.split("paragraph", "[^a-z0-9]+"))
-    found = split.where(F.arrays_overlap("words", cues)).withColumn("words", F.filter("words", lambda w: w != ""))
+    cued = F.arrays_overlap("words", F.array(*map(F.lit, model.cues)).cast("array<string>"))
+    if model.pair_cues:
+        first = F.array(*map(F.lit, sorted({g.split()[0] for g in model.pair_cues})))
+        cued = cued | (F.arrays_overlap("words", first) & F.arrays_overlap(pairs_of(F.col("words")), F.array(*map(F.lit, model.pair_cues))))
+    split = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("_th"), F.explode(units(text_or_empty())).alias("_whole")).withColumn("words", F.split("_whole", "[^a-z0-9]+"))
+    whole = materialize(split.where(cued).drop("words").withColumn("_unit", F.monotonically_increasing_id()), "licence-units")
+    lines = F.split("_whole", r"\n+")
+    each = whole.select("doc_id", "_th", "_unit", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_whole"), lines)).otherwise(F.array("_whole"))).alias("_at", "paragraph"), (F.size(lines) > 1).alias("_many"))
+    found = each.withColumn("words", words_of(F.col("paragraph"))).withColumn("_joined", F.col("_many") & (F.col("_at") == 0)).drop("_many", "_at")
     found = materialize(found.withColumn("seg", F.monotonically_increasing_id()), "licence-cues")
     grams = found.select("seg", F.explode(grams_of(F.col("words"))).alias("gram"))
     n = len(model.labels)
@@ -242,9 +263,12 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     label = F.element_at(F.array(*map(F.lit, model.labels)), F.array_position("z", top).cast("int"))
     likely = scored.select("seg", label.alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda sum_, z: sum_ + F.exp(z - top))).alias("probability"))
     named = materialize(likely, "licence-scores").where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
-    overlap = template_overlap(found, spark)
+    overlap = template_overlap(found, spark, lone=True)
     both = found.join(named, "seg").join(overlap, ["seg", "family"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    return both.select("doc_id", "_th", "paragraph", "family", "probability", "overlap", (F.col("overlap") >= CONFIRM).alias("confirmed"))
+    both = materialize(both.withColumn("confirmed", F.col("overlap") >= CONFIRM), "licence-named")
+    units_ = both.groupBy("_unit").agg(F.bool_or(F.col("confirmed") & F.col("_joined")).alias("_by_whole"), F.bool_or(F.col("confirmed") & ~F.col("_joined")).alias("_by_line"))
+    kept = both.join(units_, "_unit").where(F.col("_joined") == (F.col("_by_whole") & ~F.col("_by_line")))
+    return kept.select("doc_id", "_th", "paragraph", "family", "probability", "overlap", "confirmed")
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:

@@ -227,6 +227,21 @@ def test_skip_chain_labels_repeats():
     assert pii.find_spans("nothing here 2023-01-15 and 12345678", model)[1] == []
 
 
+def test_licences_in_legal_prose(spark):
+    """A corpus where every word of a notice is common; a wrapped notice; elsewhere, a notice of two words."""
+    rng = random.Random(3)
+    common = ["license", "licensed", "released", "mit", "under", "the"]
+    prose = [" ".join([*(f"w{rng.randrange(5000)}" for _ in range(4)), c, *(f"w{rng.randrange(5000)}" for _ in range(4))]) + "." for c in common for _ in range(40)]
+    model = licences.fit_licences(spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string"))
+    assert set(common).isdisjoint(model.cues)
+    notices = ["Released under the MIT License.", "Licensed under the MIT License.", "Foo.\nReleased under\nthe MIT\nLicense.\nBar"]
+    got = {r.doc_id: (r.licence, r.n_licences) for r in licences.scan_licences(spark.createDataFrame(list(enumerate([*notices, *prose])), "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(3)] == [("mit", 1)] * 3 and all(got[3 + i] == (None, 0) for i in range(len(prose)))
+    other = licences.fit_licences(spark.createDataFrame([(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(9)) + ".") for i in range(200)], "doc_id long, text string"))
+    heading = spark.createDataFrame([(1, "Notes\n\nMIT License\n\nSome text"), (2, "Under the")], "doc_id long, text string")
+    assert {r.doc_id: r.licence for r in licences.scan_licences(heading, other).collect()} == {1: "mit", 2: None}
+
+
 def test_licences(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents")
     model = licences.fit_licences(docs)
