@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,156 +16,362 @@ from pyspark.sql import types as T
 from quernstone.llm.common import arrow_map, read_table
 
 # Element names and the words in class, id and role that mark what is not an article.
-SILENT = {"script", "style", "noscript", "template", "title", "svg", "iframe", "select", "textarea", "button", "object", "audio", "video", "canvas", "math"}
+RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp"}
+SILENT = {"template", "svg", "select", "button", "object", "audio", "video", "canvas", "math"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link meta base col area embed source track param hr".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "div", "blockquote", "aside", "nav", "footer", "header", "form"}
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation"
     " breadcrumb breadcrumbs footer header masthead comment comments respond disqus replies related recommended share sharing social widget pagination pager login signin signup search toolbar skip alert complementary contentinfo".split()
 )
+#: Words that go with those of an aside and say nothing themselves.
+FILLERS = set("area articles bar block box bottom button buttons container content element form group holder inner item items left links list module outer panel posts right row section site slot stories top unit wrap wrapper x y z".split())
 MAIN_TAGS = {"article", "main"}
 #: Inside the main element these words mean the article's own heading.
 OWN_HEADER = {"header", "masthead", "banner"}
 #: Classes that say what a layout has or lacks, not what an element is.
 LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][a-z_-]+")
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>""", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+#: What follows a tag's name: quotes count only where a value starts; a value that isn't closed ends with the tag.
+REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""")
 HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，…¿¡]")
 
 
-@dataclass
+@dataclass(slots=True)
+class Element:
+    tag: str
+    parent: int
+    depth: int
+    said: str
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
-    aside: bool
-    main: bool
+    element: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     tags: int = 1
 
+    def text(self) -> str:
+        return " ".join("".join(self.parts).split())
 
-def _aside(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not in_main:
-        return True
-    said = " ".join(m[1] or m[2] or m[3] or "" for m in HINT.finditer(attributes)).lower()
-    words = set(re.split(r"[^a-z]+", LAYOUT.sub("", said)))
-    return tag not in ("html", "body") and not words.isdisjoint(ASIDE_WORDS - OWN_HEADER if in_main else ASIDE_WORDS)
 
+class Reader:
+    """Elements in page order, the first being the root, and text blocks; wrongly nested markup is read as browsers do, roughly."""
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, each with the path of block elements from the root; wrongly nested markup is read as browsers do, roughly."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, aside, main
-    blocks: list[Block] = []
-    at, links, fresh, silent = 0, 0, True, ""
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.elements = [Element("", -1, 0, "")]
+        self.blocks: list[Block] = []
+        self.stack = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)  # tag to its places in the stack
+        self.scopes = [-1]  # for each place in the stack, that of the innermost scope
+        self.fresh, self.links = True, False
+        self.missing: set[str] = set()  # end tags that occur no more
+        self.pairs: dict[str, dict[int, int]] = {}  # silent tag to the starts of its elements and their ends
+        at = 0
+        while (found := page.find("<", at)) >= 0:
+            self._text(page[at:found])
+            at = self._markup(found)
+        self._text(page[at:])
 
-    def text(raw: str) -> None:
-        nonlocal fresh
-        if silent or not raw:
+    def _text(self, raw: str) -> None:
+        if not raw:
             return
-        if fresh:
+        if self.fresh:
             if not raw.strip():
                 return
-            blocks.append(Block(tuple(x[1] for x in stack), any(x[2] for x in stack), any(x[3] for x in stack)))
-            fresh = False
+            self.blocks.append(Block(self.stack[-1]))
+            self.fresh = False
         decoded = html.unescape(raw)
-        blocks[-1].parts.append(decoded)
-        if links:
-            blocks[-1].linked += len(decoded)
-
-    for m in TAG.finditer(page):
-        text(page[at:m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        closing = (m[1] or m[4]) == "/"
-        if silent:
-            if closing and tag == silent:
-                silent = ""
-            continue
-        if not tag:
-            continue
+        self.blocks[-1].parts.append(decoded)
+        if self.links:
+            self.blocks[-1].linked += len(decoded)
+
+    def _find(self, what: str, at: int, pattern: re.Pattern | None = None) -> re.Match | int | None:
+        """Where what occurs from at on, None if no more; it isn't looked for again then."""
+        if what in self.missing:
+            return None
+        found = pattern.search(self.page, at) if pattern else self.page.find(what, at)
+        if found is None or found == -1:
+            self.missing.add(what)
+            return None
+        return found
+
+    def _markup(self, at: int) -> int:
+        """Reads what starts with < at a place and returns where it ends."""
+        page = self.page
+        if at > self.last:
+            self._text("<")
+            return at + 1
+        if page.startswith("<!--", at):
+            end = self._find("-->", at + 4)
+            return len(page) if end is None else end + 3
+        if page[at + 1:at + 2] in ("!", "?"):
+            return page.find(">", at) + 1
+        m = NAME.match(page, at)
+        if not m:
+            self._text("<")
+            return at + 1
+        rest = REST.match(page, m.end())
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        attributes = page[m.end():end - 1]
+        tag = m[2].lower()
+        if m[1]:
+            self._close(tag)
+        elif tag in RAW:
+            return self._raw(tag, end)
+        elif tag in SILENT:
+            return end if attributes.endswith("/") else self._skip(tag, at, end)
+        else:
+            self._open(tag, attributes)
+        return end
+
+    def _raw(self, tag: str, at: int) -> int:
+        """Past an element that holds no markup; without an end tag a script or style takes the rest, others are empty."""
+        end = self._find(f"</{tag}", at, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I))
+        return end.end() if end else len(self.page) if tag in ("script", "style") else at
+
+    def _skip(self, tag: str, start: int, at: int) -> int:
+        """Past an element that shows no text of the article, with what is nested in it; without an end tag of its own it is empty."""
+        if tag not in self.pairs:
+            self.pairs[tag], opened = {}, []
+            for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*>?", self.page, re.I):
+                if not m[1]:
+                    opened.append(m.start())
+                elif opened:
+                    self.pairs[tag][opened.pop()] = m.end()
+        return self.pairs[tag].get(start, at)
+
+    def _pop(self, place: int) -> None:
+        """Closes everything from a place of the stack on."""
+        while len(self.stack) > place:
+            self.places[self.elements[self.stack.pop()].tag].pop()
+            self.scopes.pop()
+
+    def _open(self, tag: str, attributes: str) -> None:
         if tag == "head":  # shows nothing itself; its end tag may be left out, and its elements are silent or empty
-            continue
-        if tag in SILENT:
-            if not closing and not (m[3] or m[6] or "").endswith("/"):
-                silent = tag
-            continue
+            return
         if tag in INLINE:
             if tag == "a":
-                links = 0 if closing else 1
+                self.links = True
             elif tag == "br":
-                text(" ")
-            if not fresh:
-                blocks[-1].tags += not closing
-            continue
-        fresh, links = True, 0
-        if closing:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
-                    pass
+                self._text(" ")
+            if not self.fresh:
+                self.blocks[-1].tags += 1
+            return
+        self.fresh, self.links = True, False
+        if self.elements[self.stack[-1]].tag == "p":
+            self._pop(len(self.stack) - 1)
+        if tag in CLOSES:
+            place = max((self.places[t][-1] for t in CLOSES[tag] if self.places[t]), default=-1)
+            if place > self.scopes[-1]:
+                while (outer := max((self.places[t][-1] for t in CLOSES[tag] if self.places[t] and self.places[t][-1] < place), default=-1)) > self.scopes[-1]:
+                    place = outer  # a cell, and the row around it
+                self._pop(place)
+        said = " ".join(m[1] or m[2] or m[3] or "" for m in HINT.finditer(attributes)).lower() if attributes else ""
+        self.elements.append(Element(tag, self.stack[-1], len(self.stack), said))
+        self.places[tag].append(len(self.stack))
+        self.scopes.append(len(self.stack) if tag in SCOPES else self.scopes[-1])
+        self.stack.append(len(self.elements) - 1)
+
+    def _close(self, tag: str) -> None:
+        if tag in INLINE:
+            if tag == "a":
+                self.links = False
+            return
+        if tag == "head":
+            return
+        self.fresh, self.links = True, False
+        if self.places[tag]:
+            self._pop(self.places[tag][-1])
+
+
+def _words(said: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", LAYOUT.sub("", said))) - {""}
+
+
+def _wholly(said: str, marks: set[str]) -> bool:
+    """Whether some class, id or role consists of marks and fillers, with a mark among them."""
+    for name in LAYOUT.sub("", said).split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words & marks and words <= marks | FILLERS:
+            return True
+    return False
+
+
+@dataclass
+class Marks:
+    """For each element: whether it is in an aside, and the outermost article or main element it is in, or -1."""
+
+    aside: list[bool]
+    main: list[int]
+
+
+def mark(elements: list[Element], strict: bool, freed: set[int]) -> Marks:
+    """Asides by tag and by words; inside an article, and everywhere if strict, only names that say nothing else count. Elements in freed are none by their words, nor a header or form."""
+    aside, main = [False] * len(elements), [-1] * len(elements)
+    for i, e in enumerate(elements):
+        if not i:
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in SCOPES:
-                break
-        attributes = m[3] or m[6] or ""
-        in_main = any(x[3] for x in stack)
-        aside = _aside(tag, attributes, in_main)
-        stack.append((tag, f"{tag}!" if aside else tag, aside, tag in MAIN_TAGS and not aside))
-    text(page[at:])
-    return blocks
+        around = main[e.parent]
+        off = e.tag in ASIDE_TAGS or e.tag == "header" and around < 0
+        if i in freed:
+            off = off and e.tag not in ("form", "header")
+        elif not off and e.said and e.tag not in ("html", "body"):
+            marks = ASIDE_WORDS - OWN_HEADER if around >= 0 else ASIDE_WORDS
+            off = _wholly(e.said, marks) if strict or around >= 0 or e.tag in MAIN_TAGS else not _words(e.said).isdisjoint(marks)
+        aside[i] = off or aside[e.parent]
+        main[i] = around if around >= 0 else i if e.tag in MAIN_TAGS and not aside[i] else -1
+    return Marks(aside, main)
 
 
-#: Paths are smoothed over so many paths that first appear before and after them.
-REACH = 40
+#: Paths are smoothed over so many paths that first appear before and after them, as far as they part at most SPREAD levels up.
+REACH, SPREAD = 40, 6
 
 
-def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
-    """Path to its ratio of unlinked text and punctuation to tags, smoothed over near paths, then lowered outside the main element, 0 in asides, and the best one for all paths of one article or main element."""
-    chars: dict = {}
+class Paths:
+    """Root-to-leaf tag paths of blocks, as a tree; asides have paths of their own."""
+
+    def __init__(self, elements: list[Element], aside: list[bool]) -> None:
+        self.parent, self.depth = [-1], [0]
+        known: dict[tuple[int, str, bool], int] = {}
+        self.of = [0] * len(elements)
+        for i, e in enumerate(elements):
+            if i:
+                key = self.of[e.parent], e.tag, aside[i]
+                if key not in known:
+                    known[key] = len(self.parent)
+                    self.parent.append(key[0])
+                    self.depth.append(e.depth)
+                self.of[i] = known[key]
+
+    def apart(self, p: int, q: int) -> int:
+        """Levels from the deeper path up to where both part; SPREAD + 1 if it is more."""
+        levels = 0
+        while p != q:
+            levels += 1
+            if levels > SPREAD:
+                break
+            a, b = self.depth[p], self.depth[q]
+            if a >= b:
+                p = self.parent[p]
+            if b >= a:
+                q = self.parent[q]
+        return levels
+
+
+def path_scores(blocks: list[Block], paths: Paths, marks: Marks) -> dict[int, float]:
+    """Path to its ratio of unlinked text and punctuation to tags, smoothed over near paths; 0 in asides."""
+    sums: dict[int, list] = {}
     for b in blocks:
         own = "".join(b.parts)
-        n = chars.setdefault(b.path, [0, 0, 0, b.aside, b.main])
+        n = sums.setdefault(paths.of[b.element], [0, 0, 0, marks.aside[b.element]])
         n[0] += max(0, len(own.strip()) - b.linked)
         n[1] += len(PUNCTUATION.findall(own))
         n[2] += b.tags
-    fused = {p: n[0] / n[2] * (1 + n[1] / n[2]) for p, n in chars.items()}
-    has_main = any(n[4] for n in chars.values())
-    out, order = {}, list(chars.items())
-    for at, (p, n) in enumerate(order):
-        if n[3]:
-            out[p] = 0.0
-            continue
+    fused = {p: n[0] / n[2] * (1 + n[1] / n[2]) for p, n in sums.items()}
+    order, out = [(p, paths.depth[p], n) for p, n in sums.items() if not n[3]], {p: 0.0 for p, n in sums.items() if n[3]}
+    kernel = [math.exp(-(d**2) / 2) for d in range(SPREAD + 1)]
+    for at, (p, deep, _) in enumerate(order):
         top = below = 0.0
-        for q, m in order[max(0, at - REACH):at + REACH + 1]:
-            common = next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
-            w = math.exp(-((max(len(p), len(q)) - common) ** 2) / 2) * m[2]
-            top, below = top + w * fused[q] * (not m[3]), below + w * (not m[3])
-        out[p] = top / below * (0.1 if has_main and not n[4] else 1.0)
-    # lists, tables and headings of an article stand or fall with its best path
-    own = {p: p[:next(i for i, x in enumerate(p) if x in MAIN_TAGS) + 1] for p, n in order if n[4] and not n[3]}
-    best: dict[tuple[str, ...], float] = {}
-    for p, element in own.items():
-        best[element] = max(best.get(element, 0.0), out[p])
-    return out | {p: best[element] for p, element in own.items()}
+        for q, level, m in order[max(0, at - REACH):at + REACH + 1]:
+            if abs(level - deep) <= SPREAD and (d := paths.apart(p, q)) <= SPREAD:
+                w = kernel[d] * m[2]
+                top, below = top + w * fused[q], below + w
+        out[p] = top / below
+    return out
 
 
-#: A path is content from this share of the page's best score on.
-THRESHOLD = 0.2
+#: A path is content from this share of the page's best score on; text outside the article or main elements counts a tenth.
+THRESHOLD, OUTSIDE = 0.2, 0.1
+
+
+def _root(elements: list[Element], a: int, b: int) -> int:
+    """The innermost element around two; for the first and last of several in page order, around all of them."""
+    while a != b:
+        if elements[a].depth >= elements[b].depth:
+            a = elements[a].parent
+        else:
+            b = elements[b].parent
+    return a
+
+
+def _chosen(reader: Reader, marks: Marks, threshold: float) -> list[Block]:
+    """Blocks of content, in page order: content paths choose the elements that hold the article, and whatever is no aside in those stays."""
+    elements, blocks = reader.elements, [b for b in reader.blocks if not marks.aside[b.element]]
+    scores = path_scores(reader.blocks, paths := Paths(elements, marks.aside), marks)
+    best: dict[int, float] = {}
+    outside = []
+    for b in blocks:
+        root, score = marks.main[b.element], scores[paths.of[b.element]]
+        if root < 0:
+            outside.append((b, score))
+        else:
+            best[root] = max(best.get(root, 0.0), score)
+    share = OUTSIDE if best else 1.0
+    least = threshold * max([*best.values(), *(share * s for _, s in outside)], default=0.0)
+    roots = {r for r, s in best.items() if s >= least}
+    passing = [b.element for b, s in outside if share * s >= least and s > 0]
+    if not passing:
+        return [b for b in blocks if marks.main[b.element] in roots]
+    # without an article element: everything in the element around all content paths, but groups of links that hold none
+    root = _root(elements, min(passing), max(passing))
+    text, linked, holds = [0] * len(elements), [0] * len(elements), [False] * len(elements)
+    for b in blocks:
+        text[b.element] += sum(map(len, b.parts))
+        linked[b.element] += b.linked
+    within, inside, keep = set(), [False] * len(elements), [False] * len(elements)
+    for e in passing:
+        holds[e] = True
+        around = elements[e].parent if elements[e].tag == "p" or elements[e].tag[:1] == "h" and elements[e].tag[1:].isdigit() else e
+        if elements[around].tag not in ("", "html", "body"):
+            within.add(around)  # what stands next to a paragraph belongs to it
+    for i in range(len(elements) - 1, 0, -1):
+        up = elements[i].parent
+        text[up], linked[up], holds[up] = text[up] + text[i], linked[up] + linked[i], holds[up] or holds[i]
+    for i, e in enumerate(elements):
+        inside[i] = i in within or i > 0 and inside[e.parent]
+        keep[i] = i == root or i > 0 and keep[e.parent] and (inside[i] or holds[i] or 2 * linked[i] <= text[i])
+    return [b for b in blocks if (marks.main[b.element] in roots if marks.main[b.element] >= 0 else keep[b.element])]
 
 
 def main_text(page: str, threshold: float = THRESHOLD) -> str:
-    """Blocks on content paths, in page order, one to a line; white space within a block is one space. No markup or no page: what text there is, or an empty string."""
-    blocks = blocks_of(page)
-    scores = path_scores(blocks)
-    least = threshold * max(scores.values(), default=0.0)
-    kept = (" ".join("".join(b.parts).split()) for b in blocks if not b.aside and scores[b.path] >= least and (scores[b.path] > 0 or b.main))
-    return "\n".join(x for x in kept if x)
+    """The blocks of content, in page order, one to a line; white space within a block is one space. No markup or no page: what text there is, or an empty string.
+
+    If the words of classes would leave no article, or no text at all, only those that say nothing else count; if
+    that leaves none either, words don't count on articles and what is around them.
+    """
+    reader = Reader(page)
+    elements = reader.elements
+    filled = {b.element for b in reader.blocks}
+    articles: set[int] = set()  # article and main elements with text, that are no reader's comments
+    around: set[int] = set()
+    for e in filled:
+        while e > 0 and e not in around:
+            around.add(e)
+            e = elements[e].parent
+    for i in around:
+        if elements[i].tag in MAIN_TAGS and not _wholly(elements[i].said, {"comment", "comments"}):
+            articles.add(i)
+    kept: list[Block] = []
+    for strict in (False, True):
+        marks = mark(elements, strict, set())
+        if not articles or any(marks.main[e] >= 0 for e in filled):
+            if kept := _chosen(reader, marks, threshold):
+                break
+    if not kept and articles:
+        freed = set()
+        for e in articles:
+            while e > 0 and e not in freed:
+                freed.add(e)
+                e = elements[e].parent
+        kept = _chosen(reader, mark(elements, True, freed), threshold)
+    return "\n".join(x for b in kept if (x := b.text()))
 
 
 def _extract(batch: pa.RecordBatch) -> dict:
@@ -173,7 +380,7 @@ def _extract(batch: pa.RecordBatch) -> dict:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """pages without html, with text and n_chars (code points). A null or empty html gives an empty text. Repeated rows give the same each. Columns of pages named text or n_chars are replaced."""
+    """pages without html, with text and n_chars (code points). A null or empty html gives an empty text. Repeated rows give the same each. Columns of pages named text or n_chars are replaced. Time grows in proportion to the page, however deep it nests."""
     return arrow_map(pages, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], _extract, drop=("html",))
 
 

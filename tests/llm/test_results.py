@@ -349,6 +349,41 @@ def test_head_without_end_tag(body):
     assert main_text(page.replace("</style>", "</style></head>")) == "Some text, and more."
 
 
+ARTICLE = "<article><h1>Title</h1><p>Some text, and more of it.</p></article>"
+SHOWN = "Title\nSome text, and more of it."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<script>if(a<b){x('</p>')}</script>" + ARTICLE, SHOWN),
+        ("<style>a<b{}</style><!-- <p>no</p> -->" + ARTICLE + "<script>unclosed <p>no</p>", SHOWN),
+        ("<html><head><title>x</title><meta charset=q>" + ARTICLE, SHOWN),
+        ("<article><p>Long, long text, here it is. And more.</p><ul><li>a<li>b</ul><p>x y, z.</p><table><tr><td>1<td>2<tr><td>3</table><section><h2>S</h2><p>t</p></section></article>", "Long, long text, here it is. And more.\na\nb\nx y, z.\n1\n2\n3\nS\nt"),
+        ('<article class="promo-feature"><p>Text, text.</p></article>', "Text, text."),
+        ('<div class="article-share-wrap">' + ARTICLE + "</div><div><p>other</p></div>", SHOWN),
+        ('<div class="related"><article><a href=x>Card</a></article></div>' + ARTICLE, SHOWN),
+        ("<form><div>" + ARTICLE + "</div></form>", SHOWN),
+        ('<article><p>One, two.</p><div class="ad-slot">Buy.</div><div class="notice-of-rights">Kept.</div><div class="comment-list"><p>Reader.</p></div></article>', "One, two.\nKept."),
+        ("<div id=c><section><h2>S</h2><p>t</p></section><section><p>A long paragraph, with text. And so on.</p><ul><li><a href=x>ref</a></ul></section></div><div><a href=1>Home</a> <a href=2>Next</a></div>", "S\nt\nA long paragraph, with text. And so on.\nref"),
+        ('<p title="x>y">a < b and c > d</p><p title="unclosed>z</p>', "a < b and c > d\nz"),
+        ("<p>a <svg><title>q</title><svg>in</svg>x</svg> b</p><p>c <svg>unclosed</p><p>d <button>Go</button> e</p>", "a b\nc unclosed\nd e"),
+    ],
+)
+def test_page_shapes(page, text):
+    assert main_text(page) == text
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert main_text("<div>x" * 20_000) == "\n".join("x" * 20_000)
+    for page in ("<div" * 200_000, "<div x='\"" * 100_000 + ">", "<button>x" * 100_000 + "</p>", "<svg><svg></svg>" * 50_000, "<x-a>" * 20_000 + "<dd></dd>" * 20_000):
+        main_text(page)
+    assert time.perf_counter() - start < 15
+
+
 def test_proximity(spark):
     from quernstone.llm import decontaminate
 
