@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,14 +22,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's. A local one is made only where none is set and Spark runs on one machine, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_quern_dir", None) or f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark._quern_dir = found
     return found
 
 
+_PLAIN = re.compile("[A-Za-z][A-Za-z0-9_]*")
+
+
+def guarded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator(docs, ...), which may use names that start with _ for itself: columns of docs with such or odd names go by others meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        free = (n for n in map("carried{}".format, range(2 * len(taken))) if n not in taken)
+        odd = {c: next(free) for c in docs.columns if not _PLAIN.fullmatch(c)}
+        if not odd:
+            return operator(docs, *args, **kwargs)
+        out = operator(docs.withColumnsRenamed(odd), *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in odd.items() if v in out.columns})
+
+    return run
+
+
 _written: list[str] = []
 
 
@@ -54,7 +78,7 @@ BATCH = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after the session was told to hand BATCH rows at most to Python at once; a lower setting stays."""
+    """df, after the session was told to hand BATCH rows at most to Python at once, from now on; a lower setting stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH:
         conf.set(key, str(BATCH))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialize, read_table, text_or_empty
+from quernstone.llm.common import guarded, materialize, read_table, text_or_empty
 
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,8 +113,9 @@ def proximity_matches(index: PositionalIndex, slop: int = 5) -> DataFrame:
     return one.join(two, _on(one, two, "win", "_cell")).where(F.abs(gap) <= slop).select(one["doc_id"], one["_th"], "item", "start", gap.alias("gap")).distinct()
 
 
+@guarded
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Each row of docs (doc_id, text and others) with _th, n_words, n_hit, n_items, items_sha256 and contaminated; texts don't travel.
+    """Each row of docs (doc_id, text and others) with n_words, n_hit, n_items, items_sha256 and contaminated; texts don't travel.
 
     Null texts have no words and null test texts no windows; a null item_id is an item with an empty name.
     Documents are told apart by doc_id (null is a value) and a 64-bit hash of the text, so repeated rows get
@@ -130,11 +131,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     base = whole.select(*keep, F.xxhash64("text").alias("_th"), count_words(words).alias("n_words"))
     joined = base.join(hits, base["doc_id"].eqNullSafe(hits["_id"]) & (base["_th"] == hits["_h"]), "left")
     return joined.select(
-        *keep, "_th", "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", F.lit(0)).cast("long").alias("n_items"),
+        *keep, "n_words", F.coalesce("_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("_sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("_hit").isNotNull().alias("contaminated"),
     )
 
 
+@guarded
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """Rows of docs in which no window of the benchmark occurs."""
     whole = docs.select("doc_id", text_or_empty().alias("text"))
@@ -145,7 +147,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return contamination(docs, read_table(spark, sf_dir, "benchmark")).drop("_th")
+    return contamination(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 ORACLE_SQL = r"""

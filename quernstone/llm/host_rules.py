@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import SPACES, arrow_map, materialize, read_table
+from quernstone.llm.common import SPACES, arrow_map, guarded, materialize, read_table
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -84,6 +84,7 @@ def _with_verdicts(stats: DataFrame, verdicts: DataFrame, host: str) -> DataFram
 FIELDS = [T.StructField(x, T.LongType()) for x in STATS]
 
 
+@guarded
 def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """Each row of docs with STATS, base_failed and kept.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import arrow_map, read_table
+from quernstone.llm.common import arrow_map, guarded, read_table
 
 # Element names and the words in class, id and role that mark what is not an article.
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp"}
@@ -379,6 +379,7 @@ def _extract(batch: pa.RecordBatch) -> dict:
     return {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
 
 
+@guarded
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages without html, with text and n_chars (code points). A null or empty html gives an empty text. Repeated rows give the same each. Columns of pages named text or n_chars are replaced. Time grows in proportion to the page, however deep it nests."""
     return arrow_map(pages, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], _extract, drop=("html",))

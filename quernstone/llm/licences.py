@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import lowest, materialize, read_table, text_or_empty
+from quernstone.llm.common import guarded, lowest, materialize, read_table, text_or_empty
 
 UNKNOWN = "unknown"
 
@@ -271,6 +271,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     return kept.select("doc_id", "_th", "paragraph", "family", "probability", "overlap", "confirmed")
 
 
+@guarded
 def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """Each row of docs (doc_id, text, others) without text, with n_licences, n_unconfirmed, families and licence.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import SPACES, arrow_map, crc_rest, lowest, read_table, text_or_empty
+from quernstone.llm.common import SPACES, arrow_map, crc_rest, guarded, lowest, read_table, text_or_empty
 
 #: So many labels, those with the lowest hash of doc_id, fit the model; of each at most its first FIT_LINES lines.
 FIT_DOCS, FIT_LINES = 3000, 200
@@ -183,6 +183,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> L
     return LineField.fit([(np.frombuffer(zlib.decompress(r.f), "<f4").reshape(-1, WIDTH).astype(float), list(r.n), r.quality) for r in rows])
 
 
+@guarded
 def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
     """docs without text, with score (0 to 1). A null or empty text is one empty line. Repeated rows give the same. A column named score is replaced."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import crc_rest, materialize, read_table, small_batches, text_or_empty
+from quernstone.llm.common import crc_rest, guarded, materialize, read_table, small_batches, text_or_empty
 from quernstone.llm.lattice import Pieces, expected_pieces, from_sentencepiece, word_logp
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -140,6 +140,7 @@ def _head_sums(model: Model, head: dict[bytes, tuple[bool, float, float]], keep:
     return run
 
 
+@guarded
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Each row of docs (with text and held_out) without text, with n_tokens, n_known, train_tokens, base_score, score.
 

@@ -9,15 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialize, number_within, read_table
+from quernstone.llm.common import guarded, materialize, number_within, read_table
 
 SEED = 17
 #: Weights of the sources in the order of their code points, repeating.
 WEIGHTS = (3, 1, 2)
 #: The share of all words that the mix takes, and how often a document may be taken.
 SHARE, MOST_COPIES = 1.5, 2
-#: The dynamic program starts once the remaining budget is at most so many times the longest document, and so bounds its table.
+#: The dynamic program starts once the remaining budget is at most so many times the longest document.
 TABLE_SPAN = 4
+#: Sums of its table times pieces that it may look at, some seconds; beyond that the nearest sum found so far stands.
+TABLE_STEPS = 4_000_000_000
 
 
 def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -25,7 +27,9 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
 
     Even shares of every length come first; single documents, longest first, then lower the remaining budget
     to TABLE_SPAN times the longest length; bounded-knapsack dynamic programming over powers of two of each
-    length's remaining documents settles it.
+    length's remaining documents settles it. If that misses the budget, each length gives back a document, then two, and so
+    on until the budget is met or nothing is left to give: then the sum is the best there is. Only a table above
+    TABLE_STEPS ends the search before.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -39,13 +43,25 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
         more = min(int(counts[i] - take[i]), max(0, (left - (TABLE_SPAN - 1) * longest) // int(lengths[i])))
         take[i] += more
         left -= more * int(lengths[i])
-    if left <= 0:
-        return take
+    best, gap, back = take, left, 0
+    while True:
+        kept = take - np.minimum(take, back)
+        tried, missed = _filled(lengths, counts, kept, budget - int((lengths * kept).sum()))
+        if missed < gap or not back:
+            best, gap = tried, missed
+        back = max(1, 2 * back)
+        step = int((lengths * np.minimum(take, back)).sum()) + left
+        if not gap or not kept.any() or step * float(np.log2(counts + 1).sum()) > TABLE_STEPS:
+            return best
+
+
+def _filled(lengths: np.ndarray, counts: np.ndarray, kept: np.ndarray, left: int) -> tuple[np.ndarray, int]:
+    """kept and more documents, whose words come as near to left from below as the others allow; and how many words are missed."""
     by = np.full(left + 1, -1, dtype=np.int32)  # the piece that first reached a sum
     by[0] = -2
     pieces: list[tuple[int, int]] = []
     for i in np.argsort(-lengths, kind="stable"):
-        free, k = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
+        free, k = min(int(counts[i] - kept[i]), left // int(lengths[i])), 1
         while free > 0 and by[left] == -1:
             k = min(k, free)
             step = k * int(lengths[i])
@@ -57,11 +73,12 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
         if by[left] != -1:
             break
     at = int(np.flatnonzero(by != -1)[-1])
+    take, missed = kept.copy(), left - at
     while at:
         i, k = pieces[by[at]]
         take[i] += k
         at -= k * int(lengths[i])
-    return take
+    return take, missed
 
 
 def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -84,13 +101,15 @@ def source_targets(sizes: DataFrame, source: str, weights: tuple[int, ...] = WEI
     return filled.select(source, "source_size", F.least(most * F.col("source_size"), F.coalesce(level, F.lit(float("inf"))) * F.col("_w")).cast("double").alias("target"))
 
 
+@guarded
 def mix(docs: DataFrame, size: Column, source: str = "source", tie: tuple[str, ...] = ("doc_id",), seed: int = SEED, **targets) -> DataFrame:
     """Each row of docs with size, source_size, target and copies (how often the mix takes it).
 
     Documents of one source and length are alike to the budget; a seeded hash of tie picks among them. A null
     source is a source of its own, last in order. A document of size 0 (null or empty text) is never taken.
     Rows that agree in tie are interchangeable. Columns of docs named like a result are replaced. An empty
-    table gives none. Rows are shuffled once, by source, length and a hashed bucket.
+    table gives none. Rows are shuffled once, by source, length and a hashed bucket. A source is planned in one task from
+    a row for each of its lengths: as many as its longest document has words at most.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     sized = docs.drop("source_size", "target", "copies").withColumn("size", size.cast("long")).withColumn("_s", key)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import arrow_map, materialize, read_table, small_batches
+from quernstone.llm.common import arrow_map, guarded, materialize, read_table, small_batches
 from quernstone.llm.shingles import mixed, normal, shingles
 
 SIMILARITY = 0.8
@@ -276,6 +276,7 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return rows.drop("_bands"), placed.join(named, "comp").select("_digest", "class_id", F.col("comp").alias("_comp"))
 
 
+@guarded
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Each row of docs (doc_id, text, others) with class_id: the least doc_id of its class.
 
@@ -291,6 +292,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return rows.join(member, "_digest").drop("_digest", "_row", "_comp")
 
 
+@guarded
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of docs for each class of near duplicates: that with the least doc_id, the first of repeated ones. Texts are shuffled once, to meet the rows that stay."""
     rows, member = _classified(docs, least)

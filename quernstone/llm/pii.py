@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import arrow_map, lowest, read_table, text_or_empty
+from quernstone.llm.common import arrow_map, guarded, lowest, read_table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 #: So many documents, those with the lowest hash, fit the model.
@@ -236,6 +236,7 @@ def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS) -> SkipChain:
     return SkipChain.fit([([n.x for n in r.nodes], [n.y for n in r.nodes], [n.k for n in r.nodes]) for r in rows])
 
 
+@guarded
 def find_pii(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
     """docs without text, with n_email, n_ip, n_card, n_phone (of the patterns), base_sha256, spans, and n_added.
 

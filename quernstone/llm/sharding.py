@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import materialize, number_within, read_table
+from quernstone.llm.common import guarded, materialize, number_within, read_table
 
 #: Group sizes keep so many leading bits and are rounded up beyond them: under 2**-12 of a size, and at most 4,096 classes for each power of two.
 SIZE_BITS = 13
@@ -136,6 +136,7 @@ def assign_groups(groups: DataFrame, group: str, size: str, shards: int | None =
     return first.unionByName(second)
 
 
+@guarded
 def shard_texts(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, text: str = "text") -> DataFrame:
     """Each row of docs with size, text_crc32, shard and slot (gapless from 0 in each shard).
 

@@ -40,7 +40,7 @@ def with_clashes(df, *names):
 
 
 def test_host_rules(docs, none):
-    got = host_rules.judge(with_clashes(docs, "kept", "n_words", "base_failed", "host_ok", "mine")).collect()
+    got = host_rules.judge(with_clashes(docs, "kept", "n_words", "base_failed", "host_ok", "_ok", "_host", "_m_short", "a.b", "mine")).collect()
     assert len(got) == N and all(r.mine == "clash" and r.host_ok == "clash" for r in got)
     empty = [r for r in got if not (r.text or "").split()]
     assert empty and all(r.n_words == 0 and r.base_failed and not r.kept for r in empty)
@@ -48,7 +48,7 @@ def test_host_rules(docs, none):
 
 
 def test_shards(docs, none, spark):
-    got = sharding.shard_texts(with_clashes(docs, "size", "shard", "slot", "mine"), 4).collect()
+    got = sharding.shard_texts(with_clashes(docs, "size", "shard", "slot", "_group", "_class", "_b", "mine"), 4).collect()
     assert len(got) == N and {r.mine for r in got} == {"clash"}
     for s in {r.shard for r in got}:
         own = sorted(r.slot for r in got if r.shard == s)
@@ -62,7 +62,7 @@ def test_shards(docs, none, spark):
 
 
 def test_mix(docs, none):
-    got = mixing.mix(with_clashes(docs, "copies", "target", "source_size", "mine"), mixing.word_count()).collect()
+    got = mixing.mix(with_clashes(docs, "copies", "target", "source_size", "_passes", "_s", "_r", "mine"), mixing.word_count()).collect()
     assert len(got) == N and all(0 <= r.copies <= 2 and r.mine == "clash" for r in got)
     assert all(r.copies == 0 for r in got if r["size"] == 0)
     for s in {r.source for r in got}:
@@ -72,24 +72,25 @@ def test_mix(docs, none):
 
 
 def test_pii(docs, none):
-    got = pii.find_pii(with_clashes(docs, "spans", "n_card", "mine")).collect()
+    got = pii.find_pii(with_clashes(docs, "spans", "n_card", "_x", "mine")).collect()
     assert len(got) == N and sum(r.n_email for r in got) == 1 and sum(r.n_card for r in got) == 1
     assert all(r.spans == "" for r in got if r.doc_id in (1, 2))
     assert pii.find_pii(none).count() == 0
 
 
 def test_licences(docs, none):
-    got = licences.scan_licences(with_clashes(docs, "families", "licence", "mine")).collect()
+    got = licences.scan_licences(with_clashes(docs, "families", "licence", "_th", "_id", "_copies", "mine")).collect()
     assert len(got) == N and [(r.licence, r.n_licences) for r in got if r.doc_id == 6] == [("mit", 1)]
     assert all(r.n_licences == 0 and r.licence is None and r.families == "" for r in got if r.doc_id != 6)
     assert licences.scan_licences(none).count() == 0
 
 
 def test_decontaminate(docs, none, bench):
-    got = decontaminate.contamination(with_clashes(docs, "n_hit", "contaminated", "mine"), bench).collect()
+    got = decontaminate.contamination(with_clashes(docs, "n_hit", "contaminated", "_th", "_id", "_h", "_hit", "mine"), bench).collect()
     assert len(got) == N
+    assert {r["_th"] for r in got} == {"clash"}
     hit = {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got if r.contaminated}
-    assert hit == {(None, 120, 120 if False else next(r.n_hit for r in got if r.doc_id == 3), 1), (3, 120, next(r.n_hit for r in got if r.doc_id == 3), 1), (4, 120, next(r.n_hit for r in got if r.doc_id == 3), 1), (5, 60_000, 3, 1), (7, 3, 1, 1)}
+    assert hit == {(None, 120, 20, 1), (3, 120, 20, 1), (4, 120, 20, 1), (5, 60_000, 3, 1), (7, 3, 1, 1)}
     assert decontaminate.contamination(none, bench).count() == 0
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {None, 1, 2, 6}
@@ -97,7 +98,7 @@ def test_decontaminate(docs, none, bench):
 
 def test_quality(docs, none, spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (5, 1), (6, 0), (99, 1), (7, None)], "doc_id long, quality int")
-    got = line_crf.score_quality(with_clashes(docs, "score", "mine"), line_crf.fit_field(docs, labels)).collect()
+    got = line_crf.score_quality(with_clashes(docs, "score", "_x", "mine"), line_crf.fit_field(docs, labels)).collect()
     assert len(got) == N and all(0 <= r.score <= 1 for r in got)
     flat = line_crf.fit_field(none, labels)
     assert line_crf.score_quality(none, flat).count() == 0
@@ -106,7 +107,7 @@ def test_quality(docs, none, spark):
 
 def test_lm(docs, none):
     marked = docs.withColumn("held_out", F.col("doc_id") == 5)
-    got = lm_score.score_documents(with_clashes(marked, "score", "n_tokens", "mine")).collect()
+    got = lm_score.score_documents(with_clashes(marked, "score", "n_tokens", "_row", "_words", "_k", "mine")).collect()
     assert len(got) == N and all(r.score < 0 and r.base_score < 0 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2)} == {1}
     assert {r.n_known for r in got if r.doc_id == 5} == {1}  # none of its words is in training, only the end
@@ -115,7 +116,7 @@ def test_lm(docs, none):
 
 
 def test_near_dups(docs, none):
-    got = near_dups.classes(with_clashes(docs, "class_id", "_digest", "mine")).collect()
+    got = near_dups.classes(with_clashes(docs, "class_id", "_digest", "_bands", "_comp", "mine")).collect()
     assert len(got) == N
     assert {r.class_id for r in got if r.doc_id in (3, 4) or (r.doc_id is None and r.text)} == {3}
     assert {r.class_id for r in got if not (r.text or "").strip()} == {1}

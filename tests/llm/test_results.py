@@ -274,7 +274,7 @@ def test_marginals_by_enumeration():
 
 def test_subset_sums():
     rng = np.random.default_rng(4)
-    for _ in range(60):
+    for _ in range(300):
         lengths = np.unique(rng.integers(1, 40, rng.integers(1, 8)))
         counts = rng.integers(1, 6, len(lengths))
         budget = int(rng.integers(0, (lengths * counts).sum() + 3))
@@ -284,7 +284,7 @@ def test_subset_sums():
         for n, c in zip(lengths.tolist(), counts.tolist()):
             sums = {s + k * n for s in sums for k in range(c + 1)}
         reached, best = int((take * lengths).sum()), max(s for s in sums if s <= budget)
-        assert reached <= budget and best - reached <= lengths.max()
+        assert reached == best
 
 
 def test_mix(spark):
