@@ -116,6 +116,25 @@ def number_within(df: DataFrame, keys: list[str], tie: list[str], out: str, buck
     return dealt.withColumn("_r", own).join(starts, [*keys, "_b"]).withColumn(out, F.col("_start") + F.col("_r") - 1).drop("_b", "_r", "_start")
 
 
+#: A key is hot if it has more than one in HOT_SHARE of all rows, and SPREAD rows; so HOT_SHARE keys are at most. It is dealt into parts of about that many rows.
+HOT_SHARE, SPREAD = 1000, 64
+
+
+def hot_keys(many: DataFrame, key: str) -> DataFrame:
+    """key and _parts of the hot keys of a table: HOT_SHARE rows at most."""
+    least = max(SPREAD, many.count() // HOT_SHARE)
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
+    return materialize(counts.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_parts")), "hot-keys")
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str, hot: DataFrame, hint: str | None = None) -> DataFrame:
+    """many joined to few, which has a row for each key at most; the rows of a hot key are dealt into parts by a hash of by, and few repeats its row for each part."""
+    hot = F.broadcast(hot)  # bounded, see hot_keys
+    left = many.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = few.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right.hint(hint) if hint else right, [key, "_part"]).drop("_part")
+
+
 def crc_rest(col: str, mod: int) -> Column:
     """crc32(col as text) mod mod; a null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

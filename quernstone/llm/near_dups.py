@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import arrow_map, guarded, materialize, read_table, small_batches
+from quernstone.llm.common import arrow_map, guarded, hot_keys, materialize, read_table, small_batches, spread_join
 from quernstone.llm.shingles import mixed, normal, shingles
 
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8**3)**10 = 0.9992.
 BANDS, ROWS = 10, 3
-#: Document frequencies are kept for so many hashed classes of shingles (the hashing trick), whatever the corpus.
-CLASSES = 1 << 17
+#: Document frequencies are counted in so many hashed classes, in each of two tables whose hashes differ, whatever the corpus.
+CLASSES, TABLES = 1 << 19, 2
 _TABLE = 1 << 16
 
 
@@ -33,13 +33,39 @@ def _variates() -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float32), np.log(x).astype(np.float32)
 
 
-def weights(found: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles, sorted, and their weights: frequency in the text times 1 + idf, idf being 1 for the rarest class."""
+def _class_of(h: np.ndarray, table: int) -> np.ndarray:
+    return ((h >> np.uint64(45 - 19 * table)) % np.uint64(CLASSES)).astype(np.int64)
+
+
+class Frequencies:
+    """Document frequencies of shingles: of a class's count, what exceeds the load that chance gives a class, the lesser of both tables.
+
+    A class holds its shingle and, by chance, others. The load of others is that of the median class; it varies by
+    the distance to the class at 84 %, a standard deviation of a normal distribution. What exceeds the median by less than three of
+    those counts as one document. So however many shingles share a class, a passage of many documents stands out: with 10**9
+    shingles a class holds 2,000 others, give or take 45, and a frequency above 135 documents is told within that.
+    """
+
+    def __init__(self, counts: np.ndarray, docs: int) -> None:
+        self.docs = docs = max(1, docs)
+        middle, high = np.percentile(counts, (50, 84), axis=1)[:, :, None]
+        over = counts - middle
+        df = np.where(over > 3 * (high - middle), np.maximum(1.0, over), 1.0)
+        rarest = max(1e-9, float(np.log((1 + docs) / 2)))
+        self.factor = (1 + np.log((1 + docs) / (1 + np.minimum(df, docs))) / rarest).astype(np.float32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """1 + idf / idf of a shingle of one document, idf being ln((1 + documents) / (1 + frequency)): 1 to 2."""
+        return np.maximum(self.factor[0][_class_of(h, 0)], self.factor[1][_class_of(h, 1)])
+
+
+def weights(found: np.ndarray, idf: Frequencies) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and their weights: frequency in the text times the factor of their document frequency."""
     distinct, tf = np.unique(found, return_counts=True)
-    return distinct, (tf * idf[(distinct >> np.uint64(40)) % np.uint64(CLASSES)]).astype(np.float32)
+    return distinct, (tf * idf(distinct)).astype(np.float32)
 
 
-def bands_of(texts: list[bytes], idf: np.ndarray) -> list[list[int]]:
+def bands_of(texts: list[bytes], idf: Frequencies) -> list[list[int]]:
     """Band hashes of each normal text; none without words.
 
     Sample k of a text is the shingle and step with the least ln c - r (t + 1 - b), t being floor(ln w / r + b),
@@ -84,24 +110,33 @@ def bands_of(texts: list[bytes], idf: np.ndarray) -> list[list[int]]:
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(CLASSES, np.int64), 0
+    total, docs, held, size = np.zeros((TABLES, CLASSES), np.int64), 0, [], 0
+
+    def add() -> None:
+        every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        for t in range(TABLES):
+            total[t] += np.bincount(_class_of(every, t), minlength=CLASSES)
+        held.clear()
+
     for batch in batches:
         for found in shingles([normal(x) for x in batch.column("text").to_pylist()]):
-            np.add.at(total, ((np.unique(found) >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64), 1)
-            docs += 1
+            held.append(np.unique(found))
+            docs, size = docs + 1, size + len(found)
+            if size > 1_000_000:
+                add()
+                size = 0
+    add()
     some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int64()), pa.array(np.r_[docs, total[some]], pa.int64())], names=["class", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some], pa.int32()), pa.array(np.r_[docs, total.ravel()[some]], pa.int64())], names=["class", "n"])
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """1 + ln((1 + N) / (1 + df)) / its largest value, for each class: CLASSES numbers at any size, from all documents."""
-    rows = small_batches(docs.select("text")).mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(CLASSES)
+def inverse_frequencies(docs: DataFrame) -> Frequencies:
+    """From all documents; the driver gets a number for each class."""
+    rows = small_batches(docs.select("text")).mapInArrow(_class_counts, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(TABLES * CLASSES)
     which, n = rows.column("class").to_numpy(), rows.column("n").to_numpy()
-    total = float(n[which == -1].sum())
-    df[which[which >= 0]] = n[which >= 0]
-    idf = np.log((1 + max(total, df.max())) / (1 + df))
-    return (1 + idf / max(idf.max(), 1e-9)).astype(np.float32)
+    counts[which[which >= 0]] = n[which >= 0]
+    return Frequencies(counts.reshape(TABLES, CLASSES), int(n[which == -1].sum()))
 
 
 def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> float:
@@ -111,7 +146,7 @@ def similarity(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
     return least / max(1e-30, float(one[1].sum(dtype=float)) + float(two[1].sum(dtype=float)) - least)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: Frequencies, least: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) whose texts (node, text) reach the similarity. Texts are shuffled at every size, so that the plan is the same at each."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("_tb"))
@@ -126,7 +161,8 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float =
                 keep.append(similarity(own, weights(next(shingles([normal(y)])), idf)) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+    both = spread_join(pairs, right, "b", "a", hot_keys(pairs, "b"), "merge")
+    return spread_join(both, left, "a", "b", hot_keys(pairs, "a"), "merge").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -144,10 +180,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _stars(bucket: DataFrame) -> DataFrame:
+def _stars(bucket: DataFrame, hot: DataFrame) -> DataFrame:
     """Pairs of each node of a bucket with the bucket's least and greatest node: twice the nodes at most."""
     ends = bucket.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi")
-    joined = bucket.join(ends, "key")
+    joined = spread_join(bucket, ends, "key", "node", hot)
     return joined.select(F.explode(F.array("_lo", "_hi")).alias("_end"), "node").where("_end <> node").select(F.least("_end", "node").alias("a"), F.greatest("_end", "node").alias("b")).distinct()
 
 
@@ -208,7 +244,7 @@ def _compare(side: np.ndarray, comp: np.ndarray, bands: np.ndarray, band: int, o
     return links
 
 
-def _rest(shared: DataFrame, labels: DataFrame | None, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+def _rest(shared: DataFrame, labels: DataFrame | None, texts: DataFrame, idf: Frequencies, least: float) -> DataFrame:
     """Links (a, b) that join all pairs of different classes that share a band and reach the similarity. Texts (node, text, _bands) meet each two blocks once, not each pair."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -240,6 +276,7 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     # a key that one node has alone says nothing
     shared = banded.join(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
     shared = materialize(shared, "near-bands")
+    hot = hot_keys(shared, "key")
     involved = shared.select(F.col("node").alias("_row")).distinct()
     texts = materialize(rows.select("_row", "text", "_bands").join(involved.hint("merge"), "_row", "left_semi").withColumnRenamed("_row", "node"), "near-texts")
     tested = links = labels = None
@@ -249,7 +286,7 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
         if labels is not None:
             placed = bucket.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             bucket = placed.groupBy("key", "comp").agg(F.min("node").alias("node"))
-        pairs = _stars(bucket)
+        pairs = _stars(bucket, hot)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")

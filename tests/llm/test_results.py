@@ -70,7 +70,7 @@ def test_near_dups(spark, texts):
 def test_bands_follow_similarity():
     rng = random.Random(5)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
-    idf = np.ones(near_dups.CLASSES, np.float32)
+    idf = near_dups.Frequencies(np.zeros((near_dups.TABLES, near_dups.CLASSES)), 0)
     shared, truth = [], []
     for k in range(120):
         other = [w if rng.random() > 0.03 else f"x{rng.randrange(9999)}" for w in base]
@@ -122,6 +122,40 @@ def test_near_dups_of_a_middle_original(spark):
     assert got == dict(enumerate(parent))
 
 
+def test_frequencies_stand_out_of_full_classes():
+    """Classes with 2,000 others each; 300 shingles of 1,000 documents."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(2000, (near_dups.TABLES, near_dups.CLASSES)).astype(float)
+    common, rare = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    for t in range(near_dups.TABLES):
+        np.add.at(counts[t], near_dups._class_of(common, t), 1000)
+    docs = 15_000_000
+    idf = near_dups.Frequencies(counts, docs)
+    want = 1 + np.log(docs / 1000) / np.log(docs / 2)
+    assert np.abs(idf(common) - want).max() < 0.02 and (idf(rare) == 2).mean() > 0.99
+
+
+def test_near_dups_on_a_template(spark):
+    """Texts of 600 shared and 44 own words, and for each one with six edits: like each other, not like the rest."""
+    rng = random.Random(8)
+    shared, docs = [f"s{i}" for i in range(600)], []
+    for k in range(200):
+        words = shared[:300] + [f"o{k}x{i}" for i in range(44)] + shared[300:]
+        other = list(words)
+        for i in rng.sample(range(644), 6):
+            other[i] = f"e{k}x{i}"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    idf = near_dups.inverse_frequencies(frame)
+    own = [near_dups.weights(h, idf) for h in shingles([normal(t) for _, t in docs])]
+    links = [(2 * k, 2 * k + 1) for k in range(200) if near_dups.similarity(own[2 * k], own[2 * k + 1]) >= 0.8]
+    assert len(links) > 150
+    got = {r.doc_id: r.class_id for r in near_dups.classes(frame).collect()}
+    assert sum(got[a] == got[b] for a, b in links) >= 0.95 * len(links)
+    truly = {(a, b) for a in range(0, 400, 7) for b in range(a) if near_dups.similarity(own[a], own[b]) >= 0.8}
+    assert sum(got[a] == got[b] for a, b in truly) >= 0.95 * len(truly)
+
+
 def test_lattice_sums_all_segmentations():
     pieces = lattice.Pieces([b" ", b"a", b"b", b"ab", b" a", b"\xc3", b"\xa9", b"\xc3\xa9"], np.log([0.1, 0.2, 0.1, 0.15, 0.1, 0.1, 0.1, 0.15]))
     table = dict(zip(pieces.pieces, pieces.logp))
