@@ -13,12 +13,19 @@ from pyspark.sql import types as T
 
 from quernstone.llm.common import SPACES, arrow_map, crc_rest, guarded, lowest, read_table, text_or_empty
 
-#: So many labels, those with the lowest hash of doc_id, fit the model; of each at most its first FIT_LINES lines.
-FIT_DOCS, FIT_LINES = 3000, 200
+#: So many labels, those with the lowest hash of doc_id, fit the model, as long as their documents have FIT_LINES lines together at most; texts are never cut.
+FIT_DOCS, FIT_LINES = 3000, 300_000
+#: A chain of the fit has so many lines at most; a longer text is several, and all its lines count.
+CHAIN = 200
+#: What a document's label says of the length-weighted share of its good lines: at least, and at most.
+GOOD_SHARE, BAD_SHARE = 0.9, 0.5
 THRESHOLD = 0.7
 #: Characters of a line whose share of it says something.
 MARKS = "#*$%&|<>=_~^{}[]\\/@+"
-STEPS = 200
+#: Steps of the gradient while every line has its document's label, then in each round of expectation maximisation.
+STEPS, ROUNDS, ROUND_STEPS = 100, 4, 25
+#: Half the interval of a line's log odds in which the tilt towards its document's label is looked for, and how often it is halved.
+TILT, HALVINGS = 12.0, 9
 
 
 def line_features(line: str) -> list[float]:
@@ -90,30 +97,38 @@ class LineField:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a + self.b * _logit(mean)))))
 
     @classmethod
-    def fit(cls, docs: list[tuple[list[list[float]], list[float], int]]) -> LineField:
-        """Maximum conditional likelihood where every line carries its document's label, both labels weighing the same; then Platt's calibration on the documents.
+    def fit(cls, docs: list[tuple[np.ndarray, list[float], int]]) -> LineField:
+        """Maximum conditional likelihood where the lines' labels are hidden, both document labels weighing the same; then Platt's calibration on the documents.
 
-        With one label or no rows the model is flat, and scores are the label's smoothed share.
+        At first every line has its document's label, and neighbours say nothing, as they never differ. Then, in each round, lines take their marginals under the model, tilted
+        no more than it takes to give a good document a length-weighted share of good lines of GOOD_SHARE, and a bad one
+        BAD_SHARE at most (posterior regularisation); the model moves towards those. So a document of both kinds of lines
+        keeps both. With one label or no rows the model is flat, and scores are the label's smoothed share.
         """
         good = sum(y for _, _, y in docs)
         if not 0 < good < len(docs):
             p = (good + 1) / (len(docs) + 2)
             return cls(np.zeros((WIDTH, 2)), np.zeros((2, 2)), _logit(p), 0.0)
-        docs = sorted(docs, key=lambda d: len(d[0]))
         weight = {0: 0.5 / (len(docs) - good), 1: 0.5 / good}
-        groups = [_pad(docs[i:i + 256], weight) for i in range(0, len(docs), 256)]
+        y = np.array([d[2] for d in docs])
+        groups = _chains(docs, weight)
         w, chain = np.zeros((WIDTH, 2)), np.zeros((2, 2))
         m1, m2 = np.zeros(2 * WIDTH + 4), np.zeros(2 * WIDTH + 4)
-        for step in range(1, STEPS + 1):
-            g = sum(_gradient(w, chain, *x) for x in groups)
-            g[:2 * WIDTH] += 1e-4 * w.ravel()
-            g[2 * WIDTH:] += 1e-3 * chain.ravel()
-            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-            move = 0.08 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
-            w, chain = w - move[:2 * WIDTH].reshape(WIDTH, 2), chain - move[2 * WIDTH:].reshape(2, 2)
+        step = 0
+        for turn in range(ROUNDS + 1):
+            tilts = np.where(y == 1, 1e3, -1e3) if not turn else _tilts(w, chain, groups, y)
+            # what the hidden labels say: fixed while the model moves
+            goals = [_counts(x, *_expected(x @ w, chain, mask, tilts[doc][:, None] * share), scale) for x, mask, doc, share, scale in groups]
+            for _ in range(ROUND_STEPS if turn else STEPS):
+                step += 1
+                g = sum(_counts(x, *_expected(x @ w, chain, mask), scale) - goal for (x, mask, _, _, scale), goal in zip(groups, goals))
+                g[:2 * WIDTH] += 1e-4 * w.ravel()
+                g[2 * WIDTH:] = g[2 * WIDTH:] + 1e-3 * chain.ravel() if turn else 0.0
+                m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+                move = 0.08 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
+                w, chain = w - move[:2 * WIDTH].reshape(WIDTH, 2), chain - move[2 * WIDTH:].reshape(2, 2)
         field = cls(w, chain, 0.0, 1.0)
         x = np.array([_logit(field.mean_marginal(np.array(f), np.array(n))) for f, n, _ in docs])
-        y = np.array([d[2] for d in docs], dtype=float)
         # Platt's targets keep the calibration finite when the labels can be told apart
         target = np.where(y == 1, (good + 1) / (good + 2), 1 / (len(docs) - good + 2))
         ab = np.zeros(2)
@@ -130,20 +145,32 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _pad(docs: list, weight: dict[int, float]) -> tuple[np.ndarray, ...]:
-    longest = max(len(f) for f, _, _ in docs)
-    x, mask = np.zeros((len(docs), longest, WIDTH)), np.zeros((len(docs), longest), bool)
-    for i, (f, _, _) in enumerate(docs):
-        x[i, :len(f)], mask[i, :len(f)] = f, True
-    y = np.array([d[2] for d in docs])
-    # a document counts once, however many lines it has
-    return x, mask, y, np.array([weight[d[2]] for d in docs]) / mask.sum(1)
-
-
-def _gradient(w: np.ndarray, chain: np.ndarray, x: np.ndarray, mask: np.ndarray, y: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Gradient of the negative conditional log-likelihood over padded documents."""
-    n, longest, _ = x.shape
-    u = x @ w * mask[:, :, None]
+def _chains(docs: list, weight: dict[int, float]) -> list[tuple[np.ndarray, ...]]:
+    """Groups of chains of about one length: features, mask, document, a line's length by its document's mean, and a line's weight. A document counts once, however many lines it has."""
+    pieces = [(i, at) for i, (f, _, _) in enumerate(docs) for at in range(0, len(f), CHAIN)]
+    size = lambda p: min(CHAIN, len(docs[p[0]][0]) - p[1])
+    pieces.sort(key=lambda p: (size(p), p))
+    groups = []
+    for start in range(0, len(pieces), 256):
+        own = pieces[start:start + 256]
+        longest = size(own[-1])
+        x, mask, share = np.zeros((len(own), longest, WIDTH)), np.zeros((len(own), longest), bool), np.zeros((len(own), longest))
+        for k, (i, at) in enumerate(own):
+            f, n, _ = docs[i]
+            part = slice(at, at + CHAIN)
+            m = len(f[part])
+            x[k, :m], mask[k, :m], share[k, :m] = f[part], True, np.array(n[part]) / (sum(n) / len(n))
+        doc = np.array([i for i, _ in own])
+        groups.append((x, mask, doc, share, np.array([weight[docs[i][2]] / len(docs[i][0]) for i in doc])))
+    return groups
+
+
+def _expected(u: np.ndarray, chain: np.ndarray, mask: np.ndarray, tilt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of lines (chains, lines, label) and of neighbours (chains, label, label, summed) of padded chains; tilt is added to the log odds of good."""
+    n, longest, _ = u.shape
+    u = u * mask[:, :, None]
+    if tilt is not None:
+        u[:, :, 1] += tilt * mask
     fore, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
     fore[:, 0] = u[:, 0]
     for t in range(1, longest):
@@ -155,32 +182,62 @@ def _gradient(w: np.ndarray, chain: np.ndarray, x: np.ndarray, mask: np.ndarray,
         back[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
     z = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
     p = np.exp(fore + back - z[:, None, None]) * mask[:, :, None]
-    p[np.arange(n), :, y] -= mask
-    gw = np.einsum("ntf,ntk->fk", x, p * scale[:, None, None])
-    gc = np.zeros((2, 2))
+    pairs = np.zeros((n, 2, 2))
     if longest > 1:
-        both = mask[:, 1:]
-        joint = np.exp(fore[:, :-1, :, None] + chain + (u + back)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-        gc = (joint * scale[:, None, None, None]).sum((0, 1))
-        np.subtract.at(gc, (y, y), both.sum(1) * scale)
-    return np.r_[gw.ravel(), gc.ravel()]
+        joint = np.exp(fore[:, :-1, :, None] + chain + (u + back)[:, 1:, None, :] - z[:, None, None, None])
+        pairs = (joint * mask[:, 1:, None, None]).sum(1)
+    return p, pairs
+
+
+def _counts(x: np.ndarray, p: np.ndarray, pairs: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Expected features by label, and neighbouring labels, weighed."""
+    return np.r_[np.einsum("ntf,ntk->fk", x, p * scale[:, None, None]).ravel(), (pairs * scale[:, None, None]).sum(0).ravel()]
+
 
+def _tilts(w: np.ndarray, chain: np.ndarray, groups: list, y: np.ndarray) -> np.ndarray:
+    """The least tilt of each document with which its share of good lines is what its label says, by bisection."""
+    scores = [x @ w for x, *_ in groups]
 
-def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> LineField:
+    def shares(tilt: np.ndarray) -> np.ndarray:
+        top, below = np.zeros(len(y)), np.zeros(len(y))
+        for u, (_, mask, doc, share, _) in zip(scores, groups):
+            p = _expected(u, chain, mask, tilt[doc][:, None] * share)[0]
+            np.add.at(top, doc, (p[:, :, 1] * share).sum(1))
+            np.add.at(below, doc, share.sum(1))
+        return top / below
+
+    meets = lambda s: np.where(y == 1, s >= GOOD_SHARE, s <= BAD_SHARE)
+    low, high = np.zeros(len(y)), np.where(y == 1, TILT, -TILT)
+    high = np.where(meets(shares(low)), 0.0, high)
+    for _ in range(HALVINGS):
+        middle = (low + high) / 2
+        fine = meets(shares(middle))
+        low, high = np.where(fine, low, middle), np.where(fine, middle, high)
+    return high
+
+
+def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES) -> LineField:
     """docs: doc_id, text. labels: doc_id, quality, of which the fit_docs with the lowest hash of doc_id are used.
 
-    Labels other than 0 and 1, and labels without a document, don't count. The driver gets features, never texts.
+    Labels other than 0 and 1, and labels without a document, don't count. The driver gets features of whole texts, never
+    texts, in the order of the hash, and stops before a document with which they would have more than fit_lines lines; the
+    first is always taken.
     """
     chosen = lowest(labels.select("doc_id", "quality").where("quality in (0, 1)"), F.xxhash64("doc_id", "quality"), fit_docs)
     some = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_docs rows at most
 
     def features(batch: pa.RecordBatch) -> dict:
         made = [document_features(x) for x in batch.column("text").to_pylist()]
-        return {"f": pa.array([zlib.compress(f[:FIT_LINES].astype("<f4").tobytes()) for f, _ in made], pa.binary()), "n": pa.array([n[:FIT_LINES].tolist() for _, n in made], pa.list_(pa.float64()))}
-
-    rows = arrow_map(some, [T.StructField("f", T.BinaryType()), T.StructField("n", T.ArrayType(T.DoubleType()))], features, drop=("text",)).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), len(r.n), r.quality))
-    return LineField.fit([(np.frombuffer(zlib.decompress(r.f), "<f4").reshape(-1, WIDTH).astype(float), list(r.n), r.quality) for r in rows])
+        return {"f": pa.array([zlib.compress(f.astype("<f4").tobytes(), 1) for f, _ in made], pa.binary()), "n": pa.array([n.tolist() for _, n in made], pa.list_(pa.float64()))}
+
+    rows = arrow_map(some, [T.StructField("f", T.BinaryType()), T.StructField("n", T.ArrayType(T.DoubleType()))], features, drop=("text",))
+    taken, lines = [], 0
+    for r in rows.orderBy(F.xxhash64("doc_id"), F.col("doc_id").cast("string"), F.size("n"), "quality").toLocalIterator():
+        lines += len(r.n)
+        if taken and lines > fit_lines:
+            break
+        taken.append((np.frombuffer(zlib.decompress(r.f), "<f4").reshape(-1, WIDTH).astype(float), list(r.n), r.quality))
+    return LineField.fit(taken)
 
 
 @guarded

@@ -274,9 +274,9 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     banded = rows.select("_row", F.posexplode("_bands").alias("band", "key")).join(nodes.select(F.col("node").alias("_row")), "_row", "left_semi")
     banded = materialize(banded.select("band", "key", F.col("_row").alias("node")), "near-bands")
     # a key that one node has alone says nothing
-    shared = banded.join(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key", "left_semi")
-    shared = materialize(shared, "near-bands")
-    hot = hot_keys(shared, "key")
+    hot = hot_keys(banded, "key")
+    several = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    shared = materialize(spread_join(banded, several, "key", "node", hot).select("band", "key", "node"), "near-bands")
     involved = shared.select(F.col("node").alias("_row")).distinct()
     texts = materialize(rows.select("_row", "text", "_bands").join(involved.hint("merge"), "_row", "left_semi").withColumnRenamed("_row", "node"), "near-texts")
     tested = links = labels = None

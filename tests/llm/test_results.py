@@ -306,6 +306,24 @@ def test_marginals_by_enumeration():
     assert np.allclose(line_crf.marginals(scores, chain), p[:, 1] / p.sum(1))
 
 
+def test_lines_of_both_kinds_in_a_document():
+    """Bad documents are half prose and half junk; no line has a label of its own."""
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice("the a house river walks over under green old and speaks slowly".split()) for _ in range(12)) + "."
+    junk = lambda: " ".join(rng.choice(("$$$", "BUY!!!", "###", "x|x|x", "%%%")) for _ in range(12))
+    docs, texts = [], []
+    for i in range(200):
+        texts.append("\n".join([prose() for _ in range(6)] + [(junk if i % 2 else prose)() for _ in range(6)]))
+        docs.append((*line_crf.document_features(texts[-1]), 1 - i % 2))
+    field = line_crf.LineField.fit([(f, n.tolist(), y) for f, n, y in docs])
+    good, bad = texts[0], texts[1]
+    own = line_crf.marginals(line_crf.document_features(bad)[0] @ field.w, field.chain)
+    assert own[:5].min() > 0.6 and own[7:].max() < 0.2
+    assert line_crf.marginals(line_crf.document_features(good)[0] @ field.w, field.chain).min() > 0.6
+    assert field.score(good) > 0.9 and field.score(bad) < 0.1
+    assert field.score("\n".join([prose()] * 3 + [prose() for _ in range(250)] + [junk() for _ in range(250)])) < field.score("\n".join(prose() for _ in range(500)))
+
+
 def test_subset_sums():
     rng = np.random.default_rng(4)
     for _ in range(300):
