@@ -444,8 +444,10 @@ def test_proximity(spark):
     index = decontaminate.build_index(docs, bench)
     exact = {(r.doc_id, r.start, r["len"]) for r in decontaminate.exact_matches(index).collect()}
     assert exact == {(1, 1, 10)}
-    near = {(r.doc_id, abs(r.gap)) for r in decontaminate.proximity_matches(index, slop=3).collect()}
-    assert (1, 0) in near and {d for d, _ in near} == {1, 2}
+    near = {(r.doc_id, r.start) for r in decontaminate.proximity_matches(index, slop=3).collect()}
+    assert (1, 1) in near and {d for d, _ in near} == {1, 2}
+    got = {r.doc_id: (r.n_items, r.n_near) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
 
 
 def test_text_stats():
