@@ -18,10 +18,12 @@ CASE = ["class", "file", "column", "field", "record_key", "headline", "options",
 WORTH_CHECKING = ("AMBIGUOUS_VALUE", "VALIDATION_UNRESOLVED", "UNRESOLVED_REFERENCE", "CONFLICTING_FACTS", "UNCERTAIN_IDENTITY", "LOW_CONFIDENCE_EXTRACTION")
 
 
-def case_rows(df: DataFrame, kind: Column, file: Column, column: Column, name: Column, record: Column, headline: Column, options: Column, blocks: Column) -> DataFrame:
+def case_rows(df: DataFrame, kind: Column, file: Column, column: Column, name: Column, record: Column, headline: Column, options: Column, blocks: Column, told_by: Column | None = None) -> DataFrame:
+    """Cases with case_key, by which answers find them again: what they are about, never a cell's value if a record and field say that; told_by tells apart cases that agree in all of it."""
     none = lambda c: c.cast("string")
-    made = df.select(none(kind).alias("class"), none(file).alias("file"), none(column).alias("column"), none(name).alias("field"), none(record).alias("record_key"), none(headline).alias("headline"), options.cast("array<string>").alias("options"), blocks.cast("bigint").alias("blocks"))
-    return made.withColumn("case_key", content_key(F.col("class"), F.col("record_key"), F.col("field"), F.concat_ws(":", "file", "column"), F.col("headline")))
+    made = df.select(none(kind).alias("class"), none(file).alias("file"), none(column).alias("column"), none(name).alias("field"), none(record).alias("record_key"), none(headline).alias("headline"), options.cast("array<string>").alias("options"), blocks.cast("bigint").alias("blocks"), none(F.lit(None) if told_by is None else told_by).alias("_told"))
+    more = F.coalesce("_told", F.when(F.col("record_key").isNull(), F.col("headline")))
+    return made.withColumn("case_key", content_key(F.col("class"), F.col("record_key"), F.col("field"), F.concat_ws(":", "file", "column"), more)).drop("_told")
 
 
 def value_cases(unsafe: DataFrame) -> DataFrame:
@@ -49,12 +51,12 @@ def reference_cases(missing: DataFrame, codes: DataFrame, options: int = 8) -> D
 def issue_cases(issues: DataFrame, open_cells: DataFrame) -> DataFrame:
     """Cases of issues (record_id, field, rule, value) whose cell has no case yet (open_cells: record_id, field)."""
     rest = issues.join(open_cells.select("record_id", "field").distinct(), ["record_id", "field"], "left_anti")
-    return case_rows(rest, F.when(F.col("rule") == "required", "MISSING_REQUIRED").otherwise("VALIDATION_UNRESOLVED"), F.lit(None), F.lit(None), F.col("field"), F.col("record_id"), F.concat_ws(" ", "rule", "value"), F.array(), F.lit(1))
+    return case_rows(rest, F.when(F.col("rule") == "required", "MISSING_REQUIRED").otherwise("VALIDATION_UNRESOLVED"), F.lit(None), F.lit(None), F.col("field"), F.col("record_id"), F.concat_ws(" ", "rule", "value"), F.array(), F.lit(1), F.col("rule"))
 
 
 def identity_cases(folded: DataFrame) -> DataFrame:
     open_pairs = folded.where("case_with is not null")
-    return case_rows(open_pairs, F.lit("UNCERTAIN_IDENTITY"), F.lit(None), F.lit(None), F.lit(None), F.col("record_id"), F.col("case_with"), F.array(F.lit("merge"), F.lit("separate")), F.lit(2))
+    return case_rows(open_pairs, F.lit("UNCERTAIN_IDENTITY"), F.lit(None), F.lit(None), F.lit(None), F.col("record_id"), F.col("case_with"), F.array(F.lit("merge"), F.lit("separate")), F.lit(2), F.col("case_with"))
 
 
 def conflict_cases(found: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def conflict_cases(found: DataFrame) -> DataFrame:
 
 
 def numbered(cases: DataFrame) -> DataFrame:
-    """cases with case_id: case-001 and on, in the order of their keys. Cases are as few as people can answer."""
+    """cases with case_id: case-001 and on, in the order of their keys; for a page of cases that a list shows, as one task numbers them. Answers go by case_key."""
     return cases.withColumn("case_id", F.format_string("case-%03d", F.row_number().over(Window.orderBy("case_key"))))
 
 
@@ -86,11 +88,15 @@ def unmatched(decisions: DataFrame, cases: DataFrame) -> DataFrame:
 
 @dataclass
 class Overrides:
-    """Answers by content. Small, so they stay on the driver and become expressions and small tables."""
+    """Answers by content. Small, so they stay on the driver and become expressions and small tables.
+
+    values are of one row (record id, field); facts are of the entity that a row belongs to, whichever row stands for it.
+    """
 
     column_map: dict[tuple[str, str], str | None] = field(default_factory=dict)
     constants: dict[tuple[str | None, str], str] = field(default_factory=dict)
     values: dict[tuple[str, str], str | None] = field(default_factory=dict)
+    facts: dict[tuple[str, str], str | None] = field(default_factory=dict)
     value_map: dict[tuple[str, str, str], str | None] = field(default_factory=dict)
     date_formats: dict[tuple[str, str], str] = field(default_factory=dict)
     identity: dict[tuple[str, str], bool] = field(default_factory=dict)
@@ -146,6 +152,8 @@ def apply_decision(overrides: Overrides, case: dict, action: str, value: str | N
         overrides.identity[tuple(sorted((record, case["headline"])))] = value == "merge"
     elif kind == "CONFLICTING_FACTS" and action == "prefer_file":
         overrides.authority = [value, *(a for a in overrides.authority if a != value)]
+    elif kind in ("CONFLICTING_FACTS", "MISSING_REQUIRED") or kind in ("VALIDATION_UNRESOLVED", "UNRESOLVED_REFERENCE") and not column:
+        overrides.facts[record, name] = value
     elif kind == "AMBIGUOUS_VALUE" and case["headline"].startswith("ambiguous date"):
         overrides.date_formats[file, column] = value
     elif file and column and not record:

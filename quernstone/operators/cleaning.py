@@ -73,19 +73,29 @@ def _typed(composed: Column, raw: Column, target: Field, plan: ColumnPlan) -> Co
         value = F.when(typed.isNotNull(), stripped)
         unsafe = F.when(typed.isNull(), f"not a {target.type}")
     elif target.type in ("date", "datetime"):
-        rule = "normalise_date"
-        readings = F.array_sort(F.array_distinct(F.filter(F.array(*(X.render_date(X.read_date(collapsed, f), target.date_format) for f in plan.ambiguous)) if plan.ambiguous else no_choice, lambda x: x.isNotNull())))
-        formats = ([plan.date_format] if plan.date_format else []) + [target.date_format]
-        value = F.coalesce(*(X.render_date(X.read_date(collapsed, f), target.date_format) for f in formats))
-        torn = F.size(readings) > 1
-        value = F.when(~torn, value)
-        unsafe = F.when(torn, "ambiguous date").when(value.isNull(), "not a date")
-        choices = F.when(torn, readings).otherwise(no_choice)
+        formats = [*plan.ambiguous, *([plan.date_format] if plan.date_format else []), target.date_format]
+        reads = F.array(*(X.render_date(X.read_date(collapsed, f), target.date_format) for f in formats))
+        # a lambda's variable is computed once, so that no format is parsed twice; nor may a Python function stand inside
+        cell = F.struct(raw.alias("raw"), composed.alias("composed"), trimmed.alias("trimmed"), collapsed.alias("collapsed"), blank.alias("blank"), reads.alias("reads"))
+        return F.get(F.transform(F.array(cell), lambda c: _outcome(c["raw"], c["composed"], c["trimmed"], c["collapsed"], c["blank"], "normalise_date", *_dated(c["reads"], len(plan.ambiguous)))), 0)
     elif target.pattern:
         rule = "strip_pattern_punctuation"
         bare = F.regexp_replace(collapsed, rf"(?U){X.NOISE}", "")
         value = F.when(X.prefix_match(collapsed, target.pattern), collapsed).when(X.prefix_match(bare, target.pattern), bare)
         unsafe = F.when(value.isNull(), "pattern")
+    return _outcome(raw, composed, trimmed, collapsed, blank, rule, value, unsafe, choices)
+
+
+def _dated(reads: Column, ambiguous: int) -> tuple[Column, Column, Column]:
+    """value, unsafe and alternatives of a date from its readings, of which the first so many are of formats that its column cannot tell apart."""
+    readings = F.array_sort(F.array_distinct(F.array_compact(F.slice(reads, 1, ambiguous)))) if ambiguous else F.array().cast("array<string>")
+    torn = F.size(readings) > 1
+    value = F.when(~torn, F.get(F.array_compact(F.slice(reads, ambiguous + 1, 3)), 0))
+    return value, F.when(torn, "ambiguous date").when(value.isNull(), "not a date"), F.when(torn, readings).otherwise(F.array().cast("array<string>"))
+
+
+def _outcome(raw: Column, composed: Column, trimmed: Column, collapsed: Column, blank: Column, rule: str, value: Column, unsafe: Column, choices: Column) -> Column:
+    none, no_choice = F.lit(None).cast("string"), F.array().cast("array<string>")
     absent = raw.isNull() | blank
     steps = F.array_compact(F.array(
         _step("unicode_nfc", raw, composed), _step("trim_boundary_whitespace", composed, trimmed), _step("collapse_repeated_whitespace", trimmed, collapsed),

@@ -50,12 +50,18 @@ def type_rates(counts: DataFrame) -> DataFrame:
     return rates.unpivot(COLUMN, list(tests), "type", "parse_rate").where("parse_rate > 0")
 
 
+def _totals(counts: DataFrame) -> DataFrame:
+    """_all: filled cells of each column; a row a column, so that no task holds the values of one."""
+    return counts.where("v is not null").groupBy(*COLUMN).agg(F.sum("n").alias("_all"))
+
+
 def date_rates(counts: DataFrame) -> DataFrame:
     """file, column, format, rate, decidable (some day read so is above 12); formats that read nothing are left out."""
     v, n = F.col("v"), F.col("n")
     parsed = F.array(*(F.struct(F.lit(f).alias("format"), F.try_to_timestamp(v, F.lit(p)).alias("at")) for f, p in X.DATE_FORMATS.items()))
-    read = counts.where(v.isNotNull()).withColumn("_all", F.sum("n").over(Window.partitionBy(*COLUMN))).select(*COLUMN, "n", "_all", F.explode(parsed).alias("p")).where("p.at is not null")
-    return read.groupBy(*COLUMN, F.col("p.format").alias("format")).agg((F.sum(n) / F.max("_all")).alias("rate"), F.bool_or(F.day("p.at") > 12).alias("decidable"))
+    read = counts.where(v.isNotNull()).select(*COLUMN, "n", F.explode(parsed).alias("p")).where("p.at is not null")
+    sums = read.groupBy(*COLUMN, F.col("p.format").alias("format")).agg(F.sum(n).alias("_read"), F.bool_or(F.day("p.at") > 12).alias("decidable"))
+    return sums.join(_totals(counts), COLUMN).select(*COLUMN, "format", (F.col("_read") / F.col("_all")).alias("rate"), "decidable")
 
 
 def best_dates(rates: DataFrame) -> DataFrame:
@@ -67,9 +73,8 @@ def best_dates(rates: DataFrame) -> DataFrame:
 def masks(counts: DataFrame, k: int = MASKS) -> DataFrame:
     """file, column, mask, n, coverage of the k commonest masks; ties by mask."""
     by = counts.where("v is not null").groupBy(*COLUMN, X.mask(F.col("v")).alias("mask")).agg(F.sum("n").alias("n"))
-    own = Window.partitionBy(*COLUMN)
-    ranked = by.withColumn("coverage", F.col("n") / F.sum("n").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "mask")))
-    return ranked.where(F.col("rank") <= k)
+    top = by.withColumn("rank", F.row_number().over(Window.partitionBy(*COLUMN).orderBy(F.desc("n"), "mask"))).where(F.col("rank") <= k)
+    return top.join(_totals(counts), COLUMN).select(*COLUMN, "mask", "n", (F.col("n") / F.col("_all")).alias("coverage"), "rank")
 
 
 def top_values(counts: DataFrame, k: int = TOP, ties: str = "first_row") -> DataFrame:

@@ -74,10 +74,11 @@ def build(records: DataFrame, mappings: list[scoring.Mapping], plans: dict, sche
                 column = chosen[f.name]
                 raw = F.element_at("cells", F.lit(column))
                 c = cleaning.clean(raw, f, plans.get((file, column)))
-                answers = {r: v for (fi, co, r), v in overrides.value_map.items() if (fi, co) == (file, column)}
                 own = F.struct(c["value"].alias("value"), c["unsafe"].alias("unsafe"), c["alternatives"].alias("alternatives"), c["steps"].alias("steps"), raw.alias("raw"), F.lit(column).alias("column"))
-                for r, v in answers.items():
-                    own = F.when(raw == r, _fixed(v, raw, column)).otherwise(own)
+                if answers := {r: v for (fi, co, r), v in overrides.value_map.items() if (fi, co) == (file, column)}:
+                    # one look-up in a literal map, however many answers there are; they are as few as people gave
+                    known = F.map_from_arrays(F.array(*map(F.lit, answers)), F.array(*(F.lit(v).cast("string") for v in answers.values())))
+                    own = F.when(F.map_contains_key(known, F.coalesce(raw, F.lit(""))) & raw.isNotNull(), _fixed(F.element_at(known, raw), raw, column)).otherwise(own)
             else:
                 own = _fixed(constant, F.lit(None), None)
             made.append(own.alias(f.name))
@@ -87,7 +88,7 @@ def build(records: DataFrame, mappings: list[scoring.Mapping], plans: dict, sche
     return reduce(DataFrame.unionByName, parts)
 
 
-def _fixed(value: str | None, raw, column: str | None):
+def _fixed(value, raw, column: str | None):
     none = F.array()
     return F.struct(
         F.lit(value).cast("string").alias("value"), F.lit(None).cast("string").alias("unsafe"), none.cast("array<string>").alias("alternatives"),
@@ -118,15 +119,27 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
     pairs = matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]]), values, schema)
     human = spark.createDataFrame([(a, b, m) for (a, b), m in overrides.identity.items()], "left_id string, right_id string, merge boolean") if overrides.identity else None
     folded = matching.reconcile(pairs, human).checkpoint()
-    merged = matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id").checkpoint()
+    merged = matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id")
+    torn = matching.conflicts(values, folded, names)
+    if overrides.authority:
+        placed = values.join(matching.survivor_of(folded), "record_id")
+        each = reduce(DataFrame.unionByName, (placed.select(F.col("survivor").alias("entity"), F.lit(n).alias("field"), "file", matching.filled(F.col(n)).alias("value")) for n in names))
+        settled = matching.prefer(each.where("value is not null"), overrides.authority).where("value is not null").withColumnRenamed("entity", "survivor")
+        settled = settled.join(torn.select("survivor", "field"), ["survivor", "field"], "left_semi").checkpoint()
+        merged, torn = _settle(merged, settled, names), torn.join(settled, ["survivor", "field"], "left_anti")
+    if overrides.facts:
+        told = spark.createDataFrame([(k, f, v) for (k, f), v in overrides.facts.items()], "record_id string, field string, value string")
+        facts = told.join(matching.survivor_of(folded), "record_id", "left").select(F.coalesce("survivor", "record_id").alias("survivor"), "field", "value").dropDuplicates(["survivor", "field"])
+        merged, torn = _settle(merged, facts, names), torn.join(facts, ["survivor", "field"], "left_anti")
+    merged, torn = merged.checkpoint(), torn.checkpoint()
 
     long = reduce(DataFrame.unionByName, (built.select("record_id", "file", F.lit(n).alias("field"), F.lit(schema[n].type).alias("type"), f"{n}.column", f"{n}.raw", f"{n}.unsafe", f"{n}.alternatives", F.lit(1.0).alias("confidence")) for n in names))
-    answered = {(k, f) for k, f in overrides.values}
+    answered = {*overrides.values, *overrides.facts}
     unsafe = long.where("unsafe is not null")
     if answered:
         unsafe = unsafe.join(spark.createDataFrame(list(answered), "record_id string, field string"), ["record_id", "field"], "left_anti")
     issues = validation.record_issues(merged, schema)
-    queue = [C.value_cases(unsafe), C.identity_cases(folded), C.conflict_cases(matching.conflicts(values, folded, names)), mapping_cases(spark, mappings), gap_cases(spark, mappings, schema)]
+    queue = [C.value_cases(unsafe), C.identity_cases(folded), C.conflict_cases(torn), mapping_cases(spark, mappings), gap_cases(spark, mappings, schema)]
     for f in schema.fields:
         if f.unique:
             issues = issues.unionByName(validation.uniqueness_issues(merged, f).drop("others"))
@@ -145,9 +158,9 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
     issues = issues.checkpoint()
     open_cells = unsafe.select("record_id", "field").unionByName(issues.where("rule like 'reference%'").select("record_id", "field"))
     queue.append(C.issue_cases(issues, open_cells))
-    cases = C.numbered(reduce(DataFrame.unionByName, queue)).checkpoint()
+    cases = _recommend(reduce(DataFrame.unionByName, queue), mappings, plans, built, values, folded).checkpoint()
 
-    waiting = unsafe.select("record_id").union(folded.where("case_with is not null").select("record_id")).union(C.conflict_cases(matching.conflicts(values, folded, names)).select("record_key"))
+    waiting = unsafe.select("record_id").union(folded.where("case_with is not null").select("record_id")).union(torn.select("survivor"))
     counted = merged.join(waiting.groupBy("record_id").agg(F.count(F.lit(1)).alias("open_cases")), "record_id", "left").join(issues.groupBy("record_id").agg(F.count(F.lit(1)).alias("issues")), "record_id", "left").fillna(0, ["open_cases", "issues"])
     out = F.col("record_id").isin(*overrides.excluded) | F.coalesce(F.col(schema.identity).isin(*overrides.excluded), F.lit(False)) if overrides.excluded else F.lit(False)
     states = validation.final_states(counted.withColumn("excluded", out))
@@ -160,6 +173,32 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
     return RunResult(mappings, plans, built, states.drop("excluded", "open_cases", "issues"), issues, cases)
 
 
+def _settle(merged: DataFrame, answers: DataFrame, names: list[str]) -> DataFrame:
+    """merged (record_id, fields) with the values of answers (survivor, field, value; null is a value): one row for each entity that has some."""
+    wide = answers.groupBy("survivor").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_told"))
+    joined = merged.join(wide, merged["record_id"] == wide["survivor"], "left").drop("survivor")
+    told = F.coalesce("_told", F.create_map().cast("map<string,string>"))
+    return joined.select("record_id", *(F.when(F.map_contains_key(told, n), F.element_at(told, n)).otherwise(F.col(n)).alias(n) for n in names), *(c for c in merged.columns if c not in ("record_id", *names)))
+
+
+def _recommend(cases: DataFrame, mappings: list, plans: dict, built: DataFrame, values: DataFrame, folded: DataFrame) -> DataFrame:
+    """cases with recommended: for a column of dates that read in several ways, the one reading that agrees with other files' dates of the same entities, if only one does; null otherwise."""
+    spark, found = cases.sparkSession, []
+    placed = values.join(matching.survivor_of(folded), "record_id")
+    for m in mappings:
+        plan = plans.get((m.file, m.column))
+        if plan is None or len(plan.ambiguous) < 2:
+            continue
+        waiting = built.where((F.col("file") == m.file) & (F.col(f"{m.chosen}.unsafe") == "ambiguous date")).select("record_id", F.col(f"{m.chosen}.raw").alias("value"))
+        waiting = waiting.join(matching.survivor_of(folded), "record_id").select(F.col("survivor").alias("entity"), "value")
+        known = placed.where(F.col("file") != m.file).select(F.col("survivor").alias("entity"), F.col(m.chosen).alias("known")).where("known is not null").distinct()
+        checked = C.recommended_reading(matching.cross_check(waiting, known, plan.ambiguous)).where("recommended").collect()  # a row at most
+        found += [(m.file, m.column, "AMBIGUOUS_VALUE", r.format) for r in checked]
+    if not found:
+        return cases.withColumn("recommended", F.lit(None).cast("string"))
+    return cases.join(F.broadcast(spark.createDataFrame(found, "file string, column string, class string, recommended string")), ["file", "column", "class"], "left")
+
+
 def mapping_cases(spark, mappings: list[scoring.Mapping]) -> DataFrame:
     """AMBIGUOUS_MAPPING for columns in review, with the three best candidates as choices."""
     rows = [(m.file, m.column, [c.field for c in m.candidates[:3]]) for m in mappings if m.status == "review"]
@@ -185,16 +224,26 @@ def gap_cases(spark, mappings: list[scoring.Mapping], schema: TargetSchema) -> D
 
 
 def replay(records: DataFrame, lookups: DataFrame, schema: TargetSchema, decisions: list[dict], votes: VoteSource | None = None) -> tuple[RunResult, list[dict]]:
-    """Runs until no decision (case_key, action, value) meets a new case: a run more than there are decisions at most. Returns the last run and the decisions that met none."""
+    """Runs until no decision (case_key, action, value) meets a new case: a run more than there are decisions at most. Returns the last run and the decisions that met none, or were refused: approving where nothing is recommended (these say why)."""
     overrides, left = Overrides(), list(decisions)
     while True:
         result = run(records, lookups, schema, overrides, votes)
         keys = [d["case_key"] for d in left]
         found = {r.case_key: r.asDict() for r in result.cases.where(F.col("case_key").isin(*keys)).collect()} if keys else {}
-        now = [d for d in left if d["case_key"] in found]
-        if not now:
+        met, later = False, []
+        for d in left:
+            if d["case_key"] not in found or d.get("refused"):
+                later.append(d)
+                continue
+            case = found[d["case_key"]]
+            try:
+                value = C.check_decision(case, d["action"], d.get("value"), case["recommended"])
+            except C.RefusedDecision as why:
+                later.append({**d, "refused": str(why)})
+                continue
+            C.apply_decision(overrides, case, d["action"], value)
+            met = True
+        left = later
+        if not met:
             return result, left
-        for d in now:
-            C.apply_decision(overrides, found[d["case_key"]], d["action"], d.get("value"))
-        left = [d for d in left if d["case_key"] not in found]
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators import cleaning, delivery, matching, profiling, recommend, reports, scoring, validation
+from quernstone.operators import cases, cleaning, delivery, matching, profiling, recommend, reports, scoring, validation
 from quernstone.schema import Field, TargetSchema
-from quernstone.sources import words
+from quernstone.sources import files, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,7 +194,11 @@ def labels_and_keys(spark, sf_dir):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def flatten_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"event_id": frame["event_id"], "k": [files.flatten(json.loads(p)).get("k") if p else None for p in frame["props"]]})
+
+    return table(spark, sf_dir, "events").select("event_id", "props").mapInPandas(run, "event_id long, k string")
 
 
 # --- cleanup --------------------------------------------------------------------------------------------------------
@@ -392,13 +399,13 @@ def record_states(spark, sf_dir):
 STATES = ("processing", "ready", "blocked", "delivered", "failed", "excluded")
 
 
-@query("""WITH c AS (SELECT user_id, """ + ", ".join(f"count(*) FILTER (st = '{s}') AS {s}" for s in STATES) + """ FROM (SELECT user_id, (['ready', 'blocked', 'delivered', 'failed', 'excluded', 'delivered'])[1 + (event_id * user_id) % 6] AS st FROM events WHERE event_id % 90 < 2) GROUP BY user_id)
+@query("""WITH c AS (SELECT user_id, """ + ", ".join(f"count(*) FILTER (st = '{s}') AS {s}" for s in STATES) + """ FROM (SELECT user_id, (['ready', 'blocked', 'delivered', 'failed', 'excluded', 'processing'])[1 + (event_id % (1 + user_id % 5) + user_id) % 6] AS st FROM events) GROUP BY user_id)
 SELECT *, CASE WHEN processing > 0 THEN 'processing' WHEN blocked > 0 AND delivered > 0 THEN 'partially_delivered' WHEN blocked > 0 THEN 'awaiting_review' WHEN ready > 0 AND delivered = 0 THEN 'ready_to_send' WHEN ready > 0 OR failed > 0 THEN 'partially_delivered'
   WHEN delivered > 0 AND excluded > 0 THEN 'completed_with_exclusions' WHEN delivered > 0 THEN 'completed' ELSE 'nothing_to_send' END AS status FROM c""")
 def run_status(spark, sf_dir):
-    names = F.array(*map(F.lit, ("ready", "blocked", "delivered", "failed", "excluded", "delivered")))
-    st = F.get(names, (F.col("event_id") * F.col("user_id") % 6).cast("int"))
-    e = table(spark, sf_dir, "events").where("event_id % 90 < 2").select("user_id", st.alias("st"))
+    names = F.array(*map(F.lit, ("ready", "blocked", "delivered", "failed", "excluded", "processing")))
+    st = F.get(names, ((F.col("event_id") % (1 + F.col("user_id") % 5) + F.col("user_id")) % 6).cast("int"))
+    e = table(spark, sf_dir, "events").select("user_id", st.alias("st"))
     return validation.run_status(e.groupBy("user_id").agg(*(F.count_if(F.col("st") == s).alias(s) for s in STATES)))
 
 
@@ -507,15 +514,7 @@ def date_cross_check(spark, sf_dir):
     formats = ["%d/%m/%Y", "%m/%d/%Y"]
     other = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entity"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("known"))
     waiting = _dated(spark, sf_dir).select(F.col("o_orderkey").alias("entity"), F.col("dated").alias("value"))
-    return cross_check(waiting, other, formats)
-
-
-def cross_check(waiting: DataFrame, known: DataFrame, formats: list[str]) -> DataFrame:
-    """format, rows, agree over waiting (entity, value) whose readings differ, against known (entity, known as ISO text)."""
-    readings = F.array(*(F.struct(F.lit(f).alias("format"), X.render_date(X.read_date(F.col("value"), f)).alias("reading")) for f in formats))
-    torn = waiting.withColumn("r", readings).where(F.size(F.array_distinct(F.filter(F.col("r.reading"), lambda x: x.isNotNull()))) > 1)
-    both = torn.join(known, "entity").select(F.explode("r").alias("r"), "known")
-    return both.groupBy(F.col("r.format").alias("format")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("r.reading") == F.col("known")).alias("agree"))
+    return matching.cross_check(waiting, other, formats)
 
 
 # --- delivery -------------------------------------------------------------------------------------------------------
@@ -555,9 +554,9 @@ def latest_accepted(spark, sf_dir):
     return delivery.latest_accepted(_log(spark, sf_dir))
 
 
-@query(f"WITH {HELD_SQL} SELECT 'u' || c_custkey AS key, c_name FROM customer WHERE c_custkey < 500 AND 'u' || c_custkey NOT IN (SELECT key FROM held)")
+@query(f"WITH {HELD_SQL} SELECT 'u' || c_custkey AS key, c_name FROM customer WHERE 'u' || c_custkey NOT IN (SELECT key FROM held)")
 def ready_minus_accepted(spark, sf_dir):
-    ready = table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"), "c_name")
+    ready = table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"), "c_name")
     return delivery.to_send(ready, _log(spark, sf_dir))
 
 
@@ -577,10 +576,10 @@ def rollback_rows(spark, sf_dir):
     return delivery.roll_back(_log(spark, sf_dir), F.lit("2025-01-01"))
 
 
-@query("""WITH i AS (SELECT event_id AS seq, 'r|u' || user_id || '|gen1' AS idempotency_key, event_type AS kind, event_id % 3 AS version FROM events WHERE user_id < 60), j AS (SELECT *, first_value(kind) OVER w AS f, row_number() OVER w AS n FROM i WINDOW w AS (PARTITION BY idempotency_key ORDER BY seq))
+@query("""WITH i AS (SELECT event_id AS seq, 'r|u' || user_id || '|gen1' AS idempotency_key, event_type AS kind, event_id % 3 AS version FROM events), j AS (SELECT *, first_value(kind) OVER w AS f, row_number() OVER w AS n FROM i WINDOW w AS (PARTITION BY idempotency_key ORDER BY seq))
 SELECT seq, idempotency_key, CASE WHEN n > 1 AND f = kind THEN 'duplicate' WHEN n > 1 THEN 'conflict' WHEN version = 2 THEN 'unknown_schema' WHEN kind = 'error' THEN 'rejected' ELSE 'accepted' END AS outcome FROM j""")
 def idempotent_accept(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 60")
+    e = table(spark, sf_dir, "events")
     payload = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("name"), F.when(F.col("event_type") != "error", "x"))
     incoming = e.select(F.col("event_id").alias("seq"), delivery.idempotency_key(F.lit("r"), F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit(1)).alias("idempotency_key"), payload.alias("payload"), (F.col("event_id") % 3).alias("version"))
     stored = spark.createDataFrame([], "idempotency_key string, hash string")
@@ -603,11 +602,16 @@ def audit_latest(spark, sf_dir):
 
 
 def set_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's folder; a local one is set only where there is none."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    """Checkpoints go to the folder that the cluster names; a local one is set only where there is none and Spark runs on one machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return
+    if named := spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir"):
+        context.setCheckpointDir(named)
+    elif context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 # --- reports --------------------------------------------------------------------------------------------------------
@@ -682,11 +686,11 @@ def proposed_schema(spark, sf_dir):
     return spark.createDataFrame([(f.name, f.type, f.required, f.unique, f.pattern, f.reference) for f in proposed.fields], "name string, type string, required boolean, is_unique boolean, pattern string, reference string")
 
 
-@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS y0, 10 AS h FROM lineitem WHERE l_orderkey < 3000)
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey % 1000 AS y0, 10 AS h FROM lineitem)
 SELECT l_orderkey AS page, l_linenumber AS word, CAST(sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY y0, l_linenumber ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line
 FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY l_orderkey ORDER BY y0, l_linenumber) > 7 THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM w ORDER BY l_orderkey, l_linenumber, y0))""")
 def word_lines(spark, sf_dir):
     """Lines of positioned words, as a scanned page gives them; a page is an order here."""
-    w = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_partkey") % 1000).cast("double").alias("y0"))
+    w = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_partkey") % 1000).cast("double").alias("y0"))
     placed = w.select(F.lit("scan").alias("file"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("text"), F.col("l_linenumber").cast("double").alias("x0"), "y0", (F.col("l_linenumber") + 1.0).alias("x1"), (F.col("y0") + 10).alias("y1"), F.lit(1.0).alias("confidence"))
     return words.lines(placed).select("page", F.col("text").alias("word"), "line")

@@ -27,7 +27,7 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 WRAPPERS = ("records", "data", "items", "rows", "results", "employees", "entities")
 SIDECAR = ".ocr.json"
-SUPPORTED = ("csv", "xlsx", "json", "yaml", "pdf")
+SUPPORTED = ("csv", "xlsx", "json", "yaml")
 
 RECORDS = "record_id string, file string, sheet string, row int, path string, cells map<string,string>, col_order array<string>"
 
@@ -196,9 +196,10 @@ def find_records(doc: Any) -> tuple[str, list[dict]]:
         return "$", [d for d in doc if isinstance(d, dict)]
     if not isinstance(doc, dict):
         raise UnsupportedInput("the document holds a single value, no records")
-    keys = [k for k in WRAPPERS if isinstance(doc.get(k), list)] + [k for k, v in doc.items() if isinstance(v, list) and any(isinstance(x, dict) for x in v)]
-    for key in keys:
-        return f"$.{key}", [d for d in doc[key] if isinstance(d, dict)]
+    held = {key: [x for x in value if isinstance(x, dict)] for key, value in doc.items() if isinstance(value, list)}
+    for key in (*WRAPPERS, *held):
+        if held.get(key):  # a list of scalars wraps no records
+            return f"$.{key}", held[key]
     return "$", [doc]
 
 
@@ -296,8 +297,25 @@ def lookup_name(file: str) -> str:
     return re.sub(r"\.[^.]*$", "", file).rstrip("s")
 
 
-def load_lookups(records: DataFrame) -> DataFrame:
-    """name, code of files that are lookups: they have a column code and four columns at most. A name is the file's stem without any s at its end."""
-    some = records.where((F.size("col_order") <= 4) & F.array_contains("col_order", "code"))
+def _lookups(records: DataFrame) -> DataFrame:
+    """Records of lookups, with name: the file's stem without any s at its end."""
     name = F.regexp_replace(F.regexp_replace("file", r"\.[^.]*$", ""), "s+$", "")
-    return some.select(name.alias("name"), F.element_at("cells", F.lit("code")).alias("code")).where("code is not null").distinct()
+    return records.where((F.size("col_order") <= 4) & F.array_contains("col_order", "code")).withColumn("name", name)
+
+
+def load_lookups(records: DataFrame) -> DataFrame:
+    """name, code of files that are lookups: they have a column code and four columns at most."""
+    return _lookups(records).select("name", F.element_at("cells", F.lit("code")).alias("code")).where("code is not null").distinct()
+
+
+def lookup_columns(records: DataFrame) -> DataFrame:
+    """name, code, column, value: what lookups say of their codes besides."""
+    pairs = _lookups(records).select("name", F.element_at("cells", F.lit("code")).alias("code"), F.explode("cells").alias("column", "value"))
+    return pairs.where("column <> 'code' and code is not null and value is not null").distinct()
+
+
+def split_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of sources, and load_lookups() of the rest: a lookup is checked against, never mapped."""
+    lookups = load_lookups(records)
+    names = _lookups(records).select("file").distinct()
+    return records.join(F.broadcast(names), "file", "left_anti").select(*records.columns), lookups  # a row for each file

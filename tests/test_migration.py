@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quernstone.operators import cleaning, scoring
 from quernstone.operators.cases import Overrides, apply_decision
 from quernstone.plans import migrate
-from quernstone.plans.queries import cross_check, set_checkpoints
+from quernstone.operators.matching import cross_check
+from quernstone.plans.queries import set_checkpoints
 from quernstone.schema import Field, SchemaError, TargetSchema, read_schema
 from quernstone.sources import files
 
@@ -139,3 +140,67 @@ def test_decisions():
     o = apply_decision(Overrides(), {"class": "UNCERTAIN_IDENTITY", "record_key": "b", "headline": "a"}, "set", "merge")
     assert o.identity == {("a", "b"): True}
     assert apply_decision(o, {"class": "MISSING_REQUIRED", "record_key": "r", "field": "f", "headline": ""}, "reject").excluded == {"r"}
+
+
+PAIR = {"entity": "employee", "blocking": [["employee_id"]], "fields": {"employee_id": {"required": True, "unique": True, "case_sensitive": True}, "city": {}, "joined": {"type": "date"}}}
+
+
+@pytest.fixture(scope="module")
+def two_files(spark, tmp_path_factory):
+    """Two exports of the same people: cities differ for some; one writes dates by day first, which only the other shows."""
+    set_checkpoints(spark)
+    d = tmp_path_factory.mktemp("two")
+    (d / "hr.csv").write_text("Employee ID,City,Joined\n" + "".join(f"E{i:03d},{'Bonn' if i < 3 else 'Ulm'},2020-{i % 9 + 1:02d}-{i % 12 + 1:02d}\n" for i in range(1, 13)))
+    (d / "payroll.csv").write_text("Employee ID,City,Joined\n" + "".join(f"E{i:03d},{'Kiel' if i < 3 else 'Ulm'},{i % 12 + 1:02d}/{i % 9 + 1:02d}/2020\n" for i in range(1, 13)))
+    return files.read_records(spark, [str(d)]).cache()
+
+
+def _state(result, key):
+    return next((r.city, r.state) for r in result.entities.collect() if r.employee_id == key)
+
+
+def test_answers_about_two_files(spark, two_files):
+    schema, none = read_schema(PAIR), files.load_lookups(two_files)
+    run = migrate.run(two_files, none, schema)
+    cases = {(c["class"], c.field, c.record_key): c.asDict() for c in run.cases.collect()}
+    dates = next(c for (kind, field, _), c in cases.items() if kind == "AMBIGUOUS_VALUE" and field == "joined")
+    assert (dates["file"], dates["recommended"]) == ("payroll.csv", "%d/%m/%Y")
+    torn = {c["record_key"]: c for (kind, field, _), c in cases.items() if kind == "CONFLICTING_FACTS" and field == "city"}
+    assert len(torn) == 2 and all("Bonn" not in c["case_key"] for c in torn.values()) and _state(run, "E001")[1] == "blocked"
+    approve = {"case_key": dates["case_key"], "action": "approve"}
+    one = next(c for c in torn.values() if c["record_key"].endswith("1"))
+    # the survivor's own value is an answer too
+    settled, left = migrate.replay(two_files, none, schema, [approve, {"case_key": one["case_key"], "action": "set", "value": "Bonn"}])
+    assert not left and _state(settled, "E001") == ("Bonn", "ready") and _state(settled, "E002")[1] == "blocked" and _state(settled, "E005") == ("Ulm", "ready")
+    settled, left = migrate.replay(two_files, none, schema, [approve, {"case_key": one["case_key"], "action": "prefer_file", "value": "payroll.csv"}])
+    assert not left and _state(settled, "E001") == ("Kiel", "ready") and _state(settled, "E002") == ("Kiel", "ready")
+    _, left = migrate.replay(two_files, none, schema, [{"case_key": one["case_key"], "action": "approve"}])
+    assert len(left) == 1 and "nothing is recommended" in left[0]["refused"]
+
+
+def test_identity_answers_about_roots(spark):
+    from quernstone.operators import matching
+
+    set_checkpoints(spark)
+    pairs = spark.createDataFrame([("a", "b", 0.95, "auto_merge", "id"), ("b", "c", 0.8, "review", "id")], "left_id string, right_id string, score double, decision string, blocks string")
+    case = next(r for r in matching.reconcile(pairs).collect() if r.case_with)
+    assert (case.record_id, case.case_with) == ("a", "c")
+    human = lambda m: spark.createDataFrame([("a", "c", m)], "left_id string, right_id string, merge boolean")
+    assert {(r.record_id, r.survivor, r.case_with) for r in matching.reconcile(pairs, human(True)).collect()} == {(x, "a", None) for x in "abc"}
+    assert {(r.record_id, r.survivor, r.case_with) for r in matching.reconcile(pairs, human(False)).collect()} == {("a", "a", None), ("b", "a", None), ("c", "c", None)}
+
+
+def test_schema_errors():
+    base = {"type": "object", "properties": {"x": {"type": "string"}}}
+    for bad in ({"$ref": "#/$defs/none"}, {"anyOf": [{"type": "string"}, {"type": "integer"}]}, {"type": ["string", "integer"]}):
+        with pytest.raises(SchemaError):
+            read_schema({**base, "properties": {"x": bad}})
+    s = read_schema({"type": "object", "properties": {"id": {"type": "string", "unique": True, "aliases": ["key"], "reference": "record.id", "case_sensitive": True}, "home": {"type": "object", "required": ["city"], "properties": {"city": {"type": "string"}}}}})
+    assert (s["id"].unique, s["id"].aliases, s["id"].reference, s["id"].case_sensitive, s["home_city"].required) == (True, ["key"], "record.id", True, False)
+
+
+def test_wrappers_and_lookups(spark, folder):
+    assert files.find_records({"items": [1, 2], "people": [{"a": 1}, {"a": 2}]}) == ("$.people", [{"a": 1}, {"a": 2}])
+    sources, lookups = files.split_records(files.read_records(spark, [str(folder)]))
+    assert {r.file for r in sources.collect()} == {"staff.csv", "more.json"} and {r.code for r in lookups.collect()} == {"ENG", "OPS"}
+    assert {(r.code, r.column, r.value) for r in files.lookup_columns(files.read_records(spark, [str(folder)])).collect()} == {("ENG", "name", "Engineering"), ("OPS", "name", "Operations")}
