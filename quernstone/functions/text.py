@@ -96,6 +96,12 @@ def render_date(c: Column, fmt: str = "%Y-%m-%d") -> Column:
     return F.date_format(c, shown)
 
 
+def reading_label(example: Column, fmt: str) -> Column:
+    """What a reading of a date means to people: which part comes first, and the day it gives; a date that doesn't read so names the format."""
+    first = {"%d": "Day first", "%m": "Month first"}.get(fmt[:2], fmt)
+    return F.concat(F.lit(f"{first} — "), example, F.lit(" is "), F.coalesce(render_date(read_date(example, fmt), "d MMMM yyyy"), F.lit(fmt)))
+
+
 def clean_header(c: Column, position: Column) -> Column:
     """The trimmed header, or column_{i+1} where it is blank."""
     return F.coalesce(F.nullif(ws_trim(c), F.lit("")), F.concat(F.lit("column_"), (position + 1).cast("string")))

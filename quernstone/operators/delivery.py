@@ -66,6 +66,23 @@ def to_send(ready: DataFrame, log: DataFrame) -> DataFrame:
     return ready.join(accepted_keys(log), "key", "left_anti")
 
 
+def push(ready: DataFrame, log: DataFrame, runs: DataFrame, asked: bool = False) -> DataFrame:
+    """What a push sends of ready (run_id, key, ...): records that the destination does not hold, of runs (run_id, version: of an approved schema or null, paused).
+
+    A run without an approved schema sends nothing. A paused run, one whose delivery was undone, sends only if it is asked to.
+    """
+    open_runs = runs.where("version is not null") if asked else runs.where("version is not null and not coalesce(paused, false)")
+    return to_send(ready.join(open_runs.select("run_id", "version"), "run_id"), log)
+
+
+def undo(log: DataFrame, at: Column, refused: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tombstones of one undo without those of refused keys (key), which the destination did not take back; and one row of counts: undone, kept, and paused, as the run then waits."""
+    rows = roll_back(log, at)
+    marked = rows.join(refused.select("key").distinct().withColumn("_kept", F.lit(True)), "key", "left")
+    report = marked.agg(F.count_if(F.col("_kept").isNull()).alias("undone"), F.count_if("_kept").alias("kept")).withColumn("paused", F.col("undone") + F.col("kept") > 0)
+    return marked.where("_kept is null").drop("_kept"), report
+
+
 def payload_errors(rules: dict[str, Any]) -> Column:
     """Names of the fields of a payload map that break a destination's rules (schema.destination_rules()): required, allowed, pattern."""
     v = lambda name: F.coalesce(F.col("payload")[name], F.lit(""))
@@ -123,8 +140,8 @@ def rehearse(send: Send, failures: dict[str, tuple[str, int]]) -> Send:
         planned = records.sparkSession.createDataFrame(fails, "key string, _fails string")
         marked = records.join(planned, "key", "left")
         stored = send(marked.where("_fails is null or _fails = 'uncertain'").drop("_fails"), attempt)
-        outcome = F.coalesce(F.col("_fails"), F.col("outcome"))
-        return marked.select("key", "_fails").join(stored, "key", "left").withColumn("outcome", outcome).drop("_fails")
+        said = stored.select("key", F.col("outcome").alias("_said"))  # what fails keeps its payload for the next attempt
+        return marked.join(said, "key", "left").withColumn("outcome", F.coalesce("_fails", "_said")).drop("_fails", "_said")
 
     return run
 
