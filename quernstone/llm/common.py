@@ -153,3 +153,10 @@ def lowest(df: DataFrame, by: Column, n: int) -> DataFrame:
     rest = F.pmod(by, F.lit(span))
     share = 3 * n / max(1, df.count())
     return (df.where(rest < int(share * span)) if share < 1 else df).orderBy(rest, by).limit(n)
+
+
+def sampled_docs(docs: DataFrame, n: int) -> DataFrame:
+    """_h, doc_id and text (null: empty) of the n documents with the lowest hash of both, repeated rows once. Hashes are chosen first, so that only the texts of the sample travel."""
+    hashed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("_h", F.xxhash64("doc_id", "text"))
+    chosen = materialize(lowest(hashed.select("_h"), F.col("_h"), n).distinct(), "sample")
+    return hashed.join(F.broadcast(chosen), "_h", "left_semi").dropDuplicates(["_h"])  # n rows at most

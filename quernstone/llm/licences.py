@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import guarded, lowest, materialize, read_table, text_or_empty
+from quernstone.llm.common import guarded, materialize, read_table, sampled_docs, text_or_empty
 
 UNKNOWN = "unknown"
 
@@ -159,7 +159,7 @@ def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int
     half of that, and is left out in between.
     """
     spark = docs.sparkSession
-    some = lowest(docs.select("doc_id", text_or_empty().alias("text")), F.xxhash64("doc_id", "text"), fit_docs)
+    some = sampled_docs(docs, fit_docs)
     split = some.select(F.explode(paragraphs(F.col("text"))).alias("p")).distinct().withColumn("words", words_of(F.col("p"))).where(F.size("words") > 0)
     sampled = materialize(split.orderBy(F.xxhash64("p"), "p").limit(fit_paragraphs).withColumn("seg", F.monotonically_increasing_id()), "licence-sample")
     near = template_overlap(sampled, spark).groupBy("seg").agg(F.max("overlap").alias("top"), F.max_by("family", F.struct("overlap", "family")).alias("family"))

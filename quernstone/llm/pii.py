@@ -12,17 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import arrow_map, guarded, lowest, read_table, text_or_empty
+from quernstone.llm.common import arrow_map, guarded, read_table, sampled_docs, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: So many documents, those with the lowest hash, fit the model.
-FIT_DOCS = 3000
-# Tokens that are no personal data; each counts as COUNTER_WEIGHT tokens of the sample, so that a corpus without the like does not decide on them.
-COUNTER_TOKENS = (
-    "2023-01-15", "15.01.2023", "20230115", "2023-01-15T10:20:30", "12345678", "1234567", "00123456", "978-3-16-148410-0", "1.234.567", "1,234,567.89", "555-0100-22", "10.1000/182", "v2.10.3.45678",
-    "1500000000", "1699999999999", "3.14159265", "123-45-6789", "A1B2C3D4E5F6G7", "04dbebab91ab85687d33eeaa", "file@2x20230115", "@user1234567", "100000000", "9876543210", "0123456789",
-)
-COUNTER_WEIGHT, PART_WEIGHT = 5, 4
+#: So many documents, those with the lowest hash, fit the model, as long as they have FIT_NODES tokens of the field together at most; texts are never cut.
+FIT_DOCS, FIT_NODES = 3000, 60_000
+#: Steps of the gradient, rounds of messages in each (which go on from those of the step before), and the weight decay.
+STEPS, STEP_ROUNDS, DECAY = 250, 4, 2e-3
 #: Rounds of loopy message passing at most; it stops once no message moves by TOLERANCE.
 ROUNDS, TOLERANCE, DAMPING = 50, 1e-4, 0.5
 
@@ -34,6 +30,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 DIGIT = re.compile(r"[0-9]")
 LOCAL_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+#: Groups of digits, a separator or two apart.
+GROUPS = re.compile(r"\(?[0-9]+\)?(?:[ .-]?\(?[0-9]+\)?)+")
 TRIM = ".,;:!?\"'()[]{}<>|"
 
 
@@ -76,23 +74,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _card_cut(run: str) -> tuple[int, int] | None:
+    """The first and longest part of a run of digit groups, groups kept whole, that is a card number."""
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", run)]
+    for i, (start, _) in enumerate(groups):
+        fits = None
+        digits = ""
+        for a, b in groups[i:]:
+            digits += run[a:b]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 14 and luhn(digits):
+                fits = (start, b)
+        if fits:
+            return fits
+    return None
+
+
 def other_tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with an @ or seven digits that no span touches, without punctuation at their ends."""
-    found = []
-    edges, i = sorted((a, b) for a, _, b in spans), 0
-    for m in TOKEN.finditer(text):
-        raw = m[0]
-        if "@" not in raw and len(DIGIT.findall(raw)) < 7:
-            continue
-        core = raw.strip(TRIM)
-        start = m.start() + len(raw) - len(raw.lstrip(TRIM))
-        end = start + len(core)
-        while i < len(edges) and edges[i][1] <= m.start():
+    """What the field may label besides the spans, which nothing of it touches, in order and apart.
+
+    Tokens with an @ or seven digits, without punctuation at their ends; groups of 7 to 15 digits with separators, or the part of
+    more that is a card number; and tokens that are the name of an address in the same text, if they are no plain word.
+    """
+    found: list[tuple[int, int]] = []
+    if DIGIT.search(text):
+        for m in GROUPS.finditer(text):
+            n = len(DIGIT.findall(m[0]))
+            if n >= 14 and (cut := _card_cut(m[0])):
+                found.append((m.start() + cut[0], m.start() + cut[1]))
+            elif 7 <= n <= 15:
+                found.append(m.span())
+    names = {text[a:b].partition("@")[0].casefold() for a, k, b in spans if k == 0}
+    names = {x for x in names if re.search(r"[0-9._%+-]", x)}
+    if names or "@" in text or DIGIT.search(text):
+        for m in TOKEN.finditer(text):
+            core = m[0].strip(TRIM)
+            if core and ("@" in core or len(DIGIT.findall(core)) >= 7 or core.casefold() in names):
+                start = m.start() + len(m[0]) - len(m[0].lstrip(TRIM))
+                found.append((start, start + len(core)))
+    edges, out, i, last = sorted((a, b) for a, _, b in spans), [], 0, 0
+    reach = [b for _, b in edges]
+    for k in range(1, len(reach)):
+        reach[k] = max(reach[k], reach[k - 1])
+    for start, end in sorted(set(found), key=lambda x: (x[0], -x[1])):
+        while i < len(edges) and edges[i][0] < end:
             i += 1
-        touched = any(a < end and b > start for a, b in edges[i:i + 8]) or any(b > start for a, b in edges[max(0, i - 8):i])
-        if core and not touched:
-            found.append((start, end))
-    return found
+        if start >= last and not (i and reach[i - 1] > start):
+            out.append((start, end))
+            last = end
+    return out
 
 
 FEATURES = 20
@@ -116,87 +147,161 @@ def alike(token: str) -> list[str]:
     if "@" in token:
         return ["@" + token.casefold().partition("@")[0].lstrip(".")] if token.partition("@")[0] else []
     d = only_digits(token)
-    return [f"={d}", *([f"~{d[-7:]}"] if 7 <= len(d) <= 15 else [])] if len(d) >= 7 else []
+    if len(d) >= 7 and not any(c.isalpha() for c in token):
+        return [f"={d}", *([f"~{d[-7:]}"] if 7 <= len(d) <= 15 else [])]
+    return ["@" + token.casefold()] + ([f"={d}"] if len(d) >= 7 else [])
+
+
+LABELS = len(KINDS) + 1
+
+
+def links(keys: list[list[str]]) -> list[tuple[int, int, int]]:
+    """Each token with the next one that shares a key, and what they share: 0 for equal digits or names, 1 for the last digits. A token that occurs n times takes n - 1 links."""
+    last: dict[str, int] = {}
+    found: dict[tuple[int, int], int] = {}
+    for j, own in enumerate(keys):
+        for k in own:
+            if k in last:
+                pair = last[k], j
+                found[pair] = min(found.get(pair, 1), int(k[0] == "~"))
+            last[k] = j
+    return sorted((i, j, kind) for (i, j), kind in found.items())
+
+
+class Graph:
+    """Tokens of texts with the edges between neighbours (kind 2) and along links (0, 1), and the messages on them."""
+
+    def __init__(self, docs: list[tuple[int, list[list[str]]]]) -> None:
+        """docs: number of tokens, their keys."""
+        edges, at = [], 0
+        for n, keys in docs:
+            edges += [(at + i, at + i + 1, 2) for i in range(n - 1)] + [(at + i, at + j, kind) for i, j, kind in links(keys)]
+            at += n
+        self.n, one = at, np.array(edges, dtype=int).reshape(-1, 3)
+        self.src, self.dst, self.kind = np.r_[one[:, 0], one[:, 1]], np.r_[one[:, 1], one[:, 0]], np.r_[one[:, 2], one[:, 2]]
+        self.half = len(one)
+        self.back = np.r_[self.half:2 * self.half, :self.half]
+        self.sent = np.zeros((2 * self.half, LABELS))
+
+    def tables(self, chain: np.ndarray, agree: np.ndarray) -> np.ndarray:
+        every = np.array([np.eye(LABELS) * agree[0], np.eye(LABELS) * agree[1], chain])
+        out = every[self.kind]
+        out[self.half:] = out[self.half:].transpose(0, 2, 1)
+        return out
+
+    def beliefs(self, local: np.ndarray, tables: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+        """Log beliefs of the tokens after so many rounds of sum-product messages, or once none moves by TOLERANCE; exact on trees."""
+        for _ in range(rounds if self.half else 0):
+            belief = self._gather(local)
+            inner = (belief[self.src] - self.sent[self.back])[:, :, None] + tables
+            top = inner.max(1)
+            new = top + np.log(np.exp(inner - top[:, None, :]).sum(1))
+            new -= new.max(1, keepdims=True)
+            moved = np.abs(new - self.sent).max()
+            self.sent = DAMPING * self.sent + (1 - DAMPING) * new
+            if moved < TOLERANCE:
+                break
+        return self._gather(local)
+
+    def _gather(self, local: np.ndarray) -> np.ndarray:
+        belief = local.copy()
+        np.add.at(belief, self.dst, self.sent)
+        return belief
+
+    def pairs(self, belief: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Beliefs of the two ends of each edge together."""
+        h = self.half
+        z = (belief[self.src[:h]] - self.sent[h:])[:, :, None] + tables[:h] + (belief[self.dst[:h]] - self.sent[:h])[:, None, :]
+        p = np.exp(z - z.max((1, 2), keepdims=True)) if h else np.zeros((0, LABELS, LABELS))
+        return p / p.sum((1, 2), keepdims=True) if h else p
+
+
+def _shares(belief: np.ndarray) -> np.ndarray:
+    p = np.exp(belief - belief.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 class SkipChain:
-    """Weights of token shapes, of neighbouring labels and of agreeing labels of similar tokens. Label 0 is none, k + 1 is KINDS[k]."""
+    """Weights of token shapes, of neighbouring labels, and of agreeing labels of equal and of similar tokens. Label 0 is none, k + 1 is KINDS[k]."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, agree: float) -> None:
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, agree: np.ndarray) -> None:
         self.unary, self.chain, self.agree = unary, chain, agree
 
     @classmethod
     def fit(cls, docs: list[tuple[list[list[float]], list[int], list[list[str]]]]) -> SkipChain:
-        """Piecewise maximum likelihood: shapes by multinomial logistic regression, neighbours and similar pairs by smoothed log odds."""
-        labels = len(KINDS) + 1
-        rows = [(x, y) for xs, ys, _ in docs for x, y in zip(xs, ys)]
-        if not any(y for _, y in rows):
-            return cls(np.zeros((FEATURES, labels)), np.zeros((labels, labels)), 0.0)
-        part = shape("555-0100").tolist()  # a phone number's last digits: a shape that only a whole number elsewhere decides
-        rows += [(shape(t).tolist(), 0) for t in COUNTER_TOKENS] + [(part, KINDS.index("phone") + 1)]
-        x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        weight = np.r_[np.ones(len(rows) - len(COUNTER_TOKENS) - 1), np.full(len(COUNTER_TOKENS), COUNTER_WEIGHT), PART_WEIGHT]
-        weight /= weight.sum()
-        w, goal = np.zeros((FEATURES, labels)), np.eye(labels)[y]
-        velocity = np.zeros_like(w)
-        for _ in range(800):
-            z = x @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            velocity = 0.9 * velocity - 0.5 * (x.T @ ((p - goal) * weight[:, None]) + 1e-4 * w)
-            w = w + velocity
-        pairs, same = np.ones((labels, labels)), [1.0, 1.0]
-        for _, ys, keys in docs:
-            for a, b in zip(ys, ys[1:]):
-                pairs[a, b] += 1
-            for i, j in similar_pairs(keys):
-                same[ys[i] == ys[j]] += 1
-        joint, ones = pairs / pairs.sum(), pairs.sum(1) / pairs.sum()
-        chain = np.clip(np.log(joint / np.outer(ones, pairs.sum(0) / pairs.sum())), -1, 1)
-        return cls(w, chain, float(np.log(same[1] / same[0])) if same[1] > same[0] else 0.0)
+        """All weights together by the gradient of the likelihood: beliefs with the known labels held, less beliefs without. Labels of -1 are not known.
+
+        docs: shapes, labels, keys; see training_graphs(). Without any personal data all weights are 0.
+        """
+        unary, chain, agree = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(2)
+        if not any(y > 0 for _, ys, _ in docs for y in ys):
+            return cls(unary, chain, agree)
+        x = np.array([row for xs, _, _ in docs for row in xs], dtype=float)
+        y = np.array([v for _, ys, _ in docs for v in ys])
+        free, held = (Graph([(len(xs), keys) for xs, _, keys in docs]) for _ in range(2))
+        clamp = np.where((y[:, None] < 0) | (np.arange(LABELS) == y[:, None]), 0.0, -50.0)
+        size = float(len(x))
+        m1, m2 = np.zeros(FEATURES * LABELS + LABELS**2 + 2), np.zeros(FEATURES * LABELS + LABELS**2 + 2)
+        for step in range(1, STEPS + 1):
+            tables, local = free.tables(chain, agree), x @ unary
+            got = []
+            for graph, own in ((held, local + clamp), (free, local)):
+                belief = graph.beliefs(own, tables, STEP_ROUNDS)
+                both = graph.pairs(belief, tables)
+                kind = graph.kind[:graph.half]
+                same = np.einsum("eaa->e", both)
+                got.append(np.r_[(x.T @ _shares(belief)).ravel(), both[kind == 2].sum(0).ravel(), same[kind == 0].sum(), same[kind == 1].sum()])
+            g = (got[0] - got[1]) / size - DECAY * np.r_[unary.ravel(), chain.ravel(), agree]
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+            move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+            unary = unary + move[:FEATURES * LABELS].reshape(FEATURES, LABELS)
+            chain = chain + move[FEATURES * LABELS:-2].reshape(LABELS, LABELS)
+            agree = np.maximum(0.0, agree + move[-2:])  # alike tokens never repel each other
+        return cls(unary, chain, agree)
 
     def label(self, shapes: list[np.ndarray], fixed: list[int], keys: list[list[str]]) -> list[int]:
         """The likeliest label of each token by loopy belief propagation; fixed is a label that stays, or -1."""
-        labels = len(KINDS) + 1
         local = np.array([x @ self.unary for x in shapes])
-        for i, k in enumerate(fixed):
-            if k >= 0:
-                local[i] = np.where(np.arange(labels) == k, 0.0, -50.0)
-        skip = np.eye(labels) * self.agree
-        edges = [(i, i + 1, self.chain) for i in range(len(shapes) - 1)] + [(i, j, skip) for i, j in similar_pairs(keys)]
-        if not edges:
-            return local.argmax(1).tolist()
-        src = np.array([e[0] for e in edges] + [e[1] for e in edges])
-        dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
-        table = np.array([e[2] for e in edges] + [e[2].T for e in edges])
-        back = np.r_[len(edges):2 * len(edges), 0:len(edges)]
-        sent = np.zeros((len(src), labels))
-        for _ in range(ROUNDS):
-            belief = local.copy()
-            np.add.at(belief, dst, sent)
-            inner = (belief[src] - sent[back])[:, :, None] + table
-            top = inner.max(1)
-            new = top + np.log(np.exp(inner - top[:, None, :]).sum(1))
-            new -= new.max(1, keepdims=True)
-            moved = np.abs(new - sent).max()
-            sent = DAMPING * sent + (1 - DAMPING) * new
-            if moved < TOLERANCE:
-                break
-        belief = local.copy()
-        np.add.at(belief, dst, sent)
-        return belief.argmax(1).tolist()
+        known = np.array(fixed)[:, None]
+        graph = Graph([(len(shapes), keys)])
+        return graph.beliefs(local + np.where((known < 0) | (np.arange(LABELS) == known), 0.0, -50.0), graph.tables(self.chain, self.agree)).argmax(1).tolist()
 
 
-def similar_pairs(keys: list[list[str]]) -> list[tuple[int, int]]:
-    """Each token with the next one that shares a key; so a token that occurs n times takes n - 1 links."""
-    last: dict[str, int] = {}
-    pairs = set()
-    for j, own in enumerate(keys):
-        for k in own:
-            if k in last:
-                pairs.add((last[k], j))
-            last[k] = j
-    return sorted(pairs)
+def partial(kind: int, token: str) -> str | None:
+    """A form of a span that no pattern matches and only its whole form elsewhere in the text explains."""
+    d = only_digits(token)
+    if kind == 0:
+        return token.partition("@")[0]
+    if kind == 2:
+        return ".".join(d[i:i + 4] for i in range(0, len(d), 4))
+    return f"{d[-7:-4]}-{d[-4:]}" if kind == 3 else None
+
+
+def near_miss(kind: int, token: str) -> str:
+    """What looks like a span and is none."""
+    d = only_digits(token)
+    return (token.partition(".")[0] if "@" in token.partition(".")[0] else token.partition("@")[0] + "@host", ".".join(["999", *token.split(".")[1:]]), d[:-1] + str((int(d[-1]) + 1) % 10) if d else token, d)[kind]
+
+
+def training_graphs(text: str) -> list[tuple[list[list[float]], list[int], list[list[str]]]]:
+    """Shapes, labels and keys of a text's tokens for the fit, and of single tokens.
+
+    Spans have the label of their pattern; of the other tokens those that share a key with a span are left open, the rest is none.
+    Every span is mentioned once more in a partial form, which has its label by its link alone: the same form by itself, like a
+    near miss of the span, is none.
+    """
+    nodes = _nodes(text)[1]
+    rows = [(text[a:b], k, alike(text[a:b])) for a, b, k in nodes]
+    known = {key for _, k, keys in rows if k > 0 for key in keys}
+    whole = [(shape(t).tolist(), k if k > 0 else 0 if known.isdisjoint(keys) else -1, keys) for t, k, keys in rows]
+    graphs = []
+    for t, k, keys in rows:
+        if k > 0:
+            if part := partial(k - 1, t):
+                whole.append((shape(part).tolist(), k, keys[-1:]))
+                graphs.append([(shape(part).tolist(), 0, [])])
+            graphs.append([(shape(near_miss(k - 1, t)).tolist(), 0, [])])
+    return [tuple(map(list, zip(*g))) for g in ([whole] if whole else []) + graphs]
 
 
 def _nodes(text: str) -> tuple[list, list]:
@@ -220,20 +325,26 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS) -> SkipChain:
-    """Fits on the tokens of the fit_docs documents with the lowest hash, as the patterns label them."""
-    some = lowest(docs.select("doc_id", "text"), F.xxhash64("doc_id", "text"), fit_docs)
+def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_nodes: int = FIT_NODES) -> SkipChain:
+    """Fits on the tokens of the fit_docs documents with the lowest hash, as the patterns label them; the driver stops before a document with which it would have more than fit_nodes tokens, the first apart."""
+    some = sampled_docs(docs, fit_docs)
 
-    def tokens(batch: pa.RecordBatch) -> dict:
+    def graphs(batch: pa.RecordBatch) -> dict:
         out = []
         for text in batch.column("text").to_pylist():
-            nodes = _nodes(text or "")[1]
-            out.append([{"x": shape(text[a:b]).tolist(), "y": max(k, 0), "k": alike(text[a:b])} for a, b, k in nodes])
-        return {"nodes": pa.array(out, pa.list_(pa.struct([("x", pa.list_(pa.float64())), ("y", pa.int32()), ("k", pa.list_(pa.string()))])))}
-
-    kind = T.ArrayType(T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType()), T.StructField("k", T.ArrayType(T.StringType()))]))
-    rows = arrow_map(some, [T.StructField("nodes", kind)], tokens, drop=("text",)).where(F.size("nodes") > 0).orderBy("doc_id").collect()
-    return SkipChain.fit([([n.x for n in r.nodes], [n.y for n in r.nodes], [n.k for n in r.nodes]) for r in rows])
+            out.append([{"x": xs, "y": ys, "k": ks} for xs, ys, ks in training_graphs(text)])
+        kind = pa.struct([("x", pa.list_(pa.list_(pa.float64()))), ("y", pa.list_(pa.int32())), ("k", pa.list_(pa.list_(pa.string())))])
+        return {"graphs": pa.array(out, pa.list_(kind))}
+
+    nested = lambda t: T.ArrayType(T.ArrayType(t))
+    kind = T.ArrayType(T.StructType([T.StructField("x", nested(T.DoubleType())), T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("k", nested(T.StringType()))]))
+    taken, nodes = [], 0
+    for r in arrow_map(some, [T.StructField("graphs", kind)], graphs, drop=("text",)).where(F.size("graphs") > 0).orderBy("_h").toLocalIterator():
+        nodes += sum(len(g.y) for g in r.graphs)
+        if taken and nodes > fit_nodes:
+            break
+        taken += [(g.x, g.y, g.k) for g in r.graphs]
+    return SkipChain.fit(taken)
 
 
 @guarded

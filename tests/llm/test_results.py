@@ -248,17 +248,45 @@ def test_base_spans_equal_plain_search():
         assert pii.base_spans(text) == want, text
 
 
+def test_beliefs_by_enumeration():
+    """A tree is exact, a circle close."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for keys, within in (([["=1"], [], ["=2"]], 1e-4), ([["=1"], [], ["=1"]], 0.05)):
+        graph, local, chain, agree = pii.Graph([(3, keys)]), rng.normal(size=(3, pii.LABELS)), rng.normal(size=(pii.LABELS, pii.LABELS)) / 2, np.array([0.7, 0.3])
+        tables = graph.tables(chain, agree)
+        got = pii._shares(graph.beliefs(local, tables, 200))
+        p = np.zeros((3, pii.LABELS))
+        for y in itertools.product(range(pii.LABELS), repeat=3):
+            linked = agree[0] * (y[0] == y[2]) if keys[0] == keys[2] else 0.0
+            p[range(3), list(y)] += math.exp(sum(local[i, y[i]] for i in range(3)) + chain[y[0], y[1]] + chain[y[1], y[2]] + linked)
+        assert np.abs(got - p / p.sum(1, keepdims=True)).max() < within
+
+
 def test_skip_chain_labels_repeats():
-    docs = []
-    for i in range(60):
-        phone, card, other = f"+1 (0{i % 10}7) 555-{1000 + i}", "4111111111111111", f"{10 ** 20 + i}"
-        made = [(phone, 4), (card, 3), (other, 0), (phone, 4)]
-        docs.append(([pii.shape(x).tolist() for x, _ in made], [y for _, y in made], [pii.alike(x) for x, _ in made]))
-    model = pii.SkipChain.fit(docs)
-    text = "call +1 (017) 555-1007 now; order 2023-01-15 12345678; later 555-1007 again"
+    graphs = []
+    for i in range(120):
+        graphs += pii.training_graphs(f"call +1 (0{i % 10}7) 555-{1000 + i} or write user.{i}@mail{i}.example; card 4111111111111111; order {10 ** 20 + i}, on 2023-01-{i % 28 + 1:02d}, number {4000000 + i}")
+    model = pii.SkipChain.fit(graphs)
+    text = "call +1 (017) 555-1007 now; order 2023-01-15 12345678; later 555-1007 again, or 017 555 1007; ask jo.smith7, jo.smith7@x.example"
     _, spans = pii.find_spans(text, model)
-    assert [text[a:b] for a, k, b in spans] == ["+1 (017) 555-1007", "555-1007"] and [k for _, k, _ in spans] == [3, 3]
-    assert pii.find_spans("nothing here 2023-01-15 and 12345678", model)[1] == []
+    assert [(text[a:b], k) for a, k, b in spans] == [("+1 (017) 555-1007", 3), ("555-1007", 3), ("017 555 1007", 3), ("jo.smith7", 0), ("jo.smith7@x.example", 0)]
+    for clean in ("nothing here 2023-01-15 and 12345678", "555-1007 alone", "jo.smith7 alone", "from 10.00 to 11.30, 1000 2000 3000 items", "1,234,567.89 and 978-3-16-148410-0"):
+        assert pii.find_spans(clean, model)[1] == [], clean
+    cut = "4111 1111 1111 1111 2024"
+    assert [cut[a:b] for a, b in pii.other_tokens(cut, pii.base_spans(cut))] == ["4111 1111 1111 1111"]
+
+
+def test_pii_query(spark, texts):
+    import hashlib
+
+    for r in rows(spark, "op4_pii"):
+        base = pii.base_spans(texts[r.doc_id] or "")
+        assert [r[f"n_{x}"] for x in pii.KINDS] == [sum(k == i for _, k, _ in base) for i in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        own = [x for x in r.spans.split(",") if x]
+        assert set(pii.joined(base).split(",")) - {""} <= set(own) and len(own) == len(base) + r.n_added
 
 
 def test_licences_in_legal_prose(spark):
