@@ -6,12 +6,13 @@ from collections.abc import Iterable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A gap of more than this share of a page's median word height starts a line; a page with so many characters needs no recognition.
 LINE_GAP, NATIVE_CHARS = 0.7, 60
 CONFIDENT = 0.80
+WORD = "struct<text:string,x0:double,y0:double,x1:double,y1:double,confidence:double>"
 
 
 class OcrEngine(Protocol):
@@ -20,6 +21,16 @@ class OcrEngine(Protocol):
     def recognize(self, png: bytes, page: int) -> Iterable[tuple[str, float, float, float, float, float]]: ...
 
 
+def read_recorded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """words (file, page, text, x0, y0, x1, y1, confidence) of recorded recognitions: JSON files, each a list of pages {page, words: [{text, x0, y0, x1, y1, confidence}]}.
+
+    A missing confidence counts as certain; words without text or place are left out. A file is a document, so it fits a task.
+    """
+    pages = spark.read.schema(f"page int, words array<{WORD}>").option("multiLine", True).json(paths).withColumn("file", F.col("_metadata.file_name"))
+    each = pages.select("file", "page", F.inline("words"))
+    return each.fillna(1.0, ["confidence"]).where((F.trim("text") != "") & F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull())
+
+
 def lines(words: DataFrame) -> DataFrame:
     """words (file, page, text, x0, y0, x1, y1, confidence) with line, numbered down each page. A page is one group: it holds a page's words."""
     page = Window.partitionBy("file", "page")
@@ -64,6 +75,33 @@ def grid(split: DataFrame) -> DataFrame:
     return near
 
 
+def table_rows(placed: DataFrame) -> DataFrame:
+    """file, page, line, column, name, text, confidence: cells of grid() as a document's table, named by its header.
+
+    Lines of one filled cell are titles or notes. The width that most of the others have (the wider on ties) is the table's;
+    its first line is the header, and later lines with at least half as many cells, two at least, are rows. Cells outside the header's
+    columns, and repeats of the header on later pages, are no data.
+    """
+    filled = placed.where(F.trim("text") != "")
+    widths = filled.groupBy("file", "page", "line").agg(F.count_distinct("column").alias("_w")).where("_w > 1")
+    modal = widths.groupBy("file", "_w").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(F.max_by("_w", F.struct("n", "_w")).alias("_width"))
+    sized = widths.join(modal, "file")
+    at = F.struct("page", "line")
+    head = sized.where("_w = _width").groupBy("file").agg(F.min(at).alias("_head"))
+    body = sized.join(head, "file").where((at > F.col("_head")) & (F.col("_w") >= F.greatest(F.lit(2), F.floor(F.col("_width") / 2)))).select("file", "page", "line")
+    names = filled.join(head, "file").where(at == F.col("_head")).groupBy("file", "column").agg(F.first(F.trim("text")).alias("name"))
+    cells_ = filled.join(body, ["file", "page", "line"]).join(names, ["file", "column"])
+    again = cells_.groupBy("file", "page", "line").agg(F.bool_and(F.trim("text") == F.col("name")).alias("_again")).where("_again").select("file", "page", "line")
+    return cells_.join(again, ["file", "page", "line"], "left_anti").select("file", "page", "line", "column", "name", F.trim("text").alias("text"), "confidence")
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """file, page, line, values (name to text) and confidence (name to the cell's) of table_rows(): a record a line. Of columns with one name the first filled one counts."""
+    one = rows.groupBy("file", "page", "line", "name").agg(F.min_by("text", "column").alias("text"), F.min_by("confidence", "column").alias("confidence"))
+    pairs = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", c))))
+    return one.groupBy("file", "page", "line").agg(pairs("text").alias("values"), pairs("confidence").alias("confidence"))
+
+
 def needs_ocr(pages: DataFrame) -> DataFrame:
     """pages (file, page, chars) that have too few characters to be read as text."""
     return pages.where(F.coalesce("chars", F.lit(0)) < NATIVE_CHARS)

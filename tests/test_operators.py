@@ -1,5 +1,7 @@
 """Single operators on small literal tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,33 @@ def test_words_to_grid(spark):
     assert words.gap_threshold([4, 5, 100]) == 90 and words.gap_threshold([4]) == 2 and words.gap_threshold([]) == 0
 
 
+def test_recorded_pages(spark, tmp_path):
+    def word(text, x, y, sure=None):
+        return {"text": text, "x0": x, "y0": y, "x1": x + 8 * len(text), "y1": y + 10} | ({} if sure is None else {"confidence": sure})
+
+    def line(y, *texts):
+        return [word(t, x, y) for t, x in zip(texts, (0, 200, 400)) if t]
+
+    first = [word("Staff", 0, 0), *line(20, "Code", "Role", "Site"), *line(40, "E1", "Clerk", "BLR"), word("E2", 0, 60, 0.4), *line(60, None, "Cook", "DEL"), *line(80, "E3", "Guard", None)]
+    second = [*line(0, "Code", "Role", "Site"), *line(20, "E4", "Clerk", "GOI"), word(" ", 5, 50)]
+    (tmp_path / "a.ocr.json").write_text(json.dumps([{"page": 1, "words": first}, {"page": 2, "words": second}]))
+    (tmp_path / "b.ocr.json").write_text("[]")
+    made = words.grid(words.cells(words.lines(words.read_recorded(spark, [str(tmp_path)]))))
+    got = {r["values"]["Code"]: r for r in words.records(words.table_rows(made)).collect()}
+    assert {k: r["values"] for k, r in got.items()} == {
+        "E1": {"Code": "E1", "Role": "Clerk", "Site": "BLR"}, "E2": {"Code": "E2", "Role": "Cook", "Site": "DEL"}, "E3": {"Code": "E3", "Role": "Guard"}, "E4": {"Code": "E4", "Role": "Clerk", "Site": "GOI"},
+    }
+    assert got["E2"].confidence == {"Code": 0.4, "Role": 1.0, "Site": 1.0} and got["E4"].page == 2
+
+
+def test_large_blocks_lose_no_pair(spark):
+    rows = [(f"r{i:02}", "x" if i < 30 else "y" if i < 33 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "record_id string, k string")
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x and x == y}
+    got = [(r.left_id, r.right_id) for r in matching.candidate_pairs(df, [["k"]], block_rows=4).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_value_cases_group(spark):
     rows = [("f", "c", "d", "date", f"0{i}/05/2020", "ambiguous date", ["x", "y"], f"r{i}", 1.0) for i in range(1, 4)] + [("f", "e", "k", "enum", "FTE", "not an allowed value", ["A"], f"r{i}", 1.0) for i in range(2)] + [("f", "m", "n", "integer", "x", "not a integer", [], "r9", 0.5)]
     df = spark.createDataFrame(rows, "file string, column string, field string, type string, raw string, unsafe string, alternatives array<string>, record_id string, confidence double")
