@@ -153,7 +153,7 @@ def template_overlap(found: DataFrame, spark: SparkSession, lone: bool = False)
 
 
 def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int = FIT_PARAGRAPHS) -> LicenceModel:
-    """Fits on templates, counterexamples and a bounded sample of paragraphs; a third of each, by hash, calibrates instead.
+    """Fits on templates, counterexamples and a bounded sample of paragraphs, a third of which, by hash, calibrates instead.
 
     A sampled paragraph takes the family whose template it overlaps by CONFIRM, is unknown if it overlaps none by
     half of that, and is left out in between.
@@ -178,11 +178,11 @@ def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int
         if y and pair_cues.isdisjoint(gs) and set(cues).isdisjoint(gs):
             pair_cues.add(min((g for g in gs if " " in g), key=lambda g: (counts[g], g)))
     vocabulary = [g for g in seen if g in pair_cues or not set(cues).isdisjoint(g.split())]
-    rows = shown + [(g, y) for g, y, held in corpus if y or not held]
+    rows = shown + [(g, y) for g, y, held in corpus if not held]
     weights, bias = _logistic(rows, vocabulary, len(labels))
     kept = np.flatnonzero(np.abs(weights).max(1) > 0)
     table = {vocabulary[i]: weights[i].tolist() for i in kept}
-    held = [bias + sum((np.array(table[g]) for g in gs if g in table), np.zeros(len(labels))) for gs, y, out in corpus if out and not y]
+    held = [(bias + sum((np.array(table[g]) for g in gs if g in table), np.zeros(len(labels))), y) for gs, y, out in corpus if out]
     temperature, threshold = _calibrate(held)
     return LicenceModel(labels, cues, sorted(pair_cues), table, bias.tolist(), temperature, threshold)
 
@@ -220,19 +220,20 @@ def _logistic(rows: list[tuple[tuple[str, ...], int]], vocabulary: list[str], la
     return w[:-1], w[-1]
 
 
-def _calibrate(unknown: list[np.ndarray]) -> tuple[float, float]:
-    """Temperature with the least log loss on held-out paragraphs of no licence, and the threshold that FALSE_SHARE of them pass at most."""
-    if not unknown:
+def _calibrate(held: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
+    """Temperature with the least log loss on held-out paragraphs, notices and the rest weighing the same in all, and the threshold that FALSE_SHARE of the rest pass at most."""
+    if not held:
         return 1.0, 0.5
-    z = np.array(unknown)
+    z, y = np.array([row for row, _ in held]), np.array([label for _, label in held])
+    share = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y == 0).sum()))
 
     def probabilities(t: float) -> np.ndarray:
         e = np.exp((z - z.max(1, keepdims=True)) / t)
         return e / e.sum(1, keepdims=True)
 
-    best = min((1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(np.maximum(probabilities(t)[:, 0], 1e-12)).mean())
-    top = np.sort(probabilities(best)[:, 1:].max(1))
-    allowed = top[max(0, len(top) - 1 - int(FALSE_SHARE * len(top)))]
+    best = min((1.0, 1.5, 2.0, 3.0), key=lambda t: -(share * np.log(np.maximum(probabilities(t)[np.arange(len(y)), y], 1e-12))).sum())
+    top = np.sort(probabilities(best)[y == 0, 1:].max(1))
+    allowed = top[max(0, len(top) - 1 - int(FALSE_SHARE * len(top)))] if len(top) else 0.5
     return best, float(min(0.9, max(0.5, allowed)))
 
 

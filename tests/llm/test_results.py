@@ -194,6 +194,47 @@ def test_lm_base(spark, texts):
         assert abs(r.base_score - sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)) < 1e-6
 
 
+def test_lm_scores_sum_all_segmentations(spark):
+    train, other = ["ab abc", "Cab ab ab", "the cat"], ["abcab the", "", "zq é"]
+    docs = spark.createDataFrame([(i, t, t in other) for i, t in enumerate(train + other)], "doc_id int, text string, held_out boolean")
+    start = lattice.from_sentencepiece(lm_score.VOCABULARY)
+    logp = dict(zip(start.pieces, start.logp))
+
+    def every(word, table):
+        if not word:
+            yield 0.0, []
+        for n in range(1, len(word) + 1):
+            if word[:n] in table:
+                for p, cut in every(word[n:], table):
+                    yield p + table[word[:n]], [word[:n], *cut]
+
+    uses = {p: 100 * math.exp(x) for p, x in logp.items()}
+    for word in " ".join(train).lower().split():
+        cuts = list(every(b" " + word.encode(), logp))
+        z = math.log(sum(math.exp(x) for x, _ in cuts))
+        for x, cut in cuts:
+            for piece in cut:
+                uses[piece] += math.exp(x - z)
+    whole = sum(uses.values())
+    learned = {p: math.log(n / whole) for p, n in uses.items()}
+    end = 3.5 / (7 + 3 + 1)
+    for r in lm_score.score_documents(docs).collect():
+        own = (train + other)[r.doc_id].lower().split()
+        words = sum(math.log10(sum(math.exp(x) for x, _ in every(b" " + w.encode(), learned)) * (1 - end)) for w in own)
+        assert abs(r.score - words - math.log10(end)) < 1e-6
+
+
+def test_calibration_weighs_notices_and_the_rest():
+    rng = np.random.default_rng(5)
+    rest = [(np.array([4.0, 0.0, 0.0]) + rng.normal(0, 0.5, 3), 0) for _ in range(900)]
+    sure = [(np.array([0.0, 6.0, 0.0]), 1)] * 30
+    wrong = [(np.array([0.0, 6.0, 0.0]), 2)] * 15
+    assert licences._calibrate(rest + sure)[0] == 1.0 and licences._calibrate(rest + sure + wrong)[0] > 1.5
+    assert licences._calibrate(rest)[1] == 0.5 and licences._calibrate(sure) == (1.0, 0.5) and licences._calibrate([]) == (1.0, 0.5)
+    false = [(np.array([0.0, 1.5, 0.0]), 0)] * 9
+    assert licences._calibrate(rest + false)[1] > 0.5
+
+
 def test_learned_pieces_raise_held_out_scores(spark, texts):
     from pyspark.sql import functions as F
 
