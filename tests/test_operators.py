@@ -240,3 +240,26 @@ def test_decisions_and_suggestions(spark):
     more = spark.createDataFrame([("c", "m"), ("c", "z"), ("d", "q")], "case_key string, value string")
     assert {r.case_key: r.options for r in cases.enrich(df, more).collect()} == {"c": ["m", "z"], "d": ["q"]}
     scoring.assert_votes_cannot_decide([scoring.Candidate("f", {}, [], 1.0)])
+
+
+def test_components_forget_and_draw_together(spark):
+    """Chains of which a task holds only some nodes, a loop of one node and an edge without an end, against a walk of the graph."""
+    set_checkpoints(spark)
+    edges = [(str(i * 7919 % 300), str((i + 1) * 7919 % 300)) for i in range(300) if i % 37] + [("loop", "loop"), ("loop", None)]
+    df = spark.createDataFrame(edges, "left_id string, right_id string")
+    got = [{r.id: r.comp for r in matching.components(df, held).collect()} for held in (0, 200_000)]
+    near = {}
+    for a, b in edges:
+        if b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        ahead = [start] if start not in want else []
+        while ahead:
+            x = ahead.pop()
+            if x not in want:
+                want[x] = start
+                ahead += near[x]
+    assert got == [want, want]
+    assert matching.components(spark.createDataFrame([], "left_id string, right_id string")).count() == 0
