@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.operators.delivery import audit_id
 from quernstone.operators.scoring import FLOOR
 
 
@@ -70,6 +71,23 @@ def run_name(raw: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(raw, r"(?U)\s+", " "), r"^ | $", ""), 1, 120)
 
 
+def rename_runs(runs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """runs (run_id, name, others) under their new names (names: run_id, name, one for each run), and the audit rows of those that changed (id, run_id, actor, action, before, after).
+
+    Of a new name white space is collapsed; a blank one, or one of more than 120 characters, changes nothing.
+    """
+    collapsed = F.regexp_replace(F.regexp_replace("name", r"(?U)\s+", " "), r"^ | $", "")
+    told = names.select("run_id", collapsed.alias("_new")).where("_new <> '' and length(_new) <= 120")
+    both = runs.join(told, "run_id", "left").withColumn("_new", F.coalesce("_new", "name"))
+    changed = both.where("not (_new <=> name)").select(audit_id(F.col("run_id"), F.lit("run.renamed"), F.col("name"), F.col("_new")).alias("id"), "run_id", F.lit("human").alias("actor"), F.lit("run.renamed").alias("action"), F.col("name").alias("before"), F.col("_new").alias("after"))
+    return both.select(*(F.col("_new").alias(c) if c == "name" else F.col(c) for c in runs.columns)), changed
+
+
+def without_runs(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows of a table (run_id, others) without those of deleted runs (gone: run_id)."""
+    return rows.join(gone.select("run_id").distinct(), "run_id", "left_anti").select(*rows.columns)
+
+
 # The four looks that an investigation of a case takes at the data.
 
 def values_in_column(counts: DataFrame, file: str, column: str, n: int = 20) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import cases as C
 from quernstone.operators import cleaning, matching, profiling, scoring, validation
 from quernstone.operators.cases import Overrides
+from quernstone.operators.delivery import audit_id
 from quernstone.schema import TargetSchema
 from quernstone.sources.files import record_cells
 
@@ -28,6 +29,9 @@ class RunResult:
     entities: DataFrame
     issues: DataFrame
     cases: DataFrame
+    folded: DataFrame
+    #: survivor, field, source (record_id, file, row): which record gave a field; what an answer settles keeps the source it had.
+    sources: DataFrame
 
     def ready(self) -> DataFrame:
         return self.entities.where("state = 'ready'")
@@ -61,7 +65,7 @@ def map_columns(records: DataFrame, lookups: DataFrame, schema: TargetSchema, ov
 
 
 def build(records: DataFrame, mappings: list[scoring.Mapping], plans: dict, schema: TargetSchema, overrides: Overrides) -> DataFrame:
-    """record_id, file, row and a struct for each field: value, unsafe, alternatives, steps, raw and column. One narrow projection for each file."""
+    """record_id, file, row and a struct for each field: value, unsafe, alternatives, steps, raw, column and confidence. One narrow projection for each file."""
     parts = []
     for file in dict.fromkeys(m.file for m in mappings):
         chosen = {m.chosen: m.column for m in sorted((m for m in mappings if m.file == file and m.chosen), key=lambda m: m.column)}
@@ -73,8 +77,9 @@ def build(records: DataFrame, mappings: list[scoring.Mapping], plans: dict, sche
             if f.name in chosen:
                 column = chosen[f.name]
                 raw = F.element_at("cells", F.lit(column))
+                sure = F.coalesce(F.element_at("confidence", F.lit(column)), F.lit(1.0)) if "confidence" in records.columns else F.lit(1.0)
                 c = cleaning.clean(raw, f, plans.get((file, column)))
-                own = F.struct(c["value"].alias("value"), c["unsafe"].alias("unsafe"), c["alternatives"].alias("alternatives"), c["steps"].alias("steps"), raw.alias("raw"), F.lit(column).alias("column"))
+                own = F.struct(c["value"].alias("value"), c["unsafe"].alias("unsafe"), c["alternatives"].alias("alternatives"), c["steps"].alias("steps"), raw.alias("raw"), F.lit(column).alias("column"), sure.alias("confidence"))
                 if answers := {r: v for (fi, co, r), v in overrides.value_map.items() if (fi, co) == (file, column)}:
                     # one look-up in a literal map, however many answers there are; they are as few as people gave
                     known = F.map_from_arrays(F.array(*map(F.lit, answers)), F.array(*(F.lit(v).cast("string") for v in answers.values())))
@@ -92,12 +97,14 @@ def _fixed(value, raw, column: str | None):
     none = F.array()
     return F.struct(
         F.lit(value).cast("string").alias("value"), F.lit(None).cast("string").alias("unsafe"), none.cast("array<string>").alias("alternatives"),
-        none.cast(cleaning.STEPS).alias("steps"), raw.cast("string").alias("raw"), F.lit(column).cast("string").alias("column"),
+        none.cast(cleaning.STEPS).alias("steps"), raw.cast("string").alias("raw"), F.lit(column).cast("string").alias("column"), F.lit(1.0).alias("confidence"),
     )
 
 
 def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides: Overrides | None = None, votes: VoteSource | None = None) -> RunResult:
-    """Profiles, maps, cleans, reconciles and validates records (of sources.files.read_records) and says what waits for an answer.
+    """Profiles, maps, cleans, reconciles and validates records (of sources.files.read_records, or words.as_records) and says what waits for an answer.
+
+    Records may carry confidence (column to the sureness of its reading): a value that can't be cleaned and was read unsurely is asked about as such.
 
     Running it again with the same input and answers gives the same rows. Answers are looked up by content, so
     a decision about a case that no longer arises does nothing.
@@ -120,6 +127,7 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
     human = spark.createDataFrame([(a, b, m) for (a, b), m in overrides.identity.items()], "left_id string, right_id string, merge boolean") if overrides.identity else None
     folded = matching.reconcile(pairs, human).checkpoint()
     merged = matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id")
+    sources = matching.field_sources(values, folded, names, ["file", "row"])
     torn = matching.conflicts(values, folded, names)
     if overrides.authority:
         placed = values.join(matching.survivor_of(folded), "record_id")
@@ -133,7 +141,7 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
         merged, torn = _settle(merged, facts, names), torn.join(facts, ["survivor", "field"], "left_anti")
     merged, torn = merged.checkpoint(), torn.checkpoint()
 
-    long = reduce(DataFrame.unionByName, (built.select("record_id", "file", F.lit(n).alias("field"), F.lit(schema[n].type).alias("type"), f"{n}.column", f"{n}.raw", f"{n}.unsafe", f"{n}.alternatives", F.lit(1.0).alias("confidence")) for n in names))
+    long = reduce(DataFrame.unionByName, (built.select("record_id", "file", F.lit(n).alias("field"), F.lit(schema[n].type).alias("type"), f"{n}.column", f"{n}.raw", f"{n}.unsafe", f"{n}.alternatives", f"{n}.confidence") for n in names))
     answered = {*overrides.values, *overrides.facts}
     unsafe = long.where("unsafe is not null")
     if answered:
@@ -170,7 +178,32 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
             held = validation.hold_dependents(states, f.name, schema.identity).select(F.col("id").alias("_held")).distinct()
             joined = states.join(held, states[schema.identity] == held["_held"], "left")
             states = joined.withColumn("state", F.when(F.col("_held").isNotNull(), "blocked").otherwise(F.col("state"))).drop("_held")
-    return RunResult(mappings, plans, built, states.drop("excluded", "open_cases", "issues"), issues, cases)
+    return RunResult(mappings, plans, built, states.drop("excluded", "open_cases", "issues"), issues, cases, folded, sources)
+
+
+def audit(result: RunResult, run_id: str) -> DataFrame:
+    """id, run_id, actor, action, summary, record_id, field, before, after: what a run did, one row for each applied mapping, cleaning step, merge and question.
+
+    Ids come from what a row says, so running again, as every replay does, adds nothing to a log that holds them; the log is as
+    long as the steps are many and is never collected.
+    """
+    none = F.lit(None).cast("string")
+
+    def told(df: DataFrame, actor, action: str, summary, record=none, name=none, before=none, after=none, more=none) -> DataFrame:
+        row = df.select(F.lit(run_id).alias("run_id"), F.lit(actor).alias("actor"), F.lit(action).alias("action"), summary.alias("summary"), record.alias("record_id"), name.alias("field"), before.alias("before"), after.alias("after"), more.cast("string").alias("_more"))
+        return row.select(audit_id(F.col("run_id"), F.col("action"), F.col("summary"), F.col("record_id"), F.col("field"), F.col("_more")).alias("id"), *row.columns[:-1])
+
+    names = [c for c, kind in result.built.dtypes if kind.startswith("struct<value:")]
+    mapped = result.built.sparkSession.createDataFrame([(m.file, m.column, m.chosen, m.status) for m in result.mappings if m.chosen], "file string, column string, chosen string, status string")
+    summary = F.format_string("%s of %s feeds %s", "column", "file", "chosen")
+    parts = [told(mapped.where(F.col("status") == s), who, f"mapping.{s}_applied", summary, name=F.col("chosen")) for s, who in (("human", "human"), ("auto", "agent"))]
+    for n in names:
+        steps = result.built.select("record_id", F.posexplode(f"{n}.steps").alias("_at", "_step"))
+        parts.append(told(steps, "agent", "cleanup.applied", F.concat(F.lit(f"{n}: "), F.col("_step.rule")), F.col("record_id"), F.lit(n), F.col("_step.before"), F.col("_step.after"), F.col("_at")))
+    merges = result.folded.where("case_with is null and record_id <> survivor")
+    parts.append(told(merges, "agent", "records.merged", F.concat(F.lit("same entity as "), "survivor"), F.col("record_id")))
+    parts.append(told(result.cases, "agent", "escalation.raised", F.concat_ws(": ", "class", "headline"), F.col("record_key"), F.col("field"), more=F.col("case_key")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _settle(merged: DataFrame, answers: DataFrame, names: list[str]) -> DataFrame:

@@ -102,6 +102,22 @@ def records(rows: DataFrame) -> DataFrame:
     return one.groupBy("file", "page", "line").agg(pairs("text").alias("values"), pairs("confidence").alias("confidence"))
 
 
+def as_records(rows: DataFrame) -> DataFrame:
+    """table_rows() as files.read_records() gives records, with confidence (column to the sureness of its cell): rows are numbered down a document, path names the page.
+
+    A header that no row fills is no column. unionByName(allowMissingColumns=True) puts them beside the records of files, whose cells are certain.
+    """
+    least = rows.groupBy("file", "name").agg(F.min("column").alias("column")).groupBy("file")
+    order = least.agg(F.transform(F.array_sort(F.collect_list(F.struct("column", "name"))), lambda c: c["name"]).alias("col_order"))
+    down = Window.partitionBy("file").orderBy("page", "line")  # a document, which fits a task
+    made = records(rows).withColumn("row", F.row_number().over(down)).join(order, "file")
+    none = F.lit(None).cast("string")
+    return made.select(
+        F.concat("file", F.lit("##"), F.col("row").cast("string")).alias("record_id"), "file", none.alias("sheet"), "row", F.concat(F.lit("page "), F.col("page").cast("string")).alias("path"),
+        F.col("values").alias("cells"), "col_order", "confidence",
+    )
+
+
 def needs_ocr(pages: DataFrame) -> DataFrame:
     """pages (file, page, chars) that have too few characters to be read as text."""
     return pages.where(F.coalesce("chars", F.lit(0)) < NATIVE_CHARS)

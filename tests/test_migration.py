@@ -204,3 +204,29 @@ def test_wrappers_and_lookups(spark, folder):
     sources, lookups = files.split_records(files.read_records(spark, [str(folder)]))
     assert {r.file for r in sources.collect()} == {"staff.csv", "more.json"} and {r.code for r in lookups.collect()} == {"ENG", "OPS"}
     assert {(r.code, r.column, r.value) for r in files.lookup_columns(files.read_records(spark, [str(folder)])).collect()} == {("ENG", "name", "Engineering"), ("OPS", "name", "Operations")}
+
+
+def test_unsure_readings_provenance_and_audit(spark):
+    """A page's records beside a file's: what can't be cleaned and was read unsurely is its own kind of question; sources and the log name rows."""
+    set_checkpoints(spark)
+    head = ["Employee ID", "City", "Grade"]
+    schema = read_schema({"entity": "employee", "blocking": [["employee_id"]], "fields": {"employee_id": {"required": True, "unique": True, "case_sensitive": True}, "city": {}, "grade": {"type": "enum", "allowed": ["JUNIOR", "SENIOR"]}}})
+    cells = lambda i, city, grade: dict(zip(head, (f"E{i:03d}", city, grade)))
+    filed = [(f"hr.csv##{i}", "hr.csv", None, i, None, cells(i, None if i == 1 else "Bonn", "junior" if i != 3 else "Princ1pal"), head) for i in range(1, 8)]
+    read = [(f"scan##{i}", "scan", None, i, "page 1", cells(j, " Kiel ", grade), head, {"Employee ID": 1.0, "City": 0.5, "Grade": sure}) for i, (j, grade, sure) in enumerate([(1, "Junior", 0.4), (11, "Seni0r", 0.4), (12, "Sen10r", 0.9), (13, "senior", 1.0)], 1)]
+    base = "record_id string, file string, sheet string, row int, path string, cells map<string,string>, col_order array<string>"
+    records = spark.createDataFrame(filed, base).unionByName(spark.createDataFrame(read, base + ", confidence map<string,double>"), allowMissingColumns=True)
+    result = migrate.run(records, files.load_lookups(records), schema)
+    kinds = {(c["class"], c.file, c.record_key) for c in result.cases.collect() if c.field == "grade" and c.column}
+    assert kinds == {("AMBIGUOUS_VALUE", "hr.csv", None), ("LOW_CONFIDENCE_EXTRACTION", "scan", "scan##2"), ("AMBIGUOUS_VALUE", "scan", None)}
+    gave = {(r.survivor, r.field): (r.source.record_id, r.source.file, r.source.row) for r in result.sources.collect()}
+    assert gave["hr.csv##1", "city"] == ("scan##1", "scan", 1) and gave["hr.csv##1", "grade"] == ("hr.csv##1", "hr.csv", 1) and ("hr.csv##3", "grade") not in gave
+    log = migrate.audit(result, "run-1").collect()
+    assert len({r.id for r in log}) == len(log) and {r.id for r in log} == {r.id for r in migrate.audit(migrate.run(records, files.load_lookups(records), schema), "run-1").collect()}
+    assert [(r.record_id, r.summary) for r in log if r.action == "records.merged"] == [("scan##1", "same entity as hr.csv##1")]
+    trimmed = [r for r in log if r.action == "cleanup.applied" and r.field == "city"]
+    assert {(r.before, r.after) for r in trimmed} == {(" Kiel ", "Kiel")} and len(trimmed) == 4
+    assert sum(r.action == "escalation.raised" for r in log) == result.cases.count() and sum(r.action == "mapping.auto_applied" for r in log) == 6
+    answer = next(c.case_key for c in result.cases.collect() if c["class"] == "LOW_CONFIDENCE_EXTRACTION")
+    settled, left = migrate.replay(records, files.load_lookups(records), schema, [{"case_key": answer, "action": "set", "value": "SENIOR"}])
+    assert not left and {r.employee_id: r.state for r in settled.entities.collect()}["E011"] == "ready"

@@ -104,6 +104,10 @@ def test_recorded_pages(spark, tmp_path):
         "E1": {"Code": "E1", "Role": "Clerk", "Site": "BLR"}, "E2": {"Code": "E2", "Role": "Cook", "Site": "DEL"}, "E3": {"Code": "E3", "Role": "Guard"}, "E4": {"Code": "E4", "Role": "Clerk", "Site": "GOI"},
     }
     assert got["E2"].confidence == {"Code": 0.4, "Role": 1.0, "Site": 1.0} and got["E4"].page == 2
+    as_read = {r.record_id: r for r in words.as_records(words.table_rows(made)).collect()}
+    assert sorted(as_read) == [f"a.ocr.json##{i}" for i in (1, 2, 3, 4)] and all(r.col_order == ["Code", "Role", "Site"] for r in as_read.values())
+    assert (as_read["a.ocr.json##2"].cells["Role"], as_read["a.ocr.json##2"].confidence["Code"], as_read["a.ocr.json##4"].path) == ("Cook", 0.4, "page 2")
+    assert {f.name for f in words.as_records(words.table_rows(made)).schema} - {"confidence"} == {c.split()[0] for c in files.RECORDS.split(", ")}
 
 
 def test_large_blocks_lose_no_pair(spark):
@@ -263,3 +267,13 @@ def test_components_forget_and_draw_together(spark):
                 ahead += near[x]
     assert got == [want, want]
     assert matching.components(spark.createDataFrame([], "left_id string, right_id string")).count() == 0
+
+
+def test_run_names_and_deletion(spark):
+    runs = spark.createDataFrame([("r1", "Payroll", 1), ("r2", "Staff", 2), ("r3", None, 3), ("r4", "Old", 4)], "run_id string, name string, at int")
+    names = spark.createDataFrame([("r1", " Payroll\t 2024 "), ("r2", "  "), ("r3", "x" * 121), ("r4", "Old"), ("gone", "z")], "run_id string, name string")
+    renamed, log = reports.rename_runs(runs, names)
+    assert renamed.columns == runs.columns and {(r.run_id, r.name) for r in renamed.collect()} == {("r1", "Payroll 2024"), ("r2", "Staff"), ("r3", None), ("r4", "Old")}
+    assert [(r.run_id, r.before, r.after) for r in log.collect()] == [("r1", "Payroll", "Payroll 2024")]
+    left = reports.without_runs(runs, spark.createDataFrame([("r2",), ("r2",), ("none",)], "run_id string"))
+    assert {r.run_id for r in left.collect()} == {"r1", "r3", "r4"}
