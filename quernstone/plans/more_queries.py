@@ -62,6 +62,14 @@ def run_names(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", reports.run_name(raw).alias("name"))
 
 
+@query("""SELECT c_custkey AS run_id, c_name AS before, 'New ' || c_mktsegment AS after FROM customer WHERE c_custkey % 4 = 0""")
+def renamed_runs(spark, sf_dir):
+    """Names with white space, blank ones, ones that are too long and unchanged ones: the audit rows of the first."""
+    k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    name = F.when(k % 4 == 0, F.concat(F.lit("  New\t "), "c_mktsegment", F.lit(" "))).when(k % 4 == 1, " ").when(k % 4 == 2, F.repeat("c_name", F.lit(20))).otherwise(F.col("c_name"))
+    return reports.rename_runs(c.select(k.alias("run_id"), F.col("c_name").alias("name")), c.select(k.alias("run_id"), name.alias("name")))[1].select("run_id", "before", "after")
+
+
 @query("SELECT o_orderkey, 'run1|' || o_custkey || '|gen' || (o_orderkey % 5) AS key FROM orders")
 def idempotency_keys(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", delivery.idempotency_key(F.lit("run1"), F.col("o_custkey"), F.col("o_orderkey") % 5).alias("key"))
@@ -149,6 +157,13 @@ def entity_components(spark, sf_dir):
     return matching.components(base._matched(spark, sf_dir).where("decision = 'auto_merge'"))
 
 
+@query(f"""WITH {base.HALVES_SQL}, l AS (SELECT e, file || '#' || lpad(CAST(e AS VARCHAR), 9, '0') AS record_id, 'name' AS field, nullif(name, '') AS v FROM halves UNION ALL SELECT e, file || '#' || lpad(CAST(e AS VARCHAR), 9, '0'), 'segment', segment FROM halves),
+s AS (SELECT e, min(record_id) AS survivor FROM l GROUP BY e) SELECT survivor, field, min(record_id) AS record_id FROM l JOIN s USING (e) WHERE v IS NOT NULL GROUP BY survivor, field""")
+def field_sources(spark, sf_dir):
+    rows, survivors = base._halves(spark, sf_dir)
+    return matching.field_sources(rows, survivors, ["name", "segment"], ["record_id"]).select("survivor", "field", "source.record_id")
+
+
 CASES_SQL = """o AS (SELECT o_orderkey AS id, 'o.csv' AS file, 'c' || o_custkey % 3 AS "column", 'f' AS field, CASE o_orderkey % 4 WHEN 0 THEN 'enum' WHEN 1 THEN 'date' ELSE 'string' END AS type, o_orderpriority AS raw,
   CASE WHEN o_orderkey % 4 = 1 THEN 'ambiguous date' ELSE 'bad' END AS unsafe, o_orderkey % 4 < 2 AS torn, CASE WHEN o_orderkey % 10 = 0 THEN 0.5 ELSE 1.0 END AS confidence FROM orders)"""
 
