@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, filter_audit, host_rules, html_text, licences, line_crf, lm_score, mixing, near_dups, pii, sharding
+from quernstone.llm import decontaminate, filter_audit, host_rules, html_text, licences, line_crf, lm_score, mixing, near_dups, pii, sharding, turn_repair
 
 QUERIES = {
     "op1_near_dups": near_dups.op1_near_dups,
@@ -15,10 +15,12 @@ QUERIES = {
     "op7_line_quality": line_crf.op7_line_quality,
     "op8_host_rules": host_rules.op8_host_rules,
     "op9_mix": mixing.op9_mix,
+    "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_filter_audit": filter_audit.op12_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op8_host_rules": host_rules.ORACLE_SQL,
+    "op11_turn_repair": turn_repair.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
 }
