@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.llm import decontaminate, filter_audit, host_rules, html_text, licences, line_crf, lm_score, mixing, near_dups, pii, sharding, turn_repair
+from quernstone.llm import bit_codes, decontaminate, filter_audit, host_rules, html_text, licences, line_crf, lm_score, mixing, near_dups, pii, sharding, turn_repair
 
 QUERIES = {
     "op1_near_dups": near_dups.op1_near_dups,
@@ -17,10 +17,12 @@ QUERIES = {
     "op9_mix": mixing.op9_mix,
     "op11_turn_repair": turn_repair.op11_turn_repair,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_bit_codes": bit_codes.op13_bit_codes,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op8_host_rules": host_rules.ORACLE_SQL,
     "op11_turn_repair": turn_repair.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_bit_codes": bit_codes.ORACLE_SQL,
 }

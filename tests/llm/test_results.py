@@ -33,7 +33,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", list(entries.ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = entries.QUERIES[name](spark, SF)
     want = c.sql(entries.ORACLES[name])
