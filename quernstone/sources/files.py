@@ -1,8 +1,8 @@
 """Reads exports of several formats into one table of records: id, file, sheet, row, path and a map of cells.
 
 Files come through Spark's binaryFile reader and are parsed where they lie, a file to a call, so any store that Spark
-reads will do. A file is the unit of parsing, as its format has no splits; large delimited files with plain headers
-can be read by read_delimited(), which Spark splits.
+reads will do. Delimited files above SPLIT_BYTES go through sources/exports.py instead, in ranges by many tasks, with the same rows;
+workbooks and documents have no splits, and a file is their unit.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import datetime as dt
 import io
 import json
 import re
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ DELIMITERS = ",;\t|"
 WRAPPERS = ("records", "data", "items", "rows", "results", "employees", "entities")
 SIDECAR = ".ocr.json"
 SUPPORTED = ("csv", "xlsx", "json", "yaml")
+#: Delimited files of more bytes are read in ranges.
+SPLIT_BYTES = 32 << 20
 
 RECORDS = "record_id string, file string, sheet string, row int, path string, cells map<string,string>, col_order array<string>"
 
@@ -75,25 +78,33 @@ def delimiter(text: str) -> str:
         return ","
 
 
-def _headers(raw: list[str | None]) -> list[str]:
-    return [(h or "").strip() or f"column_{i + 1}" for i, h in enumerate(raw)]
+def headers_of(raw: list[str | None]) -> list[str]:
+    """Names of a header row, or none if it is blank."""
+    return [(h or "").strip() or f"column_{i + 1}" for i, h in enumerate(raw)] if any((h or "").strip() for h in raw) else []
+
+
+def grid_row(headers: list[str], row: list[str | None]) -> dict[str, str | None] | None:
+    """Cells of a row by header: short rows padded, long ones cut; of equal headers the last wins; a blank row is None."""
+    return dict(zip(headers, [*row[: len(headers)], *[None] * (len(headers) - len(row))])) if any((c or "").strip() for c in row) else None
 
 
 def _grid(rows: list[list[str | None]], sheet: str | None) -> Iterator[tuple[str | None, int, str | None, dict[str, str | None], list[str]]]:
-    """Rows under a header: blank ones are skipped but counted, short ones padded, long ones cut; of equal headers the last wins."""
-    if not rows or not any((h or "").strip() for h in rows[0]):
-        return
-    headers = _headers(rows[0])
+    """Rows under a header: blank ones are skipped but counted."""
+    headers = headers_of(rows[0]) if rows else []
     order = list(dict.fromkeys(headers))
-    for number, row in enumerate(rows[1:], 1):
-        if any((c or "").strip() for c in row):
-            padded = [*row[:len(headers)], *[None] * (len(headers) - len(row))]
-            yield sheet, number, None, dict(zip(headers, padded)), order
+    for number, row in enumerate(rows[1:] if headers else [], 1):
+        if (cells := grid_row(headers, row)) is not None:
+            yield sheet, number, None, cells, order
 
 
 def read_csv(content: bytes) -> Iterator:
     text = decode(content) or ""
-    yield from _grid(list(csv.reader(io.StringIO(text), delimiter=delimiter(text))), None)
+    csv.field_size_limit(sys.maxsize)
+    try:
+        rows = list(csv.reader(io.StringIO(text), delimiter=delimiter(text)))
+    except csv.Error as e:
+        raise UnsupportedInput(f"the file cannot be parsed: {e}") from e
+    yield from _grid(rows, None)
 
 
 def cell_text(value: Any) -> str | None:
@@ -235,8 +246,11 @@ def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return named.where(~F.col("name").endswith(SIDECAR)).select("name", "length", "content")
 
 
-def file_report(spark: SparkSession, paths: list[str]) -> DataFrame:
+def file_report(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """file, kind, supported, rows, columns (of the first record), note; a file that cannot be read says why."""
+    from quernstone.sources.exports import read_exports
+
+    whole, large = _by_size(spark, paths, split_bytes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -250,11 +264,38 @@ def file_report(spark: SparkSession, paths: list[str]) -> DataFrame:
                 out.append((r.name, kind, kind in SUPPORTED, len(rows), len(rows[0][3]) if rows else 0, note))
             yield pd.DataFrame(out, columns=["file", "kind", "supported", "rows", "columns", "note"])
 
-    return _files(spark, paths).mapInPandas(run, "file string, kind string, supported boolean, rows int, columns int, note string")
+    report = whole.mapInPandas(run, "file string, kind string, supported boolean, rows int, columns int, note string")
+    if not large:
+        return report
+    counts = read_exports(spark, large).groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.max(F.size("cells")).alias("columns"))
+    names = spark.createDataFrame([(path.rsplit("/", 1)[-1],) for path in large], "file string").join(counts, "file", "left")
+    return report.unionByName(names.select("file", F.lit("csv").alias("kind"), F.lit(True).alias("supported"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "columns")), F.lit("").alias("note")))
+
+
+def _by_size(spark: SparkSession, paths: list[str], split_bytes: int) -> tuple[DataFrame, list[str]]:
+    """_files() but for delimited ones above split_bytes, and the paths of those; only first lines of large files are read for it."""
+    from quernstone.sources.exports import is_export
 
+    listed = spark.read.format("binaryFile").load(paths).where(F.col("length") > split_bytes).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
+    large = [(r.path, is_export(spark, r.path, r.name)) for r in listed.collect() if not r.name.endswith(SIDECAR)]
+    if not large:
+        return _files(spark, paths), []
+    whole = _files(spark, paths).where(F.col("length") <= split_bytes)
+    if others := [literal_path(path) for path, export in large if not export]:
+        whole = whole.unionByName(_files(spark, others))
+    return whole, [path for path, export in large if export]
 
-def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of all readable files; unreadable ones give none and are named by file_report()."""
+
+def literal_path(path: str) -> str:
+    """path with the signs of patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def read_records(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Records of all readable files; unreadable ones give none and are named by file_report(). Delimited files above split_bytes are read in ranges, with the same records; one of those that can't be parsed is an error."""
+    from quernstone.sources.exports import read_exports
+
+    whole, large = _by_size(spark, paths, split_bytes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -266,12 +307,8 @@ def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["record_id", "file", "sheet", "row", "path", "cells", "col_order"])
 
-    return _files(spark, paths).mapInPandas(run, RECORDS)
-
-
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A large delimited file as text columns, split by Spark; for files with distinct headers and no row numbers."""
-    return spark.read.csv(path, header=True, sep=sep, encoding=encoding, inferSchema=False)
+    records = whole.mapInPandas(run, RECORDS)
+    return records.unionByName(read_exports(spark, large)) if large else records
 
 
 def read_pasted(spark: SparkSession, text: str, name: str = "pasted") -> DataFrame:
