@@ -16,12 +16,12 @@ from quernstone.llm.common import arrow_map, materialize, read_table
 NEAREST = 20
 #: Vectors are padded by zeros to so many times their length before they are rotated, so a code has so many bits a component (rounded up to whole words).
 PAD, WORD = 4, 64
-#: Bit planes of a query's rotated components.
-PLANES = 6
 #: Standard deviations of the estimate's error that count as possible.
 EPSILON = 3.0
 #: Components of a block of vectors and of queries: what one task holds, some 80 and 10 MB. Smaller tables are dealt into SPREAD blocks of LEAST rows at least.
 VECTORS, QUERIES, LEAST, SPREAD = 1 << 23, 1 << 20, 1 << 11, 8
+#: Codes and queries whose estimates a task holds at once: 16 MB of floats.
+CODES_AT_ONCE, QUERIES_AT_ONCE = 1 << 14, 1 << 8
 SEED = 29
 
 
@@ -50,70 +50,61 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed, np.abs(turned).sum(axis=1) / np.sqrt(bits), norms
 
 
-def planes_of(query: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-    """A rotated query as PLANES packed bit planes: planes, least value, step, and the length of what rounding took away."""
-    low = float(query.min())
-    step = max(float(query.max()) - low, 1e-300) / (2**PLANES - 1)
-    level = np.rint((query - low) / step).astype(np.uint8)
-    planes = np.packbits((level[None, :] >> np.arange(PLANES, dtype=np.uint8)[:, None]) & 1, axis=1, bitorder="little").view(np.uint64)
-    return planes, low, step, float(np.linalg.norm(query - (low + step * level)))
+def signs_of(codes: np.ndarray) -> np.ndarray:
+    """Packed codes as rows of 1 and -1."""
+    return np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
 
 
-def estimates(codes: np.ndarray, factors: np.ndarray, ones: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For a rotated query of length 1: estimates of its inner products with the unit vectors behind codes, and how far each may be off.
-
-    The inner product of the query with a code comes from counts of common bits, plane by plane; divided by the factor it is an unbiased estimate. Its deviation
-    is sqrt(1/f^2 - 1) / sqrt(bits - 1) for a factor f, and rounding of the query adds its length / (f sqrt(bits)); the bound is EPSILON times both.
-    ones: set bits of each code.
-    """
-    planes, low, step, lost = planes_of(query)
-    bits = codes.shape[1] * WORD
-    common = np.zeros(len(codes), dtype=np.int64)
-    for k, plane in enumerate(planes):
-        common += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << k
-    dot = (2 * (low * ones + step * common) - query.sum()) / np.sqrt(bits)
-    off = EPSILON * (np.sqrt(np.maximum(0.0, 1 / factors**2 - 1) / (bits - 1)) + lost / (factors * np.sqrt(bits)))
-    return dot / factors, off
+def corrections(factors: np.ndarray, norms: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two scalars for each code: what turns the product of a rotated unit query and the code's signs into an unbiased estimate of its product with the vector,
+    and how far that may be off: EPSILON deviations, each sqrt(1/f^2 - 1) / sqrt(bits - 1) of the vector's length for a factor f, and the rounding of single floats."""
+    return norms / (factors * np.sqrt(bits)), norms * (EPSILON * np.sqrt(np.maximum(0.0, 1 / factors**2 - 1) / (bits - 1)) + 1e-5)
 
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, added component by component, so that equal vectors give equal sums wherever they stand."""
-    total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[0])
-    for i in range(b.shape[1]):
-        total += a[:, i] * b[:, i]
-    return total
+def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of query with rows, added component by component, so that equal vectors give equal sums wherever they stand."""
+    return np.cumsum(vectors * query, axis=1)[:, -1]
 
 
 def best_in_block(queries: dict, block: dict, nearest: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query: positions in block, and inner products, of its nearest there: exact but for what the bounds miss.
 
-    The nearest by estimate are compared first; the least of their products is a floor, and all whose estimate plus bound
-    reaches it are compared too. queries and block: row (long), id and vectors; block has codes, factors, lengths as well.
+    Codes come in parts. In the first, the nearest by estimate are compared exactly; the least product of the nearest so far is a floor, and
+    whatever reaches it by estimate plus bound is compared. queries and block: row (unique) and vectors; block has id, codes, factors and norms as well.
     """
-    unit_queries, norms = unit(queries["vectors"])
-    turned = unit_queries @ rotation(unit_queries.shape[1])
-    ones = np.bitwise_count(block["codes"]).sum(axis=1, dtype=np.int64)
-    found = []
-    for i, query in enumerate(turned):
-        guess, off = estimates(block["codes"], block["factors"], ones, query)
-        own = block["row"] == queries["row"][i]
-        with np.errstate(over="ignore", invalid="ignore"):
-            guess, most = guess * block["norms"], (guess + off) * block["norms"]
-        guess[own] = most[own] = -np.inf
-        n = min(nearest, len(own) - int(own.sum()))
-        if n <= 0:
-            found.append((np.empty(0, np.int64), np.empty(0)))
-            continue
-        vector = queries["vectors"][i : i + 1]
-        first = np.argpartition(-guess, n - 1)[:n]
-        floor = exact(vector, block["vectors"][first]).min() / norms[i]
-        # ~(<) keeps what can't be compared; rounding of the floor must not cost a tie.
-        maybe = np.flatnonzero(~(most < floor - 1e-9 * abs(floor)) & ~own)
-        maybe = np.union1d(maybe, first)
-        score = exact(vector, block["vectors"][maybe])
-        order = np.lexsort((block["id"][maybe], -score))[:n]
-        found.append((maybe[order], score[order]))
-    return found
+    units, lengths = unit(queries["vectors"])
+    turned = (units @ rotation(units.shape[1])).astype(np.float32)
+    scale, off = (x.astype(np.float32) for x in corrections(block["factors"], block["norms"], turned.shape[1]))
+    order = np.argsort(block["row"])
+    at = order[np.minimum(np.searchsorted(block["row"], queries["row"], sorter=order), len(order) - 1)]
+    own = np.where(block["row"][at] == queries["row"], at, -1)
+    best = [(np.empty(0, np.int64), np.empty(0))] * len(turned)
+
+    def take(i: int, positions: np.ndarray) -> None:
+        place = np.concatenate([best[i][0], positions])
+        score = np.concatenate([best[i][1], exact(queries["vectors"][i], block["vectors"][positions])])
+        kept = np.lexsort((block["id"][place], -score))[:nearest]
+        best[i] = place[kept], score[kept]
+
+    for start in range(0, len(block["row"]), CODES_AT_ONCE):
+        part = slice(start, start + CODES_AT_ONCE)
+        signs = signs_of(block["codes"][part]).T
+        for low in range(0, len(turned), QUERIES_AT_ONCE):
+            guesses = turned[low : low + QUERIES_AT_ONCE] @ signs * scale[part]
+            for i, guess in enumerate(guesses, low):
+                if 0 <= own[i] - start < len(guess):
+                    guess[own[i] - start] = -np.inf
+                first = np.empty(0, np.int64)
+                if len(best[i][0]) < nearest:
+                    first = np.argpartition(-guess, min(nearest, len(guess)) - 1)[:nearest]
+                    first = first[first + start != own[i]]
+                    take(i, first + start)
+                # ~(<) keeps what can't be compared
+                floor = best[i][1][-1] / lengths[i] if len(best[i][0]) == nearest else -np.inf
+                maybe = np.flatnonzero(~(guess + off[part] < floor)) if floor > -np.inf else np.arange(len(guess))
+                maybe = np.setdiff1d(maybe, first, assume_unique=True)
+                take(i, maybe[maybe + start != own[i]] + start)
+    return best
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
