@@ -22,6 +22,15 @@ class ColumnPlan:
     ambiguous: list[str] = field(default_factory=list)
 
 
+@dataclass
+class PlannedDates:
+    """The same for cells of many columns: arrays of formats that stand in the cell's own row. known: all that may."""
+
+    ambiguous: Column
+    formats: Column
+    known: list[str]
+
+
 def plan_column(profile: Any, target: Field) -> ColumnPlan:
     """The single best date format, or the only one among the best that some day above 12 proves; else the best ones are ambiguous."""
     if target.type not in ("date", "datetime") or not profile.date_formats:
@@ -37,7 +46,7 @@ def _step(rule: str, before: Column, after: Column) -> Column:
     return F.when(~before.eqNullSafe(after), F.struct(F.lit(rule).alias("rule"), before.alias("before"), after.alias("after")))
 
 
-def clean(raw: Column, target: Field, plan: ColumnPlan | None = None) -> Column:
+def clean(raw: Column, target: Field, plan: ColumnPlan | PlannedDates | None = None) -> Column:
     """struct<value, unsafe, alternatives, steps> for one cell: value as text in canonical form, unsafe why none is safe."""
     plan = plan or ColumnPlan()
     ascii_only = ~raw.rlike(r"[^\x00-\x7F]")
@@ -50,7 +59,14 @@ def clean_ascii(raw: Column, target: Field, plan: ColumnPlan | None = None) -> C
     return _typed(raw, raw, target, plan or ColumnPlan())
 
 
-def _typed(composed: Column, raw: Column, target: Field, plan: ColumnPlan) -> Column:
+def _readings(c: Column, shown: str, formats: Column | list[str], known: list[str]) -> Column:
+    """c as a date by each of formats; those of a column stand for some of known."""
+    if isinstance(formats, Column):
+        return F.transform(formats, lambda f: F.coalesce(*(F.when(f == k, X.render_date(X.read_date(c, k), shown)) for k in known)))
+    return F.array(*(X.render_date(X.read_date(c, f), shown) for f in formats)).cast("array<string>")
+
+
+def _typed(composed: Column, raw: Column, target: Field, plan: ColumnPlan | PlannedDates) -> Column:
     trimmed = X.ws_trim(composed)
     collapsed = X.collapse_ws(trimmed)
     blank = F.lower(collapsed).isin(*X.NULL_MARKERS)
@@ -73,11 +89,16 @@ def _typed(composed: Column, raw: Column, target: Field, plan: ColumnPlan) -> Co
         value = F.when(typed.isNotNull(), stripped)
         unsafe = F.when(typed.isNull(), f"not a {target.type}")
     elif target.type in ("date", "datetime"):
-        formats = [*plan.ambiguous, *([plan.date_format] if plan.date_format else []), target.date_format]
-        reads = F.array(*(X.render_date(X.read_date(collapsed, f), target.date_format) for f in formats))
+        shown, own = target.date_format, plan if isinstance(plan, PlannedDates) else None
+        parts = {"raw": raw, "composed": composed, "trimmed": trimmed, "collapsed": collapsed, "blank": blank} | ({"ambiguous": own.ambiguous, "formats": own.formats} if own else {})
         # a lambda's variable is computed once, so that no format is parsed twice; nor may a Python function stand inside
-        cell = F.struct(raw.alias("raw"), composed.alias("composed"), trimmed.alias("trimmed"), collapsed.alias("collapsed"), blank.alias("blank"), reads.alias("reads"))
-        return F.get(F.transform(F.array(cell), lambda c: _outcome(c["raw"], c["composed"], c["trimmed"], c["collapsed"], c["blank"], "normalise_date", *_dated(c["reads"], len(plan.ambiguous)))), 0)
+        cell = F.array(F.struct(*(v.alias(k) for k, v in parts.items())))
+        dated = F.transform(cell, lambda c: F.struct(
+            *(c[k].alias(k) for k in ("raw", "composed", "trimmed", "collapsed", "blank")),
+            _readings(c["collapsed"], shown, c["ambiguous"] if own else plan.ambiguous, own.known if own else []).alias("torn"),
+            _readings(c["collapsed"], shown, c["formats"] if own else [*([plan.date_format] if plan.date_format else []), shown], own.known if own else []).alias("reads"),
+        ))
+        return F.get(F.transform(dated, lambda c: _outcome(c["raw"], c["composed"], c["trimmed"], c["collapsed"], c["blank"], "normalise_date", *_dated(c["torn"], c["reads"]))), 0)
     elif target.pattern:
         rule = "strip_pattern_punctuation"
         bare = F.regexp_replace(collapsed, rf"(?U){X.NOISE}", "")
@@ -86,11 +107,11 @@ def _typed(composed: Column, raw: Column, target: Field, plan: ColumnPlan) -> Co
     return _outcome(raw, composed, trimmed, collapsed, blank, rule, value, unsafe, choices)
 
 
-def _dated(reads: Column, ambiguous: int) -> tuple[Column, Column, Column]:
-    """value, unsafe and alternatives of a date from its readings, of which the first so many are of formats that its column cannot tell apart."""
-    readings = F.array_sort(F.array_distinct(F.array_compact(F.slice(reads, 1, ambiguous)))) if ambiguous else F.array().cast("array<string>")
+def _dated(ambiguous: Column, reads: Column) -> tuple[Column, Column, Column]:
+    """value, unsafe and alternatives of a date from its readings by formats that its column cannot tell apart, and by the others."""
+    readings = F.array_sort(F.array_distinct(F.array_compact(ambiguous)))
     torn = F.size(readings) > 1
-    value = F.when(~torn, F.get(F.array_compact(F.slice(reads, ambiguous + 1, 3)), 0))
+    value = F.when(~torn, F.get(F.array_compact(reads), 0))
     return value, F.when(torn, "ambiguous date").when(value.isNull(), "not a date"), F.when(torn, readings).otherwise(F.array().cast("array<string>"))
 
 

@@ -64,40 +64,61 @@ def map_columns(records: DataFrame, lookups: DataFrame, schema: TargetSchema, ov
     return mappings, plans
 
 
-def build(records: DataFrame, mappings: list[scoring.Mapping], plans: dict, schema: TargetSchema, overrides: Overrides) -> DataFrame:
-    """record_id, file, row and a struct for each field: value, unsafe, alternatives, steps, raw, column and confidence. One narrow projection for each file."""
-    parts = []
-    for file in dict.fromkeys(m.file for m in mappings):
-        chosen = {m.chosen: m.column for m in sorted((m for m in mappings if m.file == file and m.chosen), key=lambda m: m.column)}
-        if not chosen:
-            continue
-        made = []
+#: How one file feeds one field: the column, the date formats that its values cannot tell apart and those that it has, answers to single values, and the constant of a field that no column feeds.
+FEED = "struct<column:string,ambiguous:array<string>,formats:array<string>,answers:map<string,string>,constant:string>"
+#: Files whose feeds are broadcast, some KB each; with more, Spark joins them as any other table.
+BROADCAST_FILES = 2000
+Feed = tuple[str | None, list[str], list[str], dict[str, str | None], str | None]
+
+
+def feeds(mappings: list[scoring.Mapping], plans: dict, schema: TargetSchema, overrides: Overrides) -> dict[str, list[Feed]]:
+    """For each file of which some column feeds a field: how each field of the schema is fed, in its order."""
+    chosen: dict[str, dict[str, str]] = {}
+    for m in sorted((m for m in mappings if m.chosen), key=lambda m: m.column):
+        chosen.setdefault(m.file, {})[m.chosen] = m.column
+    answers: dict[tuple[str, str], dict[str, str | None]] = {}
+    for (file, column, raw), value in overrides.value_map.items():
+        answers.setdefault((file, column), {})[raw] = value
+    out = {}
+    for file in dict.fromkeys(m.file for m in mappings if m.file in chosen):
+        out[file] = []
         for f in schema.fields:
+            column = chosen[file].get(f.name)
+            plan = plans.get((file, column)) or cleaning.ColumnPlan()
             constant = overrides.constants.get((file, f.name), overrides.constants.get((None, f.name)))
-            if f.name in chosen:
-                column = chosen[f.name]
-                raw = F.element_at("cells", F.lit(column))
-                sure = F.coalesce(F.element_at("confidence", F.lit(column)), F.lit(1.0)) if "confidence" in records.columns else F.lit(1.0)
-                c = cleaning.clean(raw, f, plans.get((file, column)))
-                own = F.struct(c["value"].alias("value"), c["unsafe"].alias("unsafe"), c["alternatives"].alias("alternatives"), c["steps"].alias("steps"), raw.alias("raw"), F.lit(column).alias("column"), sure.alias("confidence"))
-                if answers := {r: v for (fi, co, r), v in overrides.value_map.items() if (fi, co) == (file, column)}:
-                    # one look-up in a literal map, however many answers there are; they are as few as people gave
-                    known = F.map_from_arrays(F.array(*map(F.lit, answers)), F.array(*(F.lit(v).cast("string") for v in answers.values())))
-                    own = F.when(F.map_contains_key(known, F.coalesce(raw, F.lit(""))) & raw.isNotNull(), _fixed(F.element_at(known, raw), raw, column)).otherwise(own)
-            else:
-                own = _fixed(constant, F.lit(None), None)
-            made.append(own.alias(f.name))
-        parts.append(records.where(F.col("file") == file).select("record_id", "file", "row", *made))
-    if not parts:
-        raise ValueError("no column of any file feeds a field")
-    return reduce(DataFrame.unionByName, parts)
+            formats = [*([plan.date_format] if plan.date_format else []), f.date_format] if f.type in ("date", "datetime") else []
+            out[file].append((column, list(plan.ambiguous), formats, answers.get((file, column), {}) if column else {}, None if column else constant))
+    return out
 
 
-def _fixed(value, raw, column: str | None):
+def build(records: DataFrame, fed: dict[str, list[Feed]], schema: TargetSchema) -> DataFrame:
+    """record_id, file, row and a struct for each field: value, unsafe, alternatives, steps, raw, column and confidence.
+
+    One projection of records whatever the number of files: feeds() stand in a table with a row for each file, and a cell is looked up by the column that its row names.
+    """
+    if not fed:
+        raise ValueError("no column of any file feeds a field")
+    names = [f"_feed{i}" for i in range(len(schema.fields))]
+    table = records.sparkSession.createDataFrame([(file, *own) for file, own in fed.items()], f"_file string, {', '.join(f'{n} {FEED}' for n in names)}")
+    rows = records.join(F.broadcast(table) if len(fed) <= BROADCAST_FILES else table, F.col("file") == F.col("_file"))
+    made = []
+    for i, (f, name) in enumerate(zip(schema.fields, names)):
+        feed = F.col(name)
+        raw = F.element_at("cells", feed["column"])
+        sure = F.coalesce(F.element_at("confidence", feed["column"]), F.lit(1.0)) if "confidence" in records.columns else F.lit(1.0)
+        known = list(dict.fromkeys(x for own in fed.values() for x in (*own[i][1], *own[i][2])))
+        c = cleaning.clean(raw, f, cleaning.PlannedDates(feed["ambiguous"], feed["formats"], known) if f.type in ("date", "datetime") else None)
+        own = F.struct(c["value"].alias("value"), c["unsafe"].alias("unsafe"), c["alternatives"].alias("alternatives"), c["steps"].alias("steps"), raw.alias("raw"), feed["column"].alias("column"), sure.alias("confidence"))
+        answered = F.map_contains_key(feed["answers"], F.coalesce(raw, F.lit(""))) & raw.isNotNull()
+        made.append(F.when(feed["column"].isNull(), _fixed(feed["constant"], F.lit(None), F.lit(None))).when(answered, _fixed(F.element_at(feed["answers"], raw), raw, feed["column"])).otherwise(own).alias(f.name))
+    return rows.select("record_id", "file", "row", *made)
+
+
+def _fixed(value, raw, column):
     none = F.array()
     return F.struct(
-        F.lit(value).cast("string").alias("value"), F.lit(None).cast("string").alias("unsafe"), none.cast("array<string>").alias("alternatives"),
-        none.cast(cleaning.STEPS).alias("steps"), raw.cast("string").alias("raw"), F.lit(column).cast("string").alias("column"), F.lit(1.0).alias("confidence"),
+        value.cast("string").alias("value"), F.lit(None).cast("string").alias("unsafe"), none.cast("array<string>").alias("alternatives"),
+        none.cast(cleaning.STEPS).alias("steps"), raw.cast("string").alias("raw"), column.cast("string").alias("column"), F.lit(1.0).alias("confidence"),
     )
 
 
@@ -114,7 +135,7 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
     if overrides.ignored_files:
         records = records.where(~F.col("file").isin(*overrides.ignored_files))
     mappings, plans = map_columns(records, lookups, schema, overrides, votes)
-    built = build(records, mappings, plans, schema, overrides).checkpoint()
+    built = build(records, feeds(mappings, plans, schema, overrides), schema).checkpoint()
     names = [f.name for f in schema.fields]
     values = built.select("record_id", "file", "row", *(F.col(f"{n}.value").alias(n) for n in names))
     for n in names:
