@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -21,6 +22,17 @@ from quernstone.sources.files import record_cells
 VoteSource = Callable[[str, list[Any], TargetSchema], dict[str, dict[str, float]]]
 
 
+@dataclass
+class Evidence:
+    """What the columns of all files look like; answers change none of it."""
+
+    profiles: list[Any]
+    #: Codes of each lookup that some column's commonest values hold.
+    known: dict[str, set[str]]
+    #: Votes of each file.
+    cast: dict[str, dict[str, dict[str, float]]]
+
+
 @dataclass
 class RunResult:
     mappings: list[scoring.Mapping]
@@ -32,6 +44,8 @@ class RunResult:
     folded: DataFrame
     #: survivor, field, source (record_id, file, row): which record gave a field; what an answer settles keeps the source it had.
     sources: DataFrame
+    #: What a later run over the same records takes over where answers leave it as it is.
+    stages: Stages | None = None
 
     def ready(self) -> DataFrame:
         return self.entities.where("state = 'ready'")
@@ -40,15 +54,38 @@ class RunResult:
         return self.entities.where("state = 'blocked'")
 
 
-def map_columns(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides: Overrides, votes: VoteSource | None = None):
-    """Mappings and column plans. Profiles are collected: some KB a column, whatever the rows."""
+@dataclass
+class Stages:
+    """Tables of a run as they stand before answers about whole entities are put in, and the answers behind them."""
+
+    overrides: Overrides
+    evidence: Evidence
+    fed: dict[str, list[Feed]]
+    built: DataFrame
+    values: DataFrame
+    #: Pairs that are merged or asked about, and reconcile() of them with its components.
+    pairs: DataFrame
+    folded: DataFrame
+    merged: DataFrame
+    sources: DataFrame
+    torn: DataFrame
+
+
+def gather(records: DataFrame, lookups: DataFrame, schema: TargetSchema, votes: VoteSource | None = None) -> Evidence:
+    """Profiles are collected: some KB a column, whatever the rows."""
     profiles = sorted(profiling.profile_columns(record_cells(records)).collect(), key=lambda p: (p.file, p.col_pos))
     seen = sorted({t.v for p in profiles for t in p.top or []})
     known: dict[str, set[str]] = {n: set() for n in (r.name for r in lookups.select("name").distinct().collect())}
     for r in lookups.where(F.col("code").isin(seen)).collect() if seen else []:
         known[r.name].add(r.code)
     cast = {f: votes(f, [p for p in profiles if p.file == f], schema) for f in {p.file for p in profiles}} if votes else {}
-    mappings = scoring.resolve_within_file([scoring.rank_column(p, schema, known, cast.get(p.file, {}).get(p.column)) for p in profiles])
+    return Evidence(profiles, known, cast)
+
+
+def map_columns(evidence: Evidence, schema: TargetSchema, overrides: Overrides):
+    """Mappings and column plans of the files that aren't ignored."""
+    profiles = [p for p in evidence.profiles if p.file not in overrides.ignored_files]
+    mappings = scoring.resolve_within_file([scoring.rank_column(p, schema, evidence.known, evidence.cast.get(p.file, {}).get(p.column)) for p in profiles])
     names = {f.name for f in schema.fields}
     for m in mappings:
         if (m.file, m.column) in overrides.column_map:
@@ -122,36 +159,104 @@ def _fixed(value, raw, column):
     )
 
 
-def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides: Overrides | None = None, votes: VoteSource | None = None) -> RunResult:
+def _read_values(built: DataFrame, names: list[str], overrides: Overrides) -> DataFrame:
+    """record_id, file, row and each field's value, answers to single cells put in."""
+    values = built.select("record_id", "file", "row", *(F.col(f"{n}.value").alias(n) for n in names))
+    for n in names:
+        own = [(k, v) for (k, f), v in overrides.values.items() if f == n]
+        if own:
+            table = built.sparkSession.createDataFrame([(k, n, v) for k, v in own], "record_key string, field string, value string")
+            values = cleaning.override_values(values, table, "record_id", n)
+    return values
+
+
+def _first_stages(records: DataFrame, evidence: Evidence, fed: dict, schema: TargetSchema, overrides: Overrides, human: DataFrame | None) -> Stages:
+    names = [f.name for f in schema.fields]
+    built = build(records, fed, schema).checkpoint()
+    values = _read_values(built, names, overrides).checkpoint()
+    pairs = matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]]), values, schema).where("decision <> 'no_match'").checkpoint()
+    folded = matching.reconcile(pairs, human, with_component=True).checkpoint()
+    return Stages(copy.deepcopy(overrides), evidence, fed, built, values, pairs, folded, *_entities(values, folded, names))
+
+
+def _entities(values: DataFrame, folded: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    merged = matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id").checkpoint()
+    return merged, matching.field_sources(values, folded, names, ["file", "row"]).checkpoint(), matching.conflicts(values, folded, names).checkpoint()
+
+
+def _next_stages(last: Stages, records: DataFrame, fed: dict, schema: TargetSchema, overrides: Overrides, human: DataFrame | None) -> Stages:
+    """The stages of a run with other answers: equal to _first_stages(), but only what the new answers touch is made anew.
+
+    A file whose feeds changed is projected again. Records whose values changed are paired again with their blocks. Components that such
+    records, their pairs before or now, or an answer about identity touch are folded again; what they merge to is merged again. All else is taken over.
+    """
+    spark, names, old = records.sparkSession, [f.name for f in schema.fields], last.overrides
+    stale = sorted(f for f in {*fed, *last.fed} if fed.get(f) != last.fed.get(f))
+    built, values = last.built, last.values
+    if stale:
+        again = {f: fed[f] for f in stale if f in fed}
+        kept = built.where(~F.col("file").isin(*stale))
+        built = (kept.unionByName(build(records.where(F.col("file").isin(*again)), again, schema)) if again else kept).checkpoint()
+    told = {k for k, _ in overrides.values.items() ^ old.values.items()}
+    ids = [(k,) for k in sorted({record for record, _ in told})]
+    touched = spark.createDataFrame(ids, "record_id string")
+    if stale or ids:
+        values = _read_values(built, names, overrides).checkpoint()
+        if stale:
+            was, now = (v.where(F.col("file").isin(*stale)).select("record_id", F.struct("row", *names).alias(n)) for v, n in ((last.values, "_was"), (values, "_now")))
+            changed = was.join(now, "record_id", "full").where(~F.col("_was").eqNullSafe(F.col("_now"))).select("record_id")
+            touched = touched.union(changed).distinct()
+        touched = touched.checkpoint()
+    pairs, ends = last.pairs, touched
+    if stale or ids:
+        gone = lambda side: touched.select(F.col("record_id").alias(side))
+        stay = pairs.join(gone("left_id"), "left_id", "left_anti").join(gone("right_id"), "right_id", "left_anti")
+        fresh = matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]], only=touched), values, schema).where("decision <> 'no_match'").checkpoint()
+        left = pairs.join(gone("left_id"), "left_id", "left_semi").unionByName(pairs.join(gone("right_id"), "right_id", "left_semi"))
+        both = left.select("left_id", "right_id").unionByName(fresh.select("left_id", "right_id"))
+        ends = touched.union(both.select("left_id")).union(both.select("right_id")).distinct().checkpoint()
+        pairs = stay.select(*fresh.columns).unionByName(fresh).checkpoint()
+    asked = sorted({x for pair, _ in overrides.identity.items() ^ old.identity.items() for x in pair})
+    if not (stale or ids or asked):
+        return Stages(copy.deepcopy(overrides), last.evidence, fed, built, values, pairs, last.folded, last.merged, last.sources, last.torn)
+    ends = ends.union(spark.createDataFrame([(x,) for x in asked], "record_id string"))
+    comps = last.folded.join(ends, "record_id", "left_semi").select("comp").distinct()
+    area = ends.union(last.folded.join(comps, "comp", "left_semi").select("record_id")).distinct().checkpoint()
+    part = pairs.join(area.select(F.col("record_id").alias("left_id")), "left_id", "left_semi")
+    fresh = matching.reconcile(part, human, with_component=True).checkpoint()
+    folded = last.folded.join(area, "record_id", "left_anti").select(*fresh.columns).unionByName(fresh).checkpoint()
+    own = _entities(values.join(area, "record_id", "left_semi"), fresh, names)
+    merged = last.merged.join(area, "record_id", "left_anti").unionByName(own[0]).checkpoint()
+    gone = area.select(F.col("record_id").alias("survivor"))
+    sources, torn = (was.join(gone, "survivor", "left_anti").unionByName(now).checkpoint() for was, now in ((last.sources, own[1]), (last.torn, own[2])))
+    return Stages(copy.deepcopy(overrides), last.evidence, fed, built, values, pairs, folded, merged, sources, torn)
+
+
+def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides: Overrides | None = None, votes: VoteSource | None = None, last: RunResult | None = None) -> RunResult:
     """Profiles, maps, cleans, reconciles and validates records (of sources.files.read_records, or words.as_records) and says what waits for an answer.
 
     Records may carry confidence (column to the sureness of its reading): a value that can't be cleaned and was read unsurely is asked about as such.
 
     Running it again with the same input and answers gives the same rows. Answers are looked up by content, so
-    a decision about a case that no longer arises does nothing.
+    a decision about a case that no longer arises does nothing. last: a run over the same records, lookups, schema and votes with fewer answers; what
+    the others don't touch is taken from its stages.
     """
     overrides = overrides or Overrides()
     spark = records.sparkSession
     if overrides.ignored_files:
         records = records.where(~F.col("file").isin(*overrides.ignored_files))
-    mappings, plans = map_columns(records, lookups, schema, overrides, votes)
-    built = build(records, feeds(mappings, plans, schema, overrides), schema).checkpoint()
-    names = [f.name for f in schema.fields]
-    values = built.select("record_id", "file", "row", *(F.col(f"{n}.value").alias(n) for n in names))
-    for n in names:
-        own = [(k, v) for (k, f), v in overrides.values.items() if f == n]
-        if own:
-            table = spark.createDataFrame([(k, n, v) for k, v in own], "record_key string, field string, value string")
-            values = cleaning.override_values(values, table, "record_id", n)
-
-    pairs = matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]]), values, schema)
+    stages = last.stages if last else None
+    evidence = stages.evidence if stages else gather(records, lookups, schema, votes)
+    mappings, plans = map_columns(evidence, schema, overrides)
+    fed, names = feeds(mappings, plans, schema, overrides), [f.name for f in schema.fields]
+    if not fed:
+        raise ValueError("no column of any file feeds a field")
     human = spark.createDataFrame([(a, b, m) for (a, b), m in overrides.identity.items()], "left_id string, right_id string, merge boolean") if overrides.identity else None
-    folded = matching.reconcile(pairs, human).checkpoint()
-    merged = matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id")
-    sources = matching.field_sources(values, folded, names, ["file", "row"])
-    torn = matching.conflicts(values, folded, names)
+    stages = _next_stages(stages, records, fed, schema, overrides, human) if stages else _first_stages(records, evidence, fed, schema, overrides, human)
+    built, values, merged, sources, torn = stages.built, stages.values, stages.merged, stages.sources, stages.torn
+    folded = stages.folded.drop("comp")
     if overrides.authority:
-        placed = values.join(matching.survivor_of(folded), "record_id")
+        placed = values.join(matching.survivor_of(folded), "record_id").join(torn.select("survivor").distinct(), "survivor", "left_semi")
         each = reduce(DataFrame.unionByName, (placed.select(F.col("survivor").alias("entity"), F.lit(n).alias("field"), "file", matching.filled(F.col(n)).alias("value")) for n in names))
         settled = matching.prefer(each.where("value is not null"), overrides.authority).where("value is not null").withColumnRenamed("entity", "survivor")
         settled = settled.join(torn.select("survivor", "field"), ["survivor", "field"], "left_semi").checkpoint()
@@ -160,7 +265,8 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
         told = spark.createDataFrame([(k, f, v) for (k, f), v in overrides.facts.items()], "record_id string, field string, value string")
         facts = told.join(matching.survivor_of(folded), "record_id", "left").select(F.coalesce("survivor", "record_id").alias("survivor"), "field", "value").dropDuplicates(["survivor", "field"])
         merged, torn = _settle(merged, facts, names), torn.join(facts, ["survivor", "field"], "left_anti")
-    merged, torn = merged.checkpoint(), torn.checkpoint()
+    if overrides.authority or overrides.facts:
+        merged, torn = merged.checkpoint(), torn.checkpoint()
 
     long = reduce(DataFrame.unionByName, (built.select("record_id", "file", F.lit(n).alias("field"), F.lit(schema[n].type).alias("type"), f"{n}.column", f"{n}.raw", f"{n}.unsafe", f"{n}.alternatives", f"{n}.confidence") for n in names))
     answered = {*overrides.values, *overrides.facts}
@@ -199,7 +305,7 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
             held = validation.hold_dependents(states, f.name, schema.identity).select(F.col("id").alias("_held")).distinct()
             joined = states.join(held, states[schema.identity] == held["_held"], "left")
             states = joined.withColumn("state", F.when(F.col("_held").isNotNull(), "blocked").otherwise(F.col("state"))).drop("_held")
-    return RunResult(mappings, plans, built, states.drop("excluded", "open_cases", "issues"), issues, cases, folded, sources)
+    return RunResult(mappings, plans, built, states.drop("excluded", "open_cases", "issues"), issues, cases, folded, sources, stages)
 
 
 def audit(result: RunResult, run_id: str) -> DataFrame:
@@ -277,11 +383,18 @@ def gap_cases(spark, mappings: list[scoring.Mapping], schema: TargetSchema) -> D
     return C.case_rows(df, F.lit("UNMAPPED_REQUIRED"), F.col("file"), F.lit(None), F.col("field"), F.lit(None), F.col("headline"), F.array(), F.lit(0))
 
 
-def replay(records: DataFrame, lookups: DataFrame, schema: TargetSchema, decisions: list[dict], votes: VoteSource | None = None) -> tuple[RunResult, list[dict]]:
-    """Runs until no decision (case_key, action, value) meets a new case: a run more than there are decisions at most. Returns the last run and the decisions that met none, or were refused: approving where nothing is recommended (these say why)."""
-    overrides, left = Overrides(), list(decisions)
+def replay(records: DataFrame, lookups: DataFrame, schema: TargetSchema, decisions: list[dict], votes: VoteSource | None = None, last: RunResult | None = None) -> tuple[RunResult, list[dict]]:
+    """Runs until no decision (case_key, action, value) meets a new case: a run more than there are decisions at most. Returns the last run and the decisions that met none, or were refused: approving where nothing is recommended (these say why).
+
+    Records are written once; each run after the first makes anew only what the answers since then touch. last: an earlier result over the same
+    records, whose answers hold on and whose open cases the first decisions may meet.
+    """
+    if last is None:
+        records = records.checkpoint()
+    overrides, left, result = copy.deepcopy(last.stages.overrides) if last else Overrides(), list(decisions), last
     while True:
-        result = run(records, lookups, schema, overrides, votes)
+        if result is None:
+            result = run(records, lookups, schema, overrides, votes)
         keys = [d["case_key"] for d in left]
         found = {r.case_key: r.asDict() for r in result.cases.where(F.col("case_key").isin(*keys)).collect()} if keys else {}
         met, later = False, []
@@ -300,4 +413,4 @@ def replay(records: DataFrame, lookups: DataFrame, schema: TargetSchema, decisio
         left = later
         if not met:
             return result, left
-
+        result = run(records, lookups, schema, overrides, votes, result)
