@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import prefix_match
+from quernstone.operators.tables import written
 
 SUCCESS, RETRYABLE = ("accepted", "duplicate"), ("transient", "uncertain")
 ATTEMPTS, BACKOFF = 3, (0.5, 1.5)
@@ -120,10 +121,10 @@ def deliver(ready: DataFrame, send: Send, reconcile: Callable[[DataFrame], DataF
     """
     log, pending = None, ready
     for n in range(1, attempts + 1):
-        sent = send(pending, n).withColumn("attempt", F.lit(n)).checkpoint()
+        sent = written(send(pending, n).withColumn("attempt", F.lit(n)))
         unsure = sent.where("outcome = 'uncertain'")
         found = reconcile(unsure).select("key").distinct().withColumn("_found", F.lit(True))
-        settled = sent.join(found, "key", "left").withColumn("outcome", F.when((F.col("outcome") == "uncertain") & F.col("_found"), "duplicate").otherwise(F.col("outcome"))).drop("_found").checkpoint()
+        settled = written(sent.join(found, "key", "left").withColumn("outcome", F.when((F.col("outcome") == "uncertain") & F.col("_found"), "duplicate").otherwise(F.col("outcome"))).drop("_found"))
         log = settled if log is None else log.unionByName(settled)
         pending = settled.where(F.col("outcome").isin(*RETRYABLE)).drop("outcome", "attempt")
         if n == attempts or pending.isEmpty():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
 from quernstone.schema import Field, TargetSchema
+from quernstone.operators.tables import written
 
 ISSUE = "array<struct<field:string,rule:string,value:string>>"
 
@@ -85,11 +86,11 @@ def hold_dependents(records: DataFrame, parent: str, identity: str, state: str =
     once it meets a blocked one (held) or one that is neither blocked nor ready. Rounds end when none is left, or when
     the longest chain that the ready records could form is passed, as only circles are left then. Rounds are checkpointed.
     """
-    blocked = records.where(F.col(state) == "blocked").select(F.col(identity).alias("_at")).distinct().withColumn("_blocked", F.lit(True)).checkpoint()
-    ready = records.where(F.col(state) == "ready").where(F.col(identity).isNotNull() & F.col(parent).isNotNull()).select(F.col(identity).alias("id"), F.col(parent).alias("at")).distinct().checkpoint()
+    blocked = written(records.where(F.col(state) == "blocked").select(F.col(identity).alias("_at")).distinct().withColumn("_blocked", F.lit(True)))
+    ready = written(records.where(F.col(state) == "ready").where(F.col(identity).isNotNull() & F.col(parent).isNotNull()).select(F.col(identity).alias("id"), F.col(parent).alias("at")).distinct())
     held, ways, reach, longest = None, ready, 1, ready.count()
     while True:
-        marked = ways.join(blocked, ways["at"] == blocked["_at"], "left").drop("_at").checkpoint()
+        marked = written(ways.join(blocked, ways["at"] == blocked["_at"], "left").drop("_at"))
         new = marked.where("_blocked").select("id", F.col("at").alias("root"))
         held = new if held is None else held.union(new)
         open_ways = marked.where("_blocked is null").select("id", "at")
@@ -97,7 +98,7 @@ def hold_dependents(records: DataFrame, parent: str, identity: str, state: str =
             return held.distinct()
         # a way that meets a settled one ends where that ends
         onward = open_ways.select(F.col("id").alias("_from"), F.col("at").alias("_to")).union(held.select(F.col("id").alias("_from"), F.col("root").alias("_to")))
-        ways = open_ways.join(onward, open_ways["at"] == onward["_from"]).select("id", F.col("_to").alias("at")).distinct().checkpoint()
+        ways = written(open_ways.join(onward, open_ways["at"] == onward["_from"]).select("id", F.col("_to").alias("at")).distinct())
         reach *= 2
 
 

@@ -15,6 +15,7 @@ from quernstone.operators import cases as C
 from quernstone.operators import cleaning, matching, profiling, scoring, validation
 from quernstone.operators.cases import Overrides
 from quernstone.operators.delivery import audit_id
+from quernstone.operators.tables import written
 from quernstone.schema import TargetSchema
 from quernstone.sources.files import record_cells
 
@@ -172,16 +173,16 @@ def _read_values(built: DataFrame, names: list[str], overrides: Overrides) -> Da
 
 def _first_stages(records: DataFrame, evidence: Evidence, fed: dict, schema: TargetSchema, overrides: Overrides, human: DataFrame | None) -> Stages:
     names = [f.name for f in schema.fields]
-    built = build(records, fed, schema).checkpoint()
-    values = _read_values(built, names, overrides).checkpoint()
-    pairs = matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]]), values, schema).where("decision <> 'no_match'").checkpoint()
-    folded = matching.reconcile(pairs, human, with_component=True).checkpoint()
+    built = written(build(records, fed, schema))
+    values = written(_read_values(built, names, overrides))
+    pairs = written(matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]]), values, schema).where("decision <> 'no_match'"))
+    folded = written(matching.reconcile(pairs, human, with_component=True))
     return Stages(copy.deepcopy(overrides), evidence, fed, built, values, pairs, folded, *_entities(values, folded, names))
 
 
 def _entities(values: DataFrame, folded: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    merged = matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id").checkpoint()
-    return merged, matching.field_sources(values, folded, names, ["file", "row"]).checkpoint(), matching.conflicts(values, folded, names).checkpoint()
+    merged = written(matching.merge_records(values, folded, names, ["file", "row"]).withColumnRenamed("survivor", "record_id"))
+    return merged, written(matching.field_sources(values, folded, names, ["file", "row"])), written(matching.conflicts(values, folded, names))
 
 
 def _next_stages(last: Stages, records: DataFrame, fed: dict, schema: TargetSchema, overrides: Overrides, human: DataFrame | None) -> Stages:
@@ -196,39 +197,39 @@ def _next_stages(last: Stages, records: DataFrame, fed: dict, schema: TargetSche
     if stale:
         again = {f: fed[f] for f in stale if f in fed}
         kept = built.where(~F.col("file").isin(*stale))
-        built = (kept.unionByName(build(records.where(F.col("file").isin(*again)), again, schema)) if again else kept).checkpoint()
+        built = written(kept.unionByName(build(records.where(F.col("file").isin(*again)), again, schema)) if again else kept)
     told = {k for k, _ in overrides.values.items() ^ old.values.items()}
     ids = [(k,) for k in sorted({record for record, _ in told})]
     touched = spark.createDataFrame(ids, "record_id string")
     if stale or ids:
-        values = _read_values(built, names, overrides).checkpoint()
+        values = written(_read_values(built, names, overrides))
         if stale:
             was, now = (v.where(F.col("file").isin(*stale)).select("record_id", F.struct("row", *names).alias(n)) for v, n in ((last.values, "_was"), (values, "_now")))
             changed = was.join(now, "record_id", "full").where(~F.col("_was").eqNullSafe(F.col("_now"))).select("record_id")
             touched = touched.union(changed).distinct()
-        touched = touched.checkpoint()
+        touched = written(touched)
     pairs, ends = last.pairs, touched
     if stale or ids:
         gone = lambda side: touched.select(F.col("record_id").alias(side))
         stay = pairs.join(gone("left_id"), "left_id", "left_anti").join(gone("right_id"), "right_id", "left_anti")
-        fresh = matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]], only=touched), values, schema).where("decision <> 'no_match'").checkpoint()
+        fresh = written(matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]], only=touched), values, schema).where("decision <> 'no_match'"))
         left = pairs.join(gone("left_id"), "left_id", "left_semi").unionByName(pairs.join(gone("right_id"), "right_id", "left_semi"))
         both = left.select("left_id", "right_id").unionByName(fresh.select("left_id", "right_id"))
-        ends = touched.union(both.select("left_id")).union(both.select("right_id")).distinct().checkpoint()
-        pairs = stay.select(*fresh.columns).unionByName(fresh).checkpoint()
+        ends = written(touched.union(both.select("left_id")).union(both.select("right_id")).distinct())
+        pairs = written(stay.select(*fresh.columns).unionByName(fresh))
     asked = sorted({x for pair, _ in overrides.identity.items() ^ old.identity.items() for x in pair})
     if not (stale or ids or asked):
         return Stages(copy.deepcopy(overrides), last.evidence, fed, built, values, pairs, last.folded, last.merged, last.sources, last.torn)
     ends = ends.union(spark.createDataFrame([(x,) for x in asked], "record_id string"))
     comps = last.folded.join(ends, "record_id", "left_semi").select("comp").distinct()
-    area = ends.union(last.folded.join(comps, "comp", "left_semi").select("record_id")).distinct().checkpoint()
+    area = written(ends.union(last.folded.join(comps, "comp", "left_semi").select("record_id")).distinct())
     part = pairs.join(area.select(F.col("record_id").alias("left_id")), "left_id", "left_semi")
-    fresh = matching.reconcile(part, human, with_component=True).checkpoint()
-    folded = last.folded.join(area, "record_id", "left_anti").select(*fresh.columns).unionByName(fresh).checkpoint()
+    fresh = written(matching.reconcile(part, human, with_component=True))
+    folded = written(last.folded.join(area, "record_id", "left_anti").select(*fresh.columns).unionByName(fresh))
     own = _entities(values.join(area, "record_id", "left_semi"), fresh, names)
-    merged = last.merged.join(area, "record_id", "left_anti").unionByName(own[0]).checkpoint()
+    merged = written(last.merged.join(area, "record_id", "left_anti").unionByName(own[0]))
     gone = area.select(F.col("record_id").alias("survivor"))
-    sources, torn = (was.join(gone, "survivor", "left_anti").unionByName(now).checkpoint() for was, now in ((last.sources, own[1]), (last.torn, own[2])))
+    sources, torn = (written(was.join(gone, "survivor", "left_anti").unionByName(now)) for was, now in ((last.sources, own[1]), (last.torn, own[2])))
     return Stages(copy.deepcopy(overrides), last.evidence, fed, built, values, pairs, folded, merged, sources, torn)
 
 
@@ -259,14 +260,14 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
         placed = values.join(matching.survivor_of(folded), "record_id").join(torn.select("survivor").distinct(), "survivor", "left_semi")
         each = reduce(DataFrame.unionByName, (placed.select(F.col("survivor").alias("entity"), F.lit(n).alias("field"), "file", matching.filled(F.col(n)).alias("value")) for n in names))
         settled = matching.prefer(each.where("value is not null"), overrides.authority).where("value is not null").withColumnRenamed("entity", "survivor")
-        settled = settled.join(torn.select("survivor", "field"), ["survivor", "field"], "left_semi").checkpoint()
+        settled = written(settled.join(torn.select("survivor", "field"), ["survivor", "field"], "left_semi"))
         merged, torn = _settle(merged, settled, names), torn.join(settled, ["survivor", "field"], "left_anti")
     if overrides.facts:
         told = spark.createDataFrame([(k, f, v) for (k, f), v in overrides.facts.items()], "record_id string, field string, value string")
         facts = told.join(matching.survivor_of(folded), "record_id", "left").select(F.coalesce("survivor", "record_id").alias("survivor"), "field", "value").dropDuplicates(["survivor", "field"])
         merged, torn = _settle(merged, facts, names), torn.join(facts, ["survivor", "field"], "left_anti")
     if overrides.authority or overrides.facts:
-        merged, torn = merged.checkpoint(), torn.checkpoint()
+        merged, torn = written(merged), written(torn)
 
     long = reduce(DataFrame.unionByName, (built.select("record_id", "file", F.lit(n).alias("field"), F.lit(schema[n].type).alias("type"), f"{n}.column", f"{n}.raw", f"{n}.unsafe", f"{n}.alternatives", f"{n}.confidence") for n in names))
     answered = {*overrides.values, *overrides.facts}
@@ -290,10 +291,10 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
                 gone = validation.missing_references(merged, f.name, codes, "code")
             issues = issues.unionByName(gone)
             queue.append(C.reference_cases(gone, codes))
-    issues = issues.checkpoint()
+    issues = written(issues)
     open_cells = unsafe.select("record_id", "field").unionByName(issues.where("rule like 'reference%'").select("record_id", "field"))
     queue.append(C.issue_cases(issues, open_cells))
-    cases = _recommend(reduce(DataFrame.unionByName, queue), mappings, plans, built, values, folded).checkpoint()
+    cases = written(_recommend(reduce(DataFrame.unionByName, queue), mappings, plans, built, values, folded))
 
     waiting = unsafe.select("record_id").union(folded.where("case_with is not null").select("record_id")).union(torn.select("survivor"))
     counted = merged.join(waiting.groupBy("record_id").agg(F.count(F.lit(1)).alias("open_cases")), "record_id", "left").join(issues.groupBy("record_id").agg(F.count(F.lit(1)).alias("issues")), "record_id", "left").fillna(0, ["open_cases", "issues"])
@@ -301,7 +302,7 @@ def run(records: DataFrame, lookups: DataFrame, schema: TargetSchema, overrides:
     states = validation.final_states(counted.withColumn("excluded", out))
     for f in schema.fields:
         if f.reference and f.reference.split(".", 1)[0] == schema.entity:
-            states = states.checkpoint()
+            states = written(states)
             held = validation.hold_dependents(states, f.name, schema.identity).select(F.col("id").alias("_held")).distinct()
             joined = states.join(held, states[schema.identity] == held["_held"], "left")
             states = joined.withColumn("state", F.when(F.col("_held").isNotNull(), "blocked").otherwise(F.col("state"))).drop("_held")
@@ -390,7 +391,7 @@ def replay(records: DataFrame, lookups: DataFrame, schema: TargetSchema, decisio
     records, whose answers hold on and whose open cases the first decisions may meet.
     """
     if last is None:
-        records = records.checkpoint()
+        records = written(records)
     overrides, left, result = copy.deepcopy(last.stages.overrides) if last else Overrides(), list(decisions), last
     while True:
         if result is None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators.cases import Overrides
+from quernstone.operators.tables import written
 from quernstone.plans import migrate
 from quernstone.plans.queries import set_checkpoints
 from quernstone.schema import read_schema
@@ -55,7 +56,7 @@ def test_one_parse(spark, exports):
 
 def test_runs_take_over(spark, exports):
     schema, lookups = read_schema(SCHEMA), files.load_lookups(exports)
-    records = exports.checkpoint()
+    records = written(exports)
     steps = [
         lambda o: o.date_formats.update({("payroll.csv", "Birth Date"): "%d/%m/%Y"}),
         lambda o: (o.values.update({("hr.csv##5", "last_name"): "Other", ("hr.csv##8", "grade"): "SENIOR"}), o.identity.update({("agency.csv##1", "hr.csv##9"): True, ("agency.csv##2", "hr.csv##10"): False})),
