@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+from math import exp, inf, log1p
+
 import numpy as np
 
 _P = 0x9E3779B97F4A7C15 | 1
 _SLOTS = 20
 NONE = -1
+#: Words of about one length that are worth taking together, position by position; fewer, as long words are, go one at a time, all positions of a block together.
+FEW, BLOCK = 48, 1 << 16
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +142,63 @@ def _forward(pieces: Pieces, grid: np.ndarray, keep: list | None = None) -> np.n
     return alpha
 
 
+class _Single:
+    """The lattice of one word, of any length: edges are found a block of positions at a time and never held for the whole word."""
+
+    def __init__(self, pieces: Pieces, grid: np.ndarray) -> None:
+        self.pieces, self.width = pieces, len(grid)
+        power, inverse = _powers(self.width)
+        self.inverse = inverse * pieces.mix[0]
+        self.prefix = np.zeros(self.width + 1, np.uint64)
+        np.cumsum(_BYTES[grid] * power, dtype=np.uint64, out=self.prefix[1:])
+        self.starts = range(1, self.width + 1, BLOCK)
+
+    def edges(self, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends, lengths and pieces of the edges that end in a block, by end, then length."""
+        ends, found = np.arange(start, min(start + BLOCK, self.width + 1)), []
+        for length in self.pieces.lengths:
+            own = ends[ends >= length]
+            at, ids = self.pieces.find((self.prefix[own] - self.prefix[own - length]) * self.inverse[own - length])
+            found.append((own[at], np.full(len(at), length), ids))
+        end, size, ids = map(np.concatenate, zip(*found))
+        order = np.argsort(end, kind="stable")
+        return end[order], size[order], ids[order]
+
+    def forward(self) -> np.ndarray:
+        """As a column of _forward()."""
+        alpha = array("d", [0.0]) + array("d", [-inf]) * self.width
+        for start in self.starts:
+            end, size, ids = self.edges(start)
+            for e, s, lp in zip(end.tolist(), (end - size).tolist(), self.pieces.logp[ids].tolist()):
+                alpha[e] = _either(alpha[e], alpha[s] + lp)
+        return np.array(alpha)
+
+    def uses(self, weight: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces and their expected uses, weighed, block after block from the end."""
+        alpha = self.forward()
+        beta = array("d", [-inf]) * self.width + array("d", [0.0])
+        for start in reversed(self.starts):
+            end, size, ids = self.edges(start)
+            for e, s, lp in zip(end[::-1].tolist(), (end - size)[::-1].tolist(), self.pieces.logp[ids][::-1].tolist()):
+                beta[s] = _either(beta[s], lp + beta[e])
+            through = np.array(beta[start : start + BLOCK])[end - start] + self.pieces.logp[ids]
+            yield ids, np.exp(alpha[end - size] + through - alpha[-1]) * weight
+
+
+def _either(a: float, b: float) -> float:
+    """Log of the sum of two probabilities by their logs."""
+    d = b - a
+    return b if a == -inf else b + log1p(exp(-d)) if d > 0 else a + log1p(exp(d))
+
+
 def word_logp(words: list[bytes], pieces: Pieces) -> np.ndarray:
     """Natural log of each word's probability, marginal over its segmentations."""
     out = np.zeros(len(words))
     for some, grid, sizes in _chunks(words):
-        out[some] = _forward(pieces, grid)[sizes, np.arange(len(some))]
+        if len(some) < FEW:
+            out[some] = [_Single(pieces, row[:n]).forward()[-1] for row, n in zip(grid, sizes)]
+        else:
+            out[some] = _forward(pieces, grid)[sizes, np.arange(len(some))]
     return out
 
 
@@ -148,6 +206,11 @@ def expected_pieces(words: list[bytes], counts: np.ndarray, pieces: Pieces) -> n
     """Expected number of uses of each piece over the words, each counted so often, by forward and backward recursion."""
     total = np.zeros(len(pieces.pieces))
     for some, grid, sizes in _chunks(words):
+        if len(some) < FEW:
+            for row, n, weight in zip(grid, sizes, counts[some]):
+                for ids, use in _Single(pieces, row[:n]).uses(weight):
+                    total += np.bincount(ids, use, len(total))
+            continue
         edges: list = []
         alpha = _forward(pieces, grid, edges)
         rows = np.arange(len(some))
