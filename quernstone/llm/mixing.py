@@ -18,19 +18,18 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST_COPIES = 1.5, 2
 #: The dynamic program starts once the remaining budget is at most so many times the longest document.
 TABLE_SPAN = 4
-#: Sums of its table times pieces that it may look at, some seconds; beyond that the nearest sum found so far stands.
-TABLE_STEPS = 4_000_000_000
 
 
 def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come as near to budget from below as can be reached.
 
-    Even shares of every length come first; single documents, longest first, then lower the remaining budget
+    Lengths count in units of their common divisor. Even shares of every length come first; single documents, longest first, then lower the remaining budget
     to TABLE_SPAN times the longest length; bounded-knapsack dynamic programming over powers of two of each
-    length's remaining documents settles it. If that misses the budget, each length gives back a document, then two, and so
-    on until the budget is met or nothing is left to give: then the sum is the best there is. Only a table above
-    TABLE_STEPS ends the search before.
+    length's remaining documents settles it. If that misses the budget by more than least_gap() says any subset must, each length gives back a
+    document, then two, and so on until it doesn't or nothing is left to give: either way the sum is the best there is.
     """
+    unit = int(np.gcd.reduce(lengths))
+    lengths, budget = lengths // unit, budget // unit
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -43,18 +42,32 @@ def subset_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.nd
         more = min(int(counts[i] - take[i]), max(0, (left - (TABLE_SPAN - 1) * longest) // int(lengths[i])))
         take[i] += more
         left -= more * int(lengths[i])
-    best, gap, back = take, left, 0
+    best, gap, back, least = take, left, 0, least_gap(lengths, counts, budget)
     while True:
         kept = take - np.minimum(take, back)
         tried, missed = _filled(lengths, counts, kept, budget - int((lengths * kept).sum()))
         if missed < gap or not back:
             best, gap = tried, missed
         back = max(1, 2 * back)
-        step = int((lengths * np.minimum(take, back)).sum()) + left
-        if not gap or not kept.any() or step * float(np.log2(counts + 1).sum()) > TABLE_STEPS:
+        if gap <= least or not kept.any():
             return best
 
 
+def least_gap(lengths: np.ndarray, counts: np.ndarray, budget: int) -> int:
+    """No subset comes nearer to budget from below: what the lengths leave over in multiples of the commonest one, taken as often as one likes, plus any subset of the others."""
+    most = int(np.argmax(counts))
+    step = int(lengths[most])
+    rest = np.zeros(step, bool)
+    rest[0] = True
+    for i in np.argsort(-counts, kind="stable"):
+        free, k = (0 if i == most else min(int(counts[i]), step - 1)), 1
+        while free > 0 and not rest.all():
+            k = min(k, free)
+            rest |= np.roll(rest, k * int(lengths[i]) % step)
+            free, k = free - k, 2 * k
+    return int(((budget - np.flatnonzero(rest)) % step).min())
+
+
 def _filled(lengths: np.ndarray, counts: np.ndarray, kept: np.ndarray, left: int) -> tuple[np.ndarray, int]:
     """kept and more documents, whose words come as near to left from below as the others allow; and how many words are missed."""
     by = np.full(left + 1, -1, dtype=np.int32)  # the piece that first reached a sum
