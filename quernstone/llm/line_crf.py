@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quernstone.llm.common import SPACES, arrow_map, crc_rest, guarded, lowest, read_table, text_or_empty
 
-#: So many labels, those with the lowest hash of doc_id, fit the model, as long as their documents have FIT_LINES lines together at most; texts are never cut.
+#: So many labels, those with the lowest hash of doc_id, fit the model, but for documents with which they would have more than FIT_LINES lines together; texts are never cut.
 FIT_DOCS, FIT_LINES = 3000, 300_000
 #: A chain of the fit has so many lines at most; a longer text is several, and all its lines count.
 CHAIN = 200
@@ -220,7 +220,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_
     """docs: doc_id, text. labels: doc_id, quality, of which the fit_docs with the lowest hash of doc_id are used.
 
     Labels other than 0 and 1, and labels without a document, don't count. The driver gets features of whole texts, never
-    texts, in the order of the hash, and stops before a document with which they would have more than fit_lines lines; the
+    texts, in the order of the hash, and passes over a document with which they would have more than fit_lines lines; the
     first is always taken.
     """
     chosen = lowest(labels.select("doc_id", "quality").where("quality in (0, 1)"), F.xxhash64("doc_id", "quality"), fit_docs)
@@ -233,9 +233,9 @@ def fit_field(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_
     rows = arrow_map(some, [T.StructField("f", T.BinaryType()), T.StructField("n", T.ArrayType(T.DoubleType()))], features, drop=("text",))
     taken, lines = [], 0
     for r in rows.orderBy(F.xxhash64("doc_id"), F.col("doc_id").cast("string"), F.size("n"), "quality").toLocalIterator():
+        if taken and lines + len(r.n) > fit_lines:
+            continue
         lines += len(r.n)
-        if taken and lines > fit_lines:
-            break
         taken.append((np.frombuffer(zlib.decompress(r.f), "<f4").reshape(-1, WIDTH).astype(float), list(r.n), r.quality))
     return LineField.fit(taken)
 

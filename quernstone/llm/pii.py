@@ -326,7 +326,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_nodes: int = FIT_NODES) -> SkipChain:
-    """Fits on the tokens of the fit_docs documents with the lowest hash, as the patterns label them; the driver stops before a document with which it would have more than fit_nodes tokens, the first apart."""
+    """Fits on the tokens of the fit_docs documents with the lowest hash, as the patterns label them; the driver passes over a document with which it would have more than fit_nodes tokens, the first apart."""
     some = sampled_docs(docs, fit_docs)
 
     def graphs(batch: pa.RecordBatch) -> dict:
@@ -340,9 +340,10 @@ def fit_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_nodes: int = FIT_NO
     kind = T.ArrayType(T.StructType([T.StructField("x", nested(T.DoubleType())), T.StructField("y", T.ArrayType(T.IntegerType())), T.StructField("k", nested(T.StringType()))]))
     taken, nodes = [], 0
     for r in arrow_map(some, [T.StructField("graphs", kind)], graphs, drop=("text",)).where(F.size("graphs") > 0).orderBy("_h").toLocalIterator():
-        nodes += sum(len(g.y) for g in r.graphs)
-        if taken and nodes > fit_nodes:
-            break
+        own = sum(len(g.y) for g in r.graphs)
+        if taken and nodes + own > fit_nodes:
+            continue
+        nodes += own
         taken += [(g.x, g.y, g.k) for g in r.graphs]
     return SkipChain.fit(taken)
 
