@@ -24,15 +24,22 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "body", "div"
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ASIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation"
-    " breadcrumb breadcrumbs footer header masthead comment comments respond disqus replies related recommended share sharing social widget pagination pager login signin signup search toolbar skip alert complementary contentinfo".split()
+    " breadcrumb breadcrumbs footer header masthead comment comments commentlist commentform respond disqus replies related recommended share sharing sharedaddy social teaser teasers widget pagination pager login signin signup search toolbar skip alert complementary contentinfo".split()
 )
+#: Names that mean an aside only if they stand alone.
+ASIDE_NAMES = {"secondary", "tertiary", "colophon"}
+#: Words of readers' comments, which may be long and stand in the article.
+COMMENT_WORDS = {"comment", "comments", "commentlist", "commentform", "respond", "disqus", "replies"}
 #: Words that go with those of an aside and say nothing themselves.
-FILLERS = set("area articles bar block box bottom button buttons container content element form group holder inner item items left links list module outer panel posts right row section site slot stories top unit wrap wrapper x y z".split())
+FILLERS = set("area articles bar count feed google icon icons inline media reader readers thread tools user users block box bottom button buttons container content element form group holder inner item items left links list module outer panel posts right row section site slot stories top unit wrap wrapper x y z".split())
 MAIN_TAGS = {"article", "main"}
 #: Inside the main element these words mean the article's own heading.
 OWN_HEADER = {"header", "masthead", "banner"}
-#: Classes that say what a layout has or lacks, not what an element is.
-LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][a-z_-]+")
+#: Classes that say what a layout has or lacks, or a state, not what an element is.
+LAYOUT = re.compile(r"\b(?:no|has|with|without)[-_][a-z_-]+|[a-z_-]+[-_](?:open|opened|closed|enabled|disabled|allowed|less|free|layout|image|theme|template)\b[a-z_-]*")
+#: An element that only some word of its names marks is none if it has at least so many times the text without links that the rest has; readers' comments may well be longer than what they are about.
+HEAVY, HEAVY_COMMENTS = 1, 4
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
 #: What follows a tag's name: quotes count only where a value starts; a value that isn't closed ends with the tag.
@@ -47,6 +54,7 @@ class Element:
     parent: int
     depth: int
     said: str
+    hidden: bool = False
 
 
 @dataclass(slots=True)
@@ -174,7 +182,7 @@ class Reader:
                     place = outer  # a cell, and the row around it
                 self._pop(place)
         said = " ".join(m[1] or m[2] or m[3] or "" for m in HINT.finditer(attributes)).lower() if attributes else ""
-        self.elements.append(Element(tag, self.stack[-1], len(self.stack), said))
+        self.elements.append(Element(tag, self.stack[-1], len(self.stack), said, bool(attributes and HIDDEN.search(attributes))))
         self.places[tag].append(len(self.stack))
         self.scopes.append(len(self.stack) if tag in SCOPES else self.scopes[-1])
         self.stack.append(len(self.elements) - 1)
@@ -199,7 +207,7 @@ def _wholly(said: str, marks: set[str]) -> bool:
     """Whether some class, id or role consists of marks and fillers, with a mark among them."""
     for name in LAYOUT.sub("", said).split():
         words = {w for w in re.split(r"[^a-z]+", name) if w}
-        if words & marks and words <= marks | FILLERS:
+        if words & marks and words <= marks | FILLERS or name in ASIDE_NAMES:
             return True
     return False
 
@@ -212,22 +220,50 @@ class Marks:
     main: list[int]
 
 
-def mark(elements: list[Element], strict: bool, freed: set[int]) -> Marks:
-    """Asides by tag and by words; inside an article, and everywhere if strict, only names that say nothing else count. Elements in freed are none by their words, nor a header or form."""
-    aside, main = [False] * len(elements), [-1] * len(elements)
+def _unlinked(reader: Reader, gone: list[bool]) -> list[int]:
+    """Characters without links of each element with all that it holds, but for elements that are gone."""
+    held = [0] * len(reader.elements)
+    for b in reader.blocks:
+        if not gone[b.element]:
+            held[b.element] += max(0, len("".join(b.parts).strip()) - b.linked)
+    for i in range(len(held) - 1, 0, -1):
+        if not gone[i]:
+            held[reader.elements[i].parent] += held[i]
+    return held
+
+
+def mark(reader: Reader, strict: bool, freed: set[int]) -> Marks:
+    """Asides by tag, by being hidden, by names that say nothing else, and, unless strict, outside an article by any word of a name.
+
+    A name that only holds such a word is weak evidence: it counts for an element with less text than the rest of the page. Words of readers' comments
+    count inside an article too. Elements in freed are no asides by their names, nor as a header or form.
+    """
+    elements = reader.elements
+    off, main, weak = [False] * len(elements), [-1] * len(elements), [0] * len(elements)
     for i, e in enumerate(elements):
         if not i:
             continue
         around = main[e.parent]
-        off = e.tag in ASIDE_TAGS or e.tag == "header" and around < 0
+        out = e.tag in ASIDE_TAGS or e.tag == "header" and around < 0
         if i in freed:
-            off = off and e.tag not in ("form", "header")
-        elif not off and e.said and e.tag not in ("html", "body"):
-            marks = ASIDE_WORDS - OWN_HEADER if around >= 0 else ASIDE_WORDS
-            off = _wholly(e.said, marks) if strict or around >= 0 or e.tag in MAIN_TAGS else not _words(e.said).isdisjoint(marks)
-        aside[i] = off or aside[e.parent]
-        main[i] = around if around >= 0 else i if e.tag in MAIN_TAGS and not aside[i] else -1
-    return Marks(aside, main)
+            out = out and e.tag not in ("form", "header")
+        elif e.tag not in ("html", "body"):
+            out = out or e.hidden
+            if not out and e.said:
+                marks = ASIDE_WORDS - OWN_HEADER if around >= 0 else ASIDE_WORDS
+                words = _words(e.said)
+                out = _wholly(e.said, marks)
+                if not out and not strict and not words.isdisjoint(marks) and e.tag not in MAIN_TAGS:
+                    weak[i] = HEAVY_COMMENTS if not words.isdisjoint(COMMENT_WORDS) else HEAVY if around < 0 else 0
+        off[i] = out or off[e.parent]
+        main[i] = around if around >= 0 else i if e.tag in MAIN_TAGS and not off[i] else -1
+    for times in (HEAVY_COMMENTS, HEAVY):
+        if times not in weak:
+            continue
+        held = _unlinked(reader, off)
+        for i, e in enumerate(elements):
+            off[i] = off[i] or i > 0 and off[e.parent] or weak[i] == times and held[i] < times * (held[0] - held[i])
+    return Marks(off, [-1 if gone else m for gone, m in zip(off, main)])
 
 
 #: Paths are smoothed over so many paths that first appear before and after them, as far as they part at most SPREAD levels up.
@@ -360,7 +396,7 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
             articles.add(i)
     kept: list[Block] = []
     for strict in (False, True):
-        marks = mark(elements, strict, set())
+        marks = mark(reader, strict, set())
         if not articles or any(marks.main[e] >= 0 for e in filled):
             if kept := _chosen(reader, marks, threshold):
                 break
@@ -370,7 +406,7 @@ def main_text(page: str, threshold: float = THRESHOLD) -> str:
             while e > 0 and e not in freed:
                 freed.add(e)
                 e = elements[e].parent
-        kept = _chosen(reader, mark(elements, True, freed), threshold)
+        kept = _chosen(reader, mark(reader, True, freed), threshold)
     return "\n".join(x for b in kept if (x := b.text()))
 
 

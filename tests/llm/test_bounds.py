@@ -75,3 +75,37 @@ def test_fits_pass_over_long_documents(spark):
     huge = [(500, " ".join(f"a{i}@b{i}.example" for i in range(3000)))]
     model = pii.fit_model(spark.createDataFrame(mails + huge, "doc_id long, text string"), fit_nodes=400)
     assert model is not None
+
+
+PARAGRAPHS = [f"Paragraph {i} of the article says something at some length, and it goes on for a while. It ends here." for i in range(6)]
+P = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+READERS = "<p>Great post, I liked it a lot.</p><p>So did I, really, every word of it.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "first"),
+    [
+        (f'<h1>Title of it</h1><div class="post comments-open">{P}</div>', "Title of it"), (f'<h1>Title of it</h1><div class="left-sidebar-layout">{P}</div>', "Title of it"),
+        (f'<h1>Title of it</h1><div class="post header-image">{P}</div>', "Title of it"), (f'<div id="header-less-page">{P}</div>', None), (f'<div class="two-column-sidebar-page">{P}</div><p>Skip.</p>', None),
+        (f'<div class="banner-story">{P}</div><div class="my-comments-x">{READERS}</div>', None),
+        (f'<article>{P}<ol class="commentlist">{READERS}</ol></article>', None), (f'<article>{P}<div class="comment-thread">{READERS}</div></article>', None),
+        (f'<article>{P}<section class="reader-comments">{READERS}</section></article>', None), (f'<article>{P}<div class="story-comments-v2">{READERS * 3}</div></article>', None),
+        (f'<article>{P}<div class="sharedaddy">Share this</div><div class="google-ad">Buy.</div><div class="social-media-share">Tweet</div><div class="newsletter-promo-inline">Sign up.</div></article>', None),
+        (f'<article>{P}</article><div id="secondary"><ul><li>Recent one</li></ul></div><article class="teaser"><p>Another story, in short. Read it.</p></article>', None),
+        (f'<article>{P}<div hidden>Hidden words, some of them.</div><div style="display: none">More.</div></article>', None),
+        (f'<article class="post has-comments">{P}<section class="related-work"></section></article>', None),
+    ],
+)
+def test_article_stays_and_asides_go(page, first):
+    from quernstone.llm.html_text import main_text
+
+    page = f"<body><nav><a href=x>Home</a></nav>{page}<footer>c</footer></body>"
+    got = main_text(page).split("\n")
+    assert [x for x in got if x not in (first, "Skip.")] == PARAGRAPHS
+
+
+def test_words_of_a_section_keep_its_text():
+    from quernstone.llm.html_text import main_text
+
+    page = f'<article>{P}<section class="related-work"><p>Others did so before, as we say here.</p></section><div class="search-results-table"><p>A table of it, row by row.</p></div></article>'
+    assert main_text(page).split("\n") == [*PARAGRAPHS, "Others did so before, as we say here.", "A table of it, row by row."]
