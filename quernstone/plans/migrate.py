@@ -175,7 +175,7 @@ def _first_stages(records: DataFrame, evidence: Evidence, fed: dict, schema: Tar
     names = [f.name for f in schema.fields]
     built = written(build(records, fed, schema))
     values = written(_read_values(built, names, overrides))
-    pairs = written(matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]]), values, schema).where("decision <> 'no_match'"))
+    pairs = written(matching.matched_pairs(values, schema))
     folded = written(matching.reconcile(pairs, human, with_component=True))
     return Stages(copy.deepcopy(overrides), evidence, fed, built, values, pairs, folded, *_entities(values, folded, names))
 
@@ -212,7 +212,7 @@ def _next_stages(last: Stages, records: DataFrame, fed: dict, schema: TargetSche
     if stale or ids:
         gone = lambda side: touched.select(F.col("record_id").alias(side))
         stay = pairs.join(gone("left_id"), "left_id", "left_anti").join(gone("right_id"), "right_id", "left_anti")
-        fresh = written(matching.compare_pairs(matching.candidate_pairs(values, schema.blocking or [[schema.identity]], only=touched), values, schema).where("decision <> 'no_match'"))
+        fresh = written(matching.matched_pairs(values, schema, only=touched))
         left = pairs.join(gone("left_id"), "left_id", "left_semi").unionByName(pairs.join(gone("right_id"), "right_id", "left_semi"))
         both = left.select("left_id", "right_id").unionByName(fresh.select("left_id", "right_id"))
         ends = written(touched.union(both.select("left_id")).union(both.select("right_id")).distinct())
