@@ -139,12 +139,13 @@ def mask_patterns(spark, sf_dir):
 # --- mapping ----------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT i, CASE WHEN i % 9 = 0 THEN 0.0::DOUBLE ELSE round(CASE WHEN i % 2 = 0 THEN m ELSE 0.75 * m + 0.25 * (i / 50.0) END, 4)::DOUBLE END AS score
-FROM (SELECT i, (0.25 * (i % 10 / 10.0::DOUBLE) + 0.2 * (i % 7 / 7.0::DOUBLE) + 0.2 * (i / 50.0::DOUBLE)) / 0.65 AS m FROM (SELECT unnest(generate_series(1, 50)) AS i))""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 0.0::DOUBLE ELSE round(CASE WHEN p_partkey % 2 = 0 THEN m ELSE 0.75 * m + 0.25 * (p_size / 50.0::DOUBLE) END, 4)::DOUBLE END AS score
+FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 4 = 0 THEN (0.25 * (p_partkey % 10 / 10.0::DOUBLE) + 0.2 * (p_size / 50.0::DOUBLE)) / 0.45 ELSE (0.25 * (p_partkey % 10 / 10.0::DOUBLE) + 0.2 * (p_partkey % 7 / 7.0::DOUBLE) + 0.2 * (p_size / 50.0::DOUBLE)) / 0.65 END AS m FROM part)""")
 def composite_scores(spark, sf_dir):
-    """Measured signals in their weights; a veto takes all, a vote moves a quarter."""
-    rows = [(i, float(scoring.Candidate("f", {"type": i % 10 / 10, "constraint": i % 7 / 7, "name": i / 50}, ["type"] if i % 9 == 0 else [], None if i % 2 == 0 else i / 50).score)) for i in range(1, 51)]
-    return spark.createDataFrame(rows, "i int, score double")
+    """Measured signals of all parts in their weights; every fourth lacks one, a veto takes all, a vote moves a quarter."""
+    k, size = F.col("p_partkey"), F.col("p_size") / 50
+    signals = {"type": k % 10 / 10, "constraint": F.when(k % 4 != 0, k % 7 / 7), "name": size}
+    return table(spark, sf_dir, "part").select("p_partkey", scoring.composite(signals, k % 9 == 0, F.when(k % 2 != 0, size)).alias("score"))
 
 
 # --- matching and cases -----------------------------------------------------------------------------------------------
@@ -228,13 +229,13 @@ def payload_errors(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload")).select("o_orderkey", F.array_join(delivery.payload_errors(rules), ",").alias("errors"))
 
 
-@query("""WITH r AS (SELECT user_id % 20 AS run_id, event_id % 30 AS version, event_type AS rules, event_id AS tm FROM events WHERE event_id % 3 > 0 OR user_id % 2 > 0),
+@query("""WITH r AS (SELECT user_id % 20 AS run_id, event_id % 30 * (1 + user_id % 2) AS version, event_type AS rules, event_id AS tm FROM events),
 own AS (SELECT run_id, version, arg_max(rules, tm) AS a FROM r GROUP BY ALL), every AS (SELECT version, arg_max(rules, tm) AS b FROM r GROUP BY ALL)
 SELECT run_id, version, coalesce(a, b) AS rules FROM (SELECT * FROM (SELECT DISTINCT run_id FROM r), every) LEFT JOIN own USING (run_id, version)""")
 def known_rules(spark, sf_dir):
-    """Rules of each run and version; every third event of even users registers nothing."""
-    e = table(spark, sf_dir, "events").where("event_id % 3 > 0 or user_id % 2 > 0")
-    return delivery.known_rules(e.select((F.col("user_id") % 20).alias("run_id"), (F.col("event_id") % 30).alias("version"), F.col("event_type").alias("rules"), F.col("event_id").alias("at")))
+    """Rules of each run and version; odd users register even versions only, up to twice as far."""
+    e, version = table(spark, sf_dir, "events"), F.col("event_id") % 30 * (1 + F.col("user_id") % 2)
+    return delivery.known_rules(e.select((F.col("user_id") % 20).alias("run_id"), version.alias("version"), F.col("event_type").alias("rules"), F.col("event_id").alias("at")))
 
 
 @query("SELECT event_id AS record_id, 'r' || user_id % 5 AS run_id, ts AS received_at FROM events WHERE user_id % 5 = 1 AND event_type <> 'error'")
