@@ -15,8 +15,8 @@ from quernstone.llm.common import SPACES, arrow_map, crc_rest, guarded, lowest,
 
 #: So many labels, those with the lowest hash of doc_id, fit the model, but for documents with which they would have more than FIT_LINES lines together; texts are never cut.
 FIT_DOCS, FIT_LINES = 3000, 300_000
-#: A chain of the fit has so many lines at most; a longer text is several, and all its lines count.
-CHAIN = 200
+#: Lines of the chains that the fit takes together, padded to one length; a longer chain is taken alone, and whole.
+TOGETHER = 50_000
 #: What a document's label says of the length-weighted share of its good lines: at least, and at most.
 GOOD_SHARE, BAD_SHARE = 0.9, 0.5
 THRESHOLD = 0.7
@@ -146,44 +146,74 @@ def _logit(p: float) -> float:
 
 
 def _chains(docs: list, weight: dict[int, float]) -> list[tuple[np.ndarray, ...]]:
-    """Groups of chains of about one length: features, mask, document, a line's length by its document's mean, and a line's weight. A document counts once, however many lines it has."""
-    pieces = [(i, at) for i, (f, _, _) in enumerate(docs) for at in range(0, len(f), CHAIN)]
-    size = lambda p: min(CHAIN, len(docs[p[0]][0]) - p[1])
-    pieces.sort(key=lambda p: (size(p), p))
-    groups = []
-    for start in range(0, len(pieces), 256):
-        own = pieces[start:start + 256]
-        longest = size(own[-1])
+    """Groups of chains of about one length, each a whole text: features, mask, document, a line's length by its document's mean, and a line's weight. A document counts once, however many lines it has."""
+    order = sorted(range(len(docs)), key=lambda i: (len(docs[i][0]), i))
+    groups, start = [], 0
+    while start < len(order):
+        end = start + 1
+        while end < len(order) and (end + 1 - start) * len(docs[order[end]][0]) <= TOGETHER:
+            end += 1
+        own, longest = order[start:end], len(docs[order[end - 1]][0])
         x, mask, share = np.zeros((len(own), longest, WIDTH)), np.zeros((len(own), longest), bool), np.zeros((len(own), longest))
-        for k, (i, at) in enumerate(own):
+        for k, i in enumerate(own):
             f, n, _ = docs[i]
-            part = slice(at, at + CHAIN)
-            m = len(f[part])
-            x[k, :m], mask[k, :m], share[k, :m] = f[part], True, np.array(n[part]) / (sum(n) / len(n))
-        doc = np.array([i for i, _ in own])
-        groups.append((x, mask, doc, share, np.array([weight[docs[i][2]] / len(docs[i][0]) for i in doc])))
+            x[k, :len(f)], mask[k, :len(f)], share[k, :len(f)] = f, True, np.array(n) / (sum(n) / len(n))
+        groups.append((x, mask, np.array(own), share, np.array([weight[docs[i][2]] / len(docs[i][0]) for i in own])))
+        start = end
     return groups
 
 
+def _through(a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Log of sums over the first of the last two axes of m, from what a says of it."""
+    return np.logaddexp(a[..., 0, None] + m[..., 0, :], a[..., 1, None] + m[..., 1, :])
+
+
+def _messages(u: np.ndarray, chain: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of padded chains.
+
+    Lines are dealt into blocks of about the root of their number: first all blocks at once, line by line, for either label on the far side of
+    their edge; then block by block. So a chain of any length takes steps in proportion to the root of it.
+    """
+    n, longest, _ = u.shape
+    size = max(1, math.isqrt(longest))
+    blocks = -(-longest // size)
+    pad = ((0, 0), (0, blocks * size - longest))
+    u, mask = np.pad(u, (*pad, (0, 0))).reshape(n, blocks, size, 2), np.pad(mask, pad).reshape(n, blocks, size)
+    with np.errstate(divide="ignore"):
+        same = np.log(np.eye(2))
+    fore, back = np.empty((2, n, blocks, size, 2, 2))
+    at = np.broadcast_to(same, (n, blocks, 2, 2))
+    for t in range(size):
+        step = _through(at, chain) + u[:, :, t, None, :]
+        if not t:
+            step[:, 0] = u[:, 0, 0, None, :]  # nothing stands before the first line
+        at = fore[:, :, t] = np.where(mask[:, :, t, None, None], step, at)
+    at = back[:, :, -1] = np.broadcast_to(same, (n, blocks, 2, 2))
+    for t in range(size - 2, -1, -1):
+        step = np.logaddexp((chain[:, 0] + u[:, :, t + 1, 0, None])[..., None] + at[:, :, 0, None, :], (chain[:, 1] + u[:, :, t + 1, 1, None])[..., None] + at[:, :, 1, None, :])
+        at = back[:, :, t] = np.where(mask[:, :, t + 1, None, None], step, at)
+    into, out = np.zeros((2, n, blocks, 2))
+    into[:, 0] = [0.0, -np.inf]
+    for k in range(1, blocks):
+        into[:, k] = _through(into[:, k - 1], fore[:, k - 1, -1])
+    for k in range(blocks - 2, -1, -1):
+        nxt = np.logaddexp(back[:, k + 1, 0, :, 0] + out[:, k + 1, None, 0], back[:, k + 1, 0, :, 1] + out[:, k + 1, None, 1]) + u[:, k + 1, 0]
+        out[:, k] = np.where(mask[:, k + 1, 0, None], np.logaddexp(nxt[:, 0, None] + chain[:, 0], nxt[:, 1, None] + chain[:, 1]), 0.0)
+    forward = _through(into[:, :, None, :], fore)
+    backward = np.logaddexp(back[..., 0] + out[:, :, None, 0, None], back[..., 1] + out[:, :, None, 1, None])
+    return forward.reshape(n, -1, 2)[:, :longest], backward.reshape(n, -1, 2)[:, :longest]
+
+
 def _expected(u: np.ndarray, chain: np.ndarray, mask: np.ndarray, tilt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of lines (chains, lines, label) and of neighbours (chains, label, label, summed) of padded chains; tilt is added to the log odds of good."""
-    n, longest, _ = u.shape
     u = u * mask[:, :, None]
     if tilt is not None:
         u[:, :, 1] += tilt * mask
-    fore, back = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-    fore[:, 0] = u[:, 0]
-    for t in range(1, longest):
-        step = np.logaddexp(fore[:, t - 1, 0, None] + chain[0], fore[:, t - 1, 1, None] + chain[1]) + u[:, t]
-        fore[:, t] = np.where(mask[:, t, None], step, fore[:, t - 1])
-    for t in range(longest - 2, -1, -1):
-        nxt = back[:, t + 1] + u[:, t + 1]
-        step = np.logaddexp(nxt[:, 0, None] + chain[:, 0], nxt[:, 1, None] + chain[:, 1])
-        back[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
+    fore, back = _messages(u, chain, mask)
     z = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
     p = np.exp(fore + back - z[:, None, None]) * mask[:, :, None]
-    pairs = np.zeros((n, 2, 2))
-    if longest > 1:
+    pairs = np.zeros((len(u), 2, 2))
+    if u.shape[1] > 1:
         joint = np.exp(fore[:, :-1, :, None] + chain + (u + back)[:, 1:, None, :] - z[:, None, None, None])
         pairs = (joint * mask[:, 1:, None, None]).sum(1)
     return p, pairs

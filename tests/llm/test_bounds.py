@@ -109,3 +109,51 @@ def test_words_of_a_section_keep_its_text():
 
     page = f'<article>{P}<section class="related-work"><p>Others did so before, as we say here.</p></section><div class="search-results-table"><p>A table of it, row by row.</p></div></article>'
     assert main_text(page).split("\n") == [*PARAGRAPHS, "Others did so before, as we say here.", "A table of it, row by row."]
+
+
+def test_chains_of_any_length():
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 17, 64, 130]
+    u, chain = rng.standard_normal((len(sizes), 130, 2)) * 2, rng.standard_normal((2, 2))
+    mask = np.arange(130) < np.array(sizes)[:, None]
+    p, pairs = line_crf._expected(u, chain, mask)
+    for k, n in enumerate(sizes):
+        fore, back = u[k, :n].copy(), np.zeros((n, 2))
+        for t in range(1, n):
+            fore[t] += np.logaddexp(fore[t - 1, 0] + chain[0], fore[t - 1, 1] + chain[1])
+        for t in range(n - 2, -1, -1):
+            nxt = back[t + 1] + u[k, t + 1]
+            back[t] = np.logaddexp(nxt[0] + chain[:, 0], nxt[1] + chain[:, 1])
+        z = np.logaddexp(*fore[-1])
+        assert np.allclose(p[k, :n], np.exp(fore + back - z)) and not p[k, n:].any()
+        assert np.allclose(p[k, :n, 1], line_crf.marginals(u[k, :n], chain))
+        both = sum((np.exp(fore[t, :, None] + chain + (u[k, t + 1] + back[t + 1])[None, :] - z) for t in range(n - 1)), np.zeros((2, 2)))
+        assert np.allclose(pairs[k], both)
+
+
+def test_a_lone_odd_line_is_smoothed():
+    rng = random.Random(5)
+    good, bad = "Here is a plain line of some length, as prose goes.", "$$$ BUY now !!! %%% click"
+    docs = []
+    for i in range(80):
+        lines = [rng.choice([good, good, good, bad]) if i % 2 else rng.choice([bad, bad, bad, good]) for _ in range(12)]
+        features, n = line_crf.document_features("\n".join(lines))
+        docs.append((features, n.tolist(), i % 2))
+    field = line_crf.LineField.fit(docs)
+    assert abs(field.chain).max() > 0.05
+    pulled = field.w.copy()
+    alone = line_crf.LineField(pulled, np.zeros((2, 2)), 0.0, 1.0)
+    features, n = line_crf.document_features("\n".join([good] * 5 + [bad] + [good] * 5))
+    with_chain = line_crf.marginals(features @ field.w, np.array([[1.5, -1.5], [-1.5, 1.5]]))[5]
+    assert with_chain > line_crf.marginals(features @ alone.w, alone.chain)[5]
+
+
+def test_arguments_name_odd_columns(spark):
+    from quernstone.llm import host_rules, mixing, sharding
+
+    docs = spark.createDataFrame([(1, "a b c", "x", "x"), (2, "d e f g", "y", "y")], "doc_id long, _t string, _host string, _s string")
+    assert {r.shard for r in sharding.shard_texts(docs, 2, text="_t").collect()} <= {0, 1}
+    judged = host_rules.judge(docs.withColumnRenamed("_t", "text"), host="_host").collect()
+    assert len(judged) == 2 and {r._host for r in judged} == {"x", "y"}
+    mixed = mixing.mix(docs.withColumn("text", docs["_t"]), mixing.word_count(), source="_s").collect()
+    assert {r._s for r in mixed} == {"x", "y"} and sum(r.copies for r in mixed) > 0
