@@ -37,7 +37,7 @@ _PLAIN = re.compile("[A-Za-z][A-Za-z0-9_]*")
 
 
 def guarded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """operator(docs, ...), which may use names that start with _ for itself: columns of docs with such or odd names go by others meanwhile."""
+    """operator(docs, ...), which may use names that start with _ for itself: columns of docs with such or odd names go by others meanwhile, in arguments that name them too."""
 
     @wraps(operator)
     def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
@@ -46,7 +46,8 @@ def guarded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         odd = {c: next(free) for c in docs.columns if not _PLAIN.fullmatch(c)}
         if not odd:
             return operator(docs, *args, **kwargs)
-        out = operator(docs.withColumnsRenamed(odd), *args, **kwargs)
+        told = lambda a: odd.get(a, a) if isinstance(a, str) else type(a)(map(told, a)) if isinstance(a, (tuple, list)) else a
+        out = operator(docs.withColumnsRenamed(odd), *map(told, args), **{k: told(a) for k, a in kwargs.items()})
         return out.withColumnsRenamed({v: k for k, v in odd.items() if v in out.columns})
 
     return run
