@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import content_key
+from quernstone.operators.tables import gapless
 
 # The classes of cases. The last two are declared and never raised here.
 CLASSES = (
@@ -64,8 +65,8 @@ def conflict_cases(found: DataFrame) -> DataFrame:
 
 
 def numbered(cases: DataFrame) -> DataFrame:
-    """cases with case_id: case-001 and on, in the order of their keys; for a page of cases that a list shows, as one task numbers them. Answers go by case_key."""
-    return cases.withColumn("case_id", F.format_string("case-%03d", F.row_number().over(Window.orderBy("case_key"))))
+    """cases with case_id: case-001 and on, in the order of their keys, whatever their number. Answers go by case_key."""
+    return gapless(cases, ["case_key"], "_seq").withColumn("case_id", F.format_string("case-%03d", "_seq")).drop("_seq")
 
 
 def worth_checking(cases: DataFrame, n: int = 10) -> DataFrame:

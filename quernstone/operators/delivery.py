@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import prefix_match
-from quernstone.operators.tables import written
+from quernstone.operators.tables import gapless, written
 
 SUCCESS, RETRYABLE = ("accepted", "duplicate"), ("transient", "uncertain")
 ATTEMPTS, BACKOFF = 3, (0.5, 1.5)
@@ -195,6 +195,13 @@ def audit_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, 32)
 
 
+def append_rows(log: DataFrame, rows: DataFrame, order: list[str]) -> DataFrame:
+    """log (id, seq and more) with those of rows whose id it lacks, numbered on from its last seq in order: a replay of what the log holds adds nothing, and numbers have no gaps. A repeated id among rows counts once."""
+    new = rows.dropDuplicates(["id"]).join(log.select("id"), "id", "left_anti")
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    return log.unionByName(gapless(new, [*order, "id"], "seq", last).select(*log.columns))
+
+
 def latest_rows(log: DataFrame, n: int = 500, by: str = "at") -> DataFrame:
     """The newest n rows: what the log's report shows."""
     return log.orderBy(F.desc(by), F.desc("seq")).limit(n)
