@@ -28,7 +28,7 @@ ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = ",;\t|"
 WRAPPERS = ("records", "data", "items", "rows", "results", "employees", "entities")
 SIDECAR = ".ocr.json"
-SUPPORTED = ("csv", "xlsx", "json", "yaml")
+SUPPORTED = ("csv", "xlsx", "json", "yaml", "pdf")
 #: Delimited files of more bytes are read in ranges.
 SPLIT_BYTES = 32 << 20
 
@@ -234,7 +234,7 @@ def parse(name: str, content: bytes) -> Iterator:
         return read_xlsx(content)
     if kind in ("json", "yaml"):
         return read_structured(name, content)
-    raise UnsupportedInput(f"{name}: {kind} files are not read here")
+    raise UnsupportedInput(f"{name}: {kind} files are not read here" + " under another name" * (kind == "pdf"))
 
 
 def _rows(name: str, content: bytes) -> list[tuple]:
@@ -249,8 +249,9 @@ def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def file_report(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """file, kind, supported, rows, columns (of the first record), note; a file that cannot be read says why."""
     from quernstone.sources.exports import read_exports
+    from quernstone.sources.pdf import read_documents, read_pages
 
-    whole, large = _by_size(spark, paths, split_bytes)
+    whole, large, pdfs = _by_kind(spark, paths, split_bytes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -261,29 +262,39 @@ def file_report(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_
                     rows = list(parse(r.name, bytes(r.content)))
                 except UnsupportedInput as e:
                     note = str(e)
-                out.append((r.name, kind, kind in SUPPORTED, len(rows), len(rows[0][3]) if rows else 0, note))
+                out.append((r.name, kind, kind in SUPPORTED and kind != "pdf", len(rows), len(rows[0][3]) if rows else 0, note))
             yield pd.DataFrame(out, columns=["file", "kind", "supported", "rows", "columns", "note"])
 
     report = whole.mapInPandas(run, "file string, kind string, supported boolean, rows int, columns int, note string")
+    told = lambda df, kind, supported, note: df.select("file", F.lit(kind).alias("kind"), supported.alias("supported"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "columns")), note.alias("note"))
+    if pdfs:
+        pages = read_pages(spark, pdfs).groupBy("file").agg(F.max("note").alias("note"), F.sum("chars").alias("chars"))
+        counts = read_documents(spark, pdfs).groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.max(F.size("cells")).alias("columns"))
+        why = F.when(F.col("note") != "", F.col("note")).when(F.col("chars") == 0, "no text on its pages; recognised words can be read beside it").otherwise("")
+        report = report.unionByName(told(pages.join(counts, "file", "left"), "pdf", F.col("note") == "", why))
     if not large:
         return report
     counts = read_exports(spark, large).groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.max(F.size("cells")).alias("columns"))
     names = spark.createDataFrame([(path.rsplit("/", 1)[-1],) for path in large], "file string").join(counts, "file", "left")
-    return report.unionByName(names.select("file", F.lit("csv").alias("kind"), F.lit(True).alias("supported"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "columns")), F.lit("").alias("note")))
+    return report.unionByName(told(names, "csv", F.lit(True), F.lit("")))
 
 
-def _by_size(spark: SparkSession, paths: list[str], split_bytes: int) -> tuple[DataFrame, list[str]]:
-    """_files() but for delimited ones above split_bytes, and the paths of those; only first lines of large files are read for it."""
+def _by_kind(spark: SparkSession, paths: list[str], split_bytes: int) -> tuple[DataFrame, list[str], list[str]]:
+    """_files() but for delimited ones above split_bytes and those named .pdf that are such, and the paths of both; contents are read for it but for first lines of large files."""
     from quernstone.sources.exports import is_export
 
-    listed = spark.read.format("binaryFile").load(paths).where(F.col("length") > split_bytes).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
-    large = [(r.path, is_export(spark, r.path, r.name)) for r in listed.collect() if not r.name.endswith(SIDECAR)]
-    if not large:
-        return _files(spark, paths), []
-    whole = _files(spark, paths).where(F.col("length") <= split_bytes)
-    if others := [literal_path(path) for path, export in large if not export]:
-        whole = whole.unionByName(_files(spark, others))
-    return whole, [path for path, export in large if export]
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length", name.alias("name")).where((F.col("length") > split_bytes) | F.lower("name").endswith(".pdf")).collect()
+    pdfs = [r.path for r in listed if r.name.lower().endswith(".pdf")]
+    large = [(r.path, is_export(spark, r.path, r.name)) for r in listed if r.path not in pdfs and not r.name.endswith(SIDECAR)]
+    whole = _files(spark, paths)
+    if large:
+        whole = whole.where(F.col("length") <= split_bytes)
+        if others := [literal_path(path) for path, export in large if not export]:
+            whole = whole.unionByName(_files(spark, others))
+    if pdfs:
+        whole = whole.where(~(F.lower("name").endswith(".pdf") & (F.substring("content", 1, 4) == F.lit(b"%PDF"))))
+    return whole, [path for path, export in large if export], [literal_path(path) for path in pdfs]
 
 
 def literal_path(path: str) -> str:
@@ -292,10 +303,14 @@ def literal_path(path: str) -> str:
 
 
 def read_records(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of all readable files; unreadable ones give none and are named by file_report(). Delimited files above split_bytes are read in ranges, with the same records; one of those that can't be parsed is an error."""
+    """Records of all readable files; unreadable ones give none and are named by file_report(). Delimited files above split_bytes are read in ranges, with the same records; one of those that can't be parsed is an error.
+
+    Files named .pdf give the tables of their text layers; with words recognised on scans, and how sure they are, pdf.read_documents() reads them.
+    """
     from quernstone.sources.exports import read_exports
+    from quernstone.sources.pdf import read_documents
 
-    whole, large = _by_size(spark, paths, split_bytes)
+    whole, large, pdfs = _by_kind(spark, paths, split_bytes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -308,6 +323,8 @@ def read_records(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT
             yield pd.DataFrame(out, columns=["record_id", "file", "sheet", "row", "path", "cells", "col_order"])
 
     records = whole.mapInPandas(run, RECORDS)
+    if pdfs:
+        records = records.unionByName(read_documents(spark, pdfs).select(*records.columns))
     return records.unionByName(read_exports(spark, large)) if large else records
 
 
