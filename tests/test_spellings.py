@@ -40,3 +40,12 @@ def test_composite_as_a_column(spark):
     for r in got.withColumn("score", scoring.composite({s: F.col(s) for s in ("type", "name", "mask")}, F.col("off"), F.col("vote"))).collect():
         signals = {s: r[s] for s in ("type", "name", "mask") if r[s] is not None}
         assert r.score == pytest.approx(scoring.Candidate("f", signals, ["type"] if r.off else [], r.vote).score, abs=1.01e-4)  # halves are rounded up here
+
+
+def test_pattern_or_allowed_value():
+    from types import SimpleNamespace
+
+    top = [SimpleNamespace(v=v, n=1) for v in ("A-1", "A-2", "other", "zz")]
+    profile = SimpleNamespace(column="code", types={}, top=top, sample=[], masks=[], non_null=4, cardinality_ratio=1.0, date_rate=None)
+    fit = lambda **how: scoring.score_pair(profile, Field("code", **how)).signals.get("constraint")
+    assert fit(pattern="^A-[0-9]$") == 0.5 and fit(allowed=["Other"]) == 0.25 and fit(pattern="^A-[0-9]$", allowed=["Other"]) == 0.75 and fit() is None
