@@ -15,6 +15,8 @@ from quernstone.llm.common import SPACES, arrow_map, crc_rest, guarded, lowest,
 
 #: So many labels, those with the lowest hash of doc_id, fit the model, but for documents with which they would have more than FIT_LINES lines together; texts are never cut.
 FIT_DOCS, FIT_LINES = 3000, 300_000
+#: Chains of so many lines are followed line by line; for longer ones blocks of lines take fewer steps, with the same sums.
+BY_LINE = 256
 #: Lines of the chains that the fit takes together, padded to one length; a longer chain is taken alone, and whole.
 TOGETHER = 50_000
 #: What a document's label says of the length-weighted share of its good lines: at least, and at most.
@@ -169,7 +171,21 @@ def _through(a: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _messages(u: np.ndarray, chain: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward messages of padded chains.
+    """Forward and backward messages of padded chains, line by line or, if these are long, by blocks."""
+    n, longest, _ = u.shape
+    if longest > BY_LINE:
+        return _by_blocks(u, chain, mask)
+    fore, back = np.zeros((2, n, longest, 2))
+    fore[:, 0] = u[:, 0]
+    for t in range(1, longest):
+        fore[:, t] = np.where(mask[:, t, None], _through(fore[:, t - 1], chain) + u[:, t], fore[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        back[:, t] = np.where(mask[:, t + 1, None], _through(back[:, t + 1] + u[:, t + 1], chain.T), 0.0)
+    return fore, back
+
+
+def _by_blocks(u: np.ndarray, chain: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_messages() of long chains.
 
     Lines are dealt into blocks of about the root of their number: first all blocks at once, line by line, for either label on the far side of
     their edge; then block by block. So a chain of any length takes steps in proportion to the root of it.

@@ -111,7 +111,9 @@ def test_words_of_a_section_keep_its_text():
     assert main_text(page).split("\n") == [*PARAGRAPHS, "Others did so before, as we say here.", "A table of it, row by row."]
 
 
-def test_chains_of_any_length():
+@pytest.mark.parametrize("by_line", [0, 256])
+def test_chains_of_any_length(monkeypatch, by_line):
+    monkeypatch.setattr(line_crf, "BY_LINE", by_line)
     rng = np.random.default_rng(4)
     sizes = [1, 2, 3, 17, 64, 130]
     u, chain = rng.standard_normal((len(sizes), 130, 2)) * 2, rng.standard_normal((2, 2))
