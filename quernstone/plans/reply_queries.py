@@ -1,11 +1,13 @@
-"""Queries over recorded replies, made from the rows of the test tables, with their SQL."""
+"""Queries over recorded replies and deliveries, made from the rows of the test tables, with their SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from quernstone.operators import replies
-from quernstone.plans.queries import query, table
+from quernstone.operators import replies, sending
+from quernstone.plans.queries import query, set_checkpoints, table
 
 KINDS = ["click", "view", "purchase"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
@@ -47,3 +49,22 @@ def placed_columns(spark, sf_dir):
     said = orders.groupBy("file").agg(F.to_json(F.struct(F.sort_array(F.collect_list(place)).alias("assignments"))).alias("payload"))
     asks = said.select("file", F.lit("m").alias("model"), F.lit("w1").alias("version"), F.lit("FileAssignment").alias("kind"), F.lit("place").alias("system"), F.col("file").cast("string").alias("user"), "payload")
     return replies.file_votes(replies.replay(asks.drop("payload"), _keyed(asks)), orders, PRIORITIES)
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'u' || c_custkey AS key, c_custkey % 10 AS d FROM customer)
+SELECT key, seq, CASE WHEN d = 0 AND k % 20 = 0 THEN 'duplicate' WHEN d = 0 THEN 'uncertain' WHEN d = 1 THEN 'conflict' WHEN d = 2 THEN 'rejected' WHEN d = 3 THEN 'transient' ELSE 'accepted' END AS outcome,
+  CASE WHEN d > 3 THEN 'T' || key END AS target_id
+FROM c, (SELECT unnest([1, 2, 3]) AS seq) WHERE seq = 1 OR d = 3 OR (d = 0 AND k % 20 <> 0)""")
+def delivered_waves(spark, sf_dir):
+    """All customers are posted to a destination that answers by their number; it has every second one whose answer never came."""
+    set_checkpoints(spark)
+    k, key = F.col("c_custkey"), F.concat(F.lit("u"), F.col("c_custkey").cast("string"))
+    ready = table(spark, sf_dir, "customer").select(F.lit("run1").alias("run_id"), key.alias("key"), F.lit(0).cast("long").alias("generation"), F.create_map(F.lit("k"), k.cast("string"), F.lit("name"), "c_name").alias("payload"))
+
+    def transport():
+        answers = {0: (None, None), 1: (409, None), 2: (200, "rejected"), 3: (503, None)}
+        return lambda _, payload: (*answers[d], None) if (d := int(payload["k"]) % 10) in answers else (200, "accepted", f"Tu{payload['k']}")
+
+    path = f"{spark.sparkContext.getCheckpointDir()}/attempts-{uuid.uuid4().hex}"
+    held = lambda unsure: unsure.where(F.col("payload")["k"].cast("int") % 20 == 0)
+    return sending.deliver_in_waves(ready, path, sending.sender(transport), held, waves=2, backoff=()).select("key", "seq", "outcome", "target_id")
