@@ -16,23 +16,42 @@ UNKNOWN = "unknown"
 
 # Wordings of licence notices by family.
 TEMPLATES = {
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "Released under the GNU AGPL v3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "This project is released under the Apache 2.0 licence.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
+        "Licensed under the BSD 2-Clause License.",
+        "Released under the 2-clause BSD licence.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Content is available under CC BY 3.0 unless otherwise noted.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+        "Licensed under CC BY 2.0.",
+        "Licensed under CC BY 2.5.",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
@@ -54,12 +73,16 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GNU General Public License, version 2 or later.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "Released under the GNU GPL v3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute it and or modify it under the terms of the GNU Lesser General Public License",
+        "Licensed under the GNU Library General Public License, version 2.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "Released under the GNU LGPL v3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
     "mit": [
@@ -67,6 +90,9 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "This project is licensed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise.",
         "SPDX-License-Identifier: MIT",
     ],
     "mpl": [
@@ -79,6 +105,13 @@ TEMPLATES = {
         "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential.",
     ],
 }
+# Titles and short names by family. They are learned from but confirm nothing, as prose names licences too.
+TITLES = {
+    "agpl": ["GNU Affero General Public License", "AGPL v3", "AGPL-3.0"], "apache": ["Apache License", "Apache 2.0", "Apache-2.0"], "bsd": ["BSD License", "BSD 3-Clause License", "BSD-2-Clause"],
+    "cc-by": ["Creative Commons Attribution 4.0", "CC BY 4.0"], "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0"], "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0", "CC BY-SA 4.0"],
+    "cc0": ["CC0 1.0 Universal", "CC0 1.0"], "gpl": ["GNU General Public License", "GPL v2", "GPL v3", "GPL-3.0"], "lgpl": ["GNU Lesser General Public License", "LGPL v2.1", "LGPL-3.0"],
+    "mit": ["MIT License", "The MIT License"], "mpl": ["Mozilla Public License", "MPL 2.0"],
+}
 #: Sentences that share words with notices and are none.
 NOT_LICENCES = [
     "The driver was licensed under the old rules of the city.", "She studied at MIT and released a paper.", "The public library is free and open to any person.",
@@ -93,6 +126,8 @@ CUE_SHARE = 0.002
 #: Share of a template's or paragraph's word pairs, whichever are fewer, that confirms a prediction; and that labels a sampled paragraph.
 CONFIRM = 0.5
 FALSE_SHARE = 0.002
+#: Calibration sees every template as scored by a fit without a part of them that holds it.
+PARTS = 3
 
 
 def paragraphs(text: Column) -> Column:
@@ -135,25 +170,28 @@ class LicenceModel:
 
 
 def _template_table(spark: SparkSession) -> DataFrame:
-    """family, template (number), pair, size: the distinct word pairs of each template."""
+    """family, template (number), pair, size, single (no other family's templates have the pair): the distinct word pairs of each template."""
     rows = [(f, i, t.lower()) for i, (f, t) in enumerate((f, t) for f, own in TEMPLATES.items() for t in own)]
     made = spark.createDataFrame(rows, "family string, template int, t string").withColumn("_p", F.array_distinct(pairs_of(words_of(F.col("t")))))
-    return made.select("family", "template", F.size("_p").alias("size"), F.explode("_p").alias("pair"))
+    each = made.select("family", "template", F.size("_p").alias("size"), F.explode("_p").alias("pair"))
+    return each.join(each.groupBy("pair").agg((F.count_distinct("family") == 1).alias("single")), "pair")
 
 
 def template_overlap(found: DataFrame, spark: SparkSession, lone: bool = False) -> DataFrame:
     """seg, family, overlap: for rows of found (seg, words), the best share of common word pairs with a template of each family it touches.
 
-    One common pair says nothing, but with lone it does for a paragraph that has no other.
+    One common pair says nothing, but with lone it does for a paragraph that has no other. One of the common pairs must be of
+    no other family's templates, as notices of families that are no class share the rest.
     """
     pairs = found.select("seg", F.array_distinct(pairs_of(F.col("words"))).alias("_p")).select("seg", F.size("_p").alias("own"), F.explode("_p").alias("pair"))
     both = pairs.join(F.broadcast(_template_table(spark)), "pair")  # a constant table
     shares = both.groupBy("seg", "own", "family", "template", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.least("own", "size"))
-    return shares.where("n > 1 or own = 1" if lone else "n > 1").groupBy("seg", "family").agg(F.max("share").alias("overlap"))
+    singles = both.where("single").select("seg", "family").distinct()
+    return shares.join(singles, ["seg", "family"], "left_semi").where("n > 1 or own = 1" if lone else "n > 1").groupBy("seg", "family").agg(F.max("share").alias("overlap"))
 
 
 def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int = FIT_PARAGRAPHS) -> LicenceModel:
-    """Fits on templates, counterexamples and a bounded sample of paragraphs, a third of which, by hash, calibrates instead.
+    """Fits on templates, counterexamples and a bounded sample of paragraphs, a third of which, by hash, calibrates instead, beside each template as a fit without it scores it.
 
     A sampled paragraph takes the family whose template it overlaps by CONFIRM, is unknown if it overlaps none by
     half of that, and is left out in between.
@@ -166,7 +204,7 @@ def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int
     marked = sampled.join(near, "seg", "left").withColumn("label", F.when(F.col("top") >= CONFIRM, F.col("family")).when(F.coalesce("top", F.lit(0.0)) < CONFIRM / 2, F.lit(UNKNOWN)))
     labels = [UNKNOWN, *sorted(TEMPLATES)]
     corpus = [(tuple(r.grams), labels.index(r.label), r.third == 0) for r in marked.where("label is not null").select(grams_of(F.col("words")).alias("grams"), "label", F.pmod(F.xxhash64("p"), F.lit(3)).alias("third"), "p").orderBy("p").collect()]
-    own = [(t, labels.index(f)) for f, ts in TEMPLATES.items() for t in ts] + [(t, 0) for t in NOT_LICENCES]
+    own = [(t, labels.index(f)) for known in (TEMPLATES, TITLES) for f, ts in known.items() for t in ts] + [(t, 0) for t in NOT_LICENCES]
     shown = [(_grams(t), y) for t, y in own]
     plain = [set(g) for g, y, _ in corpus if y == 0]
     counts = Counter(w for g in plain for w in g)
@@ -180,10 +218,11 @@ def fit_licences(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_paragraphs: int
     vocabulary = [g for g in seen if g in pair_cues or not set(cues).isdisjoint(g.split())]
     rows = shown + [(g, y) for g, y, held in corpus if not held]
     weights, bias = _logistic(rows, vocabulary, len(labels))
+    unseen = [pair for part in range(PARTS) for pair in _left_out(rows, {i for i, (_, y) in enumerate(shown) if y and i % PARTS == part}, vocabulary, len(labels))]
     kept = np.flatnonzero(np.abs(weights).max(1) > 0)
     table = {vocabulary[i]: weights[i].tolist() for i in kept}
     held = [(bias + sum((np.array(table[g]) for g in gs if g in table), np.zeros(len(labels))), y) for gs, y, out in corpus if out]
-    temperature, threshold = _calibrate(held)
+    temperature, threshold = _calibrate(held + unseen)
     return LicenceModel(labels, cues, sorted(pair_cues), table, bias.tolist(), temperature, threshold)
 
 
@@ -220,6 +259,13 @@ def _logistic(rows: list[tuple[tuple[str, ...], int]], vocabulary: list[str], la
     return w[:-1], w[-1]
 
 
+def _left_out(rows: list[tuple[tuple[str, ...], int]], out: set[int], vocabulary: list[str], labels: int) -> list[tuple[np.ndarray, int]]:
+    """Scores and label of the rows numbered out, by a fit on the others."""
+    weights, bias = _logistic([row for i, row in enumerate(rows) if i not in out], vocabulary, labels)
+    at = {g: i for i, g in enumerate(vocabulary)}
+    return [(bias + weights[[at[g] for g in rows[i][0] if g in at]].sum(0), rows[i][1]) for i in sorted(out)]
+
+
 def _calibrate(held: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
     """Temperature with the least log loss on held-out paragraphs, notices and the rest weighing the same in all, and the threshold that FALSE_SHARE of the rest pass at most."""
     if not held:
