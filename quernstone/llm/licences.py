@@ -283,6 +283,24 @@ def _calibrate(held: list[tuple[np.ndarray, int]]) -> tuple[float, float]:
     return best, float(min(0.9, max(0.5, allowed)))
 
 
+def cue_pattern(cues: list[str]) -> str:
+    """A pattern that finds any cue, a word or a pair of words, in lower-case text. Cues share their beginnings, so that a word is read once, whatever their number."""
+    if not cues:
+        return "(?!)"
+    tree: dict = {}
+    for cue in cues:
+        node = tree
+        for c in cue:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def said(node: dict) -> str:
+        parts = ["(?![a-z0-9])" if c == "" else ("[^a-z0-9]++" if c == " " else c) + said(node[c]) for c in sorted(node)]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+
+    return "(?<![a-z0-9])" + said(tree)
+
+
 def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """doc_id, _th, paragraph (lower case), family, probability, overlap, confirmed: for every paragraph that the model gives a family.
 
@@ -291,12 +309,10 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     lines where it is confirmed and none of them is.
     """
     spark = docs.sparkSession
-    cued = F.arrays_overlap("words", F.array(*map(F.lit, model.cues)).cast("array<string>"))
-    if model.pair_cues:
-        first = F.array(*map(F.lit, sorted({g.split()[0] for g in model.pair_cues})))
-        cued = cued | (F.arrays_overlap("words", first) & F.arrays_overlap(pairs_of(F.col("words")), F.array(*map(F.lit, model.pair_cues))))
-    split = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("_th"), F.explode(units(text_or_empty())).alias("_whole")).withColumn("words", F.split("_whole", "[^a-z0-9]+"))
-    whole = materialize(split.where(cued).drop("words").withColumn("_unit", F.monotonically_increasing_id()), "licence-units")
+    cued = cue_pattern([*model.cues, *model.pair_cues])
+    texts = docs.select("doc_id", text_or_empty().alias("text")).where(F.lower("text").rlike(cued))  # others have no unit with a cue
+    split = texts.select("doc_id", F.xxhash64("text").alias("_th"), F.explode(units(F.col("text"))).alias("_whole"))
+    whole = materialize(split.where(F.col("_whole").rlike(cued)).withColumn("_unit", F.monotonically_increasing_id()), "licence-units")
     lines = F.split("_whole", r"\n+")
     each = whole.select("doc_id", "_th", "_unit", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_whole"), lines)).otherwise(F.array("_whole"))).alias("_at", "paragraph"), (F.size(lines) > 1).alias("_many"))
     found = each.withColumn("words", words_of(F.col("paragraph"))).withColumn("_joined", F.col("_many") & (F.col("_at") == 0)).drop("_many", "_at")

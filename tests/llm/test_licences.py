@@ -1,7 +1,9 @@
 """Licence families: wordings that no template has, families that are no class, whole notices, and the joins against plain Python."""
 
 import math
+import random
 import re
+import time
 
 import pytest
 
@@ -128,3 +130,18 @@ def test_joins_equal_plain_python(spark, docs, fitted):
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [(r.doc_id, r.paragraph, r.family, round(r.probability, 6), round(r.overlap, 6), r.confirmed) for r in L.scan_paragraphs(made, model).collect()]
     assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_cue_pattern_finds_the_words():
+    rng, cues = random.Random(4), ["gpl", "gplv3", "mit", "license v2", "license", "in the", "the"]
+    text = ["gpl", "gplv", "gplv3", "mit", "permit", "license", "licenses", "v2", "in", "the", "é", "", "x1"]
+    assert not re.search(L.cue_pattern([]), "mit")
+    for some in (cues, ["in the"], ["mit", "license v2"]):
+        for _ in range(2000):
+            t = "".join(rng.choice(text) + rng.choice([" ", "", "-", "  ", "\n", "##"]) for _ in range(rng.randrange(6)))
+            words = re.split("[^a-z0-9]+", t)
+            want = any(c in words or c.split() in [words[i:i + 2] for i in range(len(words))] for c in some)
+            assert bool(re.search(L.cue_pattern(some), t)) == want, (t, some)
+    long = "in" + "#" * 1_000_000 + "x " + "in " * 100_000
+    start = time.perf_counter()
+    assert not re.search(L.cue_pattern(["in the"]), long) and time.perf_counter() - start < 20
