@@ -166,18 +166,17 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Frequencies, least: float
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp for the ends of links (a, b): the least node that can be reached. Labels spread along links and jump to their label's label."""
+    """node, comp for the ends of links (a, b): the least node that can be reached. Labels spread along links and jump to their label's label, until no link has two."""
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("_near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "_near").alias("comp"), F.col("comp").alias("_was"))
+        told = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "comp", F.lit(None).cast("long").alias("_was"))
+        step = told.union(labels.select("node", "comp", F.col("comp").alias("_was"))).groupBy("node").agg(F.min("comp").alias("comp"), F.max("_was").alias("_was"))
         step = materialize(step, "labels")
-        jump = step.select(F.col("node").alias("_to"), F.col("comp").alias("_next"))
-        moved = materialize(step.join(jump, step["comp"] == jump["_to"], "left").select("node", F.least("comp", "_next").alias("comp"), "_was"), "labels")
-        labels = moved.select("node", "comp")
-        if moved.where("comp <> _was").isEmpty():
+        if step.where("comp <> _was").isEmpty():
             return labels
+        jump = step.select(F.col("node").alias("_to"), F.col("comp").alias("_next"))
+        labels = materialize(step.join(jump, step["comp"] == jump["_to"], "left").select("node", F.least("comp", "_next").alias("comp")), "labels")
 
 
 def _stars(bucket: DataFrame, hot: DataFrame) -> DataFrame:
@@ -279,31 +278,12 @@ def _classified(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     shared = materialize(spread_join(banded, several, "key", "node", hot).select("band", "key", "node"), "near-bands")
     involved = shared.select(F.col("node").alias("_row")).distinct()
     texts = materialize(rows.select("_row", "text", "_bands").join(involved.hint("merge"), "_row", "left_semi").withColumnRenamed("_row", "node"), "near-texts")
-    tested = links = labels = None
-    first = True
-    while True:
-        bucket = shared.where("band < 2") if first else shared
-        if labels is not None:
-            placed = bucket.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            bucket = placed.groupBy("key", "comp").agg(F.min("node").alias("node"))
-        pairs = _stars(bucket, hot)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        found = materialize(verified(pairs, texts, idf, least), "near-links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        elif not first:
-            break
-        first = False
-    # what shares a band and is still apart: early bands first, so that a linked node is not tested again in the others
-    for bucket in (shared.where("band < 2"), shared.where("band >= 2")):
-        found = materialize(_rest(bucket, labels, texts, idf, least), "near-links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
+    found = materialize(verified(materialize(_stars(shared, hot), "near-pairs"), texts, idf, least), "near-links")
+    labels = None if found.isEmpty() else components(found)
+    # what shares a band and is still apart
+    found = materialize(_rest(shared, labels, texts, idf, least), "near-links")
+    if not found.isEmpty():
+        labels = components(found if labels is None else found.union(labels.where("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))))
     if labels is None:
         placed = nodes.withColumn("comp", F.col("node"))
     else:
@@ -318,10 +298,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Each row of docs (doc_id, text, others) with class_id: the least doc_id of its class.
 
     Texts equal up to white space and the case of A-Z are one node. Nodes that share a band are tested against the
-    band's least and greatest node; then, as long as a test links anything, what is still apart in a band is
-    tested again, a node for each class in it. At last every pair of different classes that shares a band is tested,
-    block against block, so no pair that shares a band is left out; neither copies nor what is linked by then are
-    paired with each other. Null and empty texts are copies of each other; a null doc_id
+    band's least and greatest node. Then every pair of different classes that shares a band is tested, block against
+    block, so no pair that shares a band is left out; neither copies nor what is linked by then are paired with each
+    other. Two searches for components, whatever the groups: each step of them is a job. Null and empty texts are copies of each other; a null doc_id
     names no class unless its class has no other. Repeated rows are copies. Columns named like a result are
     replaced. An empty table gives none.
     """
