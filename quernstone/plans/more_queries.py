@@ -155,7 +155,7 @@ def composite_scores(spark, sf_dir):
 r(id, n) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.n = e.a) SELECT id, min(n) AS comp FROM r GROUP BY id""")
 def entity_components(spark, sf_dir):
     set_checkpoints(spark)
-    return matching.components(base._matched(spark, sf_dir).where("decision = 'auto_merge'"))
+    return matching.merged_components(base._people(spark, sf_dir), base.PERSON)
 
 
 @query(f"""WITH {base.HALVES_SQL}, l AS (SELECT e, file || '#' || lpad(CAST(e AS VARCHAR), 9, '0') AS record_id, 'name' AS field, nullif(name, '') AS v FROM halves UNION ALL SELECT e, file || '#' || lpad(CAST(e AS VARCHAR), 9, '0'), 'segment', segment FROM halves),
